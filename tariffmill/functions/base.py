@@ -26,9 +26,17 @@ def first_filled(*cs: Column | str) -> Column:
     return F.coalesce(*[blank(c) for c in cs])
 
 
+WHITESPACE = " \t\n\r\f\v"
+
+
+def stripped(c: Column | str) -> Column:
+    """Text without surrounding whitespace of any kind."""
+    return F.btrim(col(c), F.lit(WHITESPACE))
+
+
 def squeezed(c: Column | str) -> Column:
-    """Trimmed text, or null when nothing is left."""
-    return blank(F.regexp_replace(col(c), r"^\s+|\s+$", ""))
+    """Stripped text, or null when nothing is left."""
+    return blank(stripped(c))
 
 
 def any_contains(c: Column, needles: Iterable[str]) -> Column:
@@ -62,7 +70,7 @@ def norm_label(c: Column | str) -> Column:
 
 def fold(c: Column | str) -> Column:
     """Trimmed lower case; null counts as empty."""
-    return F.lower(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"^\s+|\s+$", ""))
+    return F.lower(stripped(F.coalesce(col(c), F.lit(""))))
 
 
 def compact_number(c: Column | str) -> Column:

@@ -32,21 +32,23 @@ def parse_plain(text: Column) -> Column:
     return F.when(text.rlike(_PLAIN), text.try_cast(NUMBER))
 
 
+def _is_word(text: Column, words: tuple[str, ...]) -> Column:
+    return text.rlike("(?i)^(" + "|".join(words) + ")$")
+
+
 def coerce_number(value: Column | str, integer: bool = False, value_type: Column | None = None) -> Column:
     """FN7: struct(num, prose). Commas are thousands marks and are dropped; text that is no number becomes prose."""
     s = squeezed(value)
-    upper = F.upper(s)
-    percent = parse_plain(F.btrim(F.regexp_replace(upper, r"^-+|%+$", "")))
+    percent = F.when(s.endswith("%"), parse_plain(F.btrim(F.regexp_replace(s, r"%+$|^-+(?=.*%$)", ""))))
+    plain = parse_plain(F.translate(s, ", ", ""))
     free = F.lit(0) if value_type is None else F.when(value_type == "discount_percentage", 100).otherwise(0)
-    plain = parse_plain(F.regexp_replace(s, "[, ]", ""))
-    is_percent = upper.endswith("%") & percent.isNotNull()
-    number = cases([
-        (is_percent, percent),
-        (upper.isin(*NO_VALUE_WORDS), F.lit(None).cast(NUMBER)),
-        (upper.isin(*FREE_WORDS), free.cast(NUMBER)),
-    ], default=_truncated(plain) if integer else plain)
-    known = is_percent | upper.isin(*NO_VALUE_WORDS, *FREE_WORDS) | plain.isNotNull()
-    return F.struct(number.alias("num"), F.when(s.isNotNull() & ~known, s).alias("prose"))
+    nothing, gratis = _is_word(s, NO_VALUE_WORDS), _is_word(s, FREE_WORDS)
+    number = F.coalesce(
+        percent, _truncated(plain) if integer else plain, F.when(gratis, free.cast(NUMBER))
+    )
+    return F.struct(
+        number.alias("num"), F.when(s.isNotNull() & number.isNull() & ~nothing, s).alias("prose")
+    )
 
 
 def _truncated(number: Column) -> Column:
@@ -58,7 +60,7 @@ def to_float(value: Column | str) -> Column:
     """FN8: sheet cell text as a number. A comma is a decimal mark; one trailing % is dropped."""
     s = squeezed(value)
     cleaned = F.btrim(F.regexp_replace(F.btrim(F.translate(s, ",€$", ".")), "%$", ""))
-    return F.when(~F.upper(s).isin(*SHEET_WORDS), parse_plain(cleaned))
+    return F.when(~_is_word(s, SHEET_WORDS), parse_plain(cleaned))
 
 
 def to_int(value: Column | str) -> Column:
@@ -71,7 +73,7 @@ def parse_price_cell(text: Column | str, number: Column | str | None = None) ->
     s = squeezed(text)
     cleaned = F.regexp_replace(F.regexp_replace(s, CURRENCY_PATTERN, "").transform(_comma_to_dot), r"\s+", "")
     looks_like_price = (
-        ~F.upper(s).isin(*SHEET_WORDS)
+        ~_is_word(s, SHEET_WORDS)
         & ~s.contains("%")
         & ~s.contains("|")
         & (F.length(s) <= LONGEST_PRICE_TEXT)

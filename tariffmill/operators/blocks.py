@@ -5,7 +5,7 @@ Cells are in long form, one row per cell: ``contract_id, doc_id, row_idx, col_id
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tariffmill.functions.base import any_contains, blank, count_contained, is_blank
@@ -15,7 +15,6 @@ from tariffmill.functions.numbers import to_float, to_int
 from tariffmill.functions.pricing import child_key, money, reduced_price, single_price
 from tariffmill.functions.vocabulary import meal_from_treatment
 from tariffmill.operators.normalize import apply_meta, clear_child_values
-from tariffmill.operators.shaping import group_product, prefix_sum
 from tariffmill.schemas import CELL_META, MONEY
 
 DOC = ["contract_id", "doc_id"]
@@ -31,48 +30,57 @@ COLUMN_HEADER_WORDS = (
 )
 
 
-def row_features(cells: DataFrame) -> DataFrame:
-    """Per sheet row its joined text and whether it opens a rate block. A row holds at most the sheet's columns."""
-    text = F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("col_idx", "value_str"))), lambda c: c["value_str"]
-    ), " | ")
+def sheet_rows(cells: DataFrame) -> DataFrame:
+    """Cells as sheet rows: their cells in column order, their joined text, and whether they open a rate block.
+
+    A row holds at most the sheet format's 16,384 columns.
+    """
     rows = cells.where(F.col("value_str").isNotNull()).groupBy(*DOC, "row_idx").agg(
-        F.lower(text).alias("text"),
+        F.array_sort(F.collect_list(F.struct("col_idx", "value_str"))).alias("cells"),
         F.count_if(F.coalesce(F.abs("value_num").between(5, 50000), F.lit(False))).alias("numbers"),
         F.count_if(F.btrim("value_str") != "").alias("filled"),
-    )
+    ).withColumn("text", F.lower(F.array_join(F.transform("cells", lambda c: c["value_str"]), " | ")))
     column_header = (F.col("filled") >= 5) & (count_contained(F.col("text"), COLUMN_HEADER_WORDS) >= 2)
     marker = any_contains(F.col("text"), BLOCK_MARKERS) | F.col("text").rlike("(^|[^a-z0-9])bw([^a-z0-9]|$)")
     opens = (F.btrim("text") != "") & (F.col("numbers") < 3) & ~column_header & marker
     return rows.withColumn("opens_block", opens)
 
 
-def rate_blocks(cells: DataFrame) -> DataFrame:
+def rate_blocks(cells: DataFrame, sheets: DataFrame | None = None) -> DataFrame:
     """The rows of each rate block. Rows above the first block are repeated in every block of their sheet.
 
-    ``line`` is the row's 1-based place in its block's own sheet. A sheet without block rows is one block.
+    ``line`` is the row's 1-based place in its block's own sheet. A sheet without block rows is one block, and so is
+    every sheet that ``sheets`` (the output of ``classify_sheets``) does not call a contract. The windows run over one
+    sheet, which its format bounds to 1,048,576 rows.
     """
-    counted = prefix_sum(row_features(cells), DOC, "row_idx", F.col("opens_block").cast("int"), "_block")
-    opening = counted.where("opens_block").select(
-        *DOC, F.col("_block"), F.btrim("text").alias("title"), F.col("row_idx").alias("_start")
-    )
-    sheets = opening.groupBy(*DOC).agg(F.min("_start").alias("_preamble"), F.max("_block").alias("block_count"))
-    own = counted.where(F.col("_block") > 0).select(*DOC, "row_idx", "_block").join(opening, [*DOC, "_block"])
-    plain = counted.where(F.col("_block") == 0).select(*DOC, "row_idx")
-    above = group_product(plain, opening, DOC, ["row_idx"])
-    single = plain.join(sheets.select(*DOC), DOC, "left_anti").select(
-        *DOC, "row_idx", F.lit(0).cast("bigint").alias("block_idx"), F.lit(None).cast("string").alias("title"),
-        F.lit(False).alias("is_preamble"), (F.col("row_idx") + 1).alias("line"), F.lit(None).cast("bigint").alias("block_count"),
-    )
-    blocks = own.withColumn("is_preamble", F.lit(False)).unionByName(above.withColumn("is_preamble", F.lit(True)))
-    placed = blocks.join(sheets, DOC).select(
-        *DOC, "row_idx", (F.col("_block") - 1).alias("block_idx"), "title", "is_preamble",
-        F.when(F.col("is_preamble"), F.col("row_idx") + 1).otherwise(
-            F.col("_preamble") + F.col("row_idx") - F.col("_start") + 1
-        ).alias("line"),
-        F.col("block_count"),
+    rows = sheet_rows(cells)
+    if sheets is not None:
+        rows = rows.join(sheets.select(*DOC, "classification", "detected_hotel_name"), DOC).withColumn(
+            "opens_block", F.col("opens_block") & (F.col("classification") == "hotel_contract")
+        )
+    opens = F.col("opens_block")
+    whole = Window.partitionBy(*DOC)
+    so_far = whole.orderBy("row_idx").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumns({
+        "_block": F.sum(opens.cast("int")).over(so_far),
+        "title": F.last(F.when(opens, F.btrim("text")), ignorenulls=True).over(so_far),
+        "_start": F.last(F.when(opens, F.col("row_idx")), ignorenulls=True).over(so_far),
+        "_preamble": F.min(F.when(opens, F.col("row_idx"))).over(whole),
+        "_count": F.sum(opens.cast("int")).over(whole),
+    })
+    openings = placed.where(opens).select(*DOC, F.col("_block").alias("_b"), F.col("title").alias("_t"))
+    above = placed.where((F.col("_block") == 0) & (F.col("_count") > 0)).join(openings, DOC).withColumns({
+        "_block": F.col("_b"), "title": F.col("_t"), "is_preamble": F.lit(True), "line": F.col("row_idx") + 1,
+    }).drop("_b", "_t")
+    own = placed.where((F.col("_block") > 0) | (F.col("_count") == 0)).withColumns({
+        "is_preamble": F.lit(False),
+        "line": F.coalesce(F.col("_preamble") + F.col("row_idx") - F.col("_start"), F.col("row_idx")) + 1,
+    })
+    kept = ["classification", "detected_hotel_name"] if sheets is not None else []
+    return own.unionByName(above).select(
+        *DOC, *kept, "row_idx", F.greatest(F.col("_block") - 1, F.lit(0)).alias("block_idx"), "title", "is_preamble",
+        "line", F.nullif("_count", F.lit(0)).alias("block_count"), "cells",
     )
-    return placed.unionByName(single)
 
 
 def column_letter(index: Column) -> Column:
@@ -89,69 +97,81 @@ def column_letter(index: Column) -> Column:
     )
 
 
-def grid_lines(cells: DataFrame, group: list[str] | None = None, line: str | None = None) -> DataFrame:
-    """EX16's lines: each non-blank row as its number and its cells, tab separated, up to the sheet's last used column.
+def _shown(cells: Column) -> Column:
+    """The non-blank cells of a row with tabs and line breaks flattened."""
+    def clean(text: Column) -> Column:
+        return F.btrim(F.regexp_replace(F.translate(text, "\t", " "), "\r?\n", " / "))
 
-    ``group`` and ``line`` name other keys and row numbers, as for the blocks of a sheet.
-    """
-    group = group or DOC
-    number = F.col(line) if line else F.col("row_idx") + 1
-    text = F.btrim(F.regexp_replace(F.regexp_replace(F.coalesce("value_str", F.lit("")), "\t", " "), "\r?\n", " / "))
-    shown = cells.select(*group, number.alias("line"), "col_idx", text.alias("_text")).where(F.col("_text") != "")
-    width = shown.groupBy(*group).agg((F.max("col_idx") + 1).alias("width"))
-    rows = shown.groupBy(*group, "line").agg(
-        F.map_from_entries(F.collect_list(F.struct("col_idx", "_text"))).alias("_cells")
+    return F.filter(
+        F.transform(cells, lambda c: F.struct(c["col_idx"].alias("col_idx"), clean(c["value_str"]).alias("text"))),
+        lambda c: c["text"] != "",
     )
+
+
+def _line(number: Column, shown: Column, width: Column) -> Column:
+    by_column = F.map_from_entries(shown)
     filled = F.transform(
-        F.sequence(F.lit(0), F.col("width") - 1),
-        lambda i: F.coalesce(F.try_element_at("_cells", i.cast("int")), F.lit("")),
+        F.sequence(F.lit(0), width - 1), lambda i: F.coalesce(F.try_element_at(by_column, i.cast("int")), F.lit(""))
     )
-    return rows.join(width, group).select(
-        *group, "line", "width",
-        F.concat(F.col("line").cast("string"), F.lit("\t"), F.array_join(filled, "\t")).alias("text"),
+    return F.concat(number.cast("string"), F.lit("\t"), F.array_join(filled, "\t"))
+
+
+def _with_shown(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_shown", _shown(F.col("cells"))).where(F.size("_shown") > 0).withColumn(
+        "width", F.array_max(F.transform("_shown", lambda c: c["col_idx"])) + 1
+    )
+
+
+def grid_lines(cells: DataFrame) -> DataFrame:
+    """EX16's lines: each non-blank row as its number and its cells, tab separated, up to the sheet's last used column.
+
+    The window runs over one sheet, bounded by its format.
+    """
+    rows = _with_shown(sheet_rows(cells)).withColumn("width", F.max("width").over(Window.partitionBy(*DOC)))
+    return rows.select(
+        *DOC, (F.col("row_idx") + 1).alias("line"), "width",
+        _line(F.col("row_idx") + 1, F.col("_shown"), F.col("width")).alias("text"),
     )
 
 
-def grid_text(cells: DataFrame, group: list[str] | None = None, line: str | None = None) -> DataFrame:
-    """EX16: a sheet as one text. A sheet is bounded by its file format (1,048,576 rows), so its lines fit one row."""
+def grid_text(rows: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """EX16: a sheet as one text, from rows with ``cells`` and their ``line`` number.
+
+    One grouping gathers a sheet's rows, which its format bounds to 1,048,576; the text is rendered from the group.
+    """
     group = group or DOC
-    letters = F.array_join(
-        F.transform(F.sequence(F.lit(0), F.max("width") - 1), lambda i: column_letter(i)), "\t"
+    gathered = _with_shown(rows).groupBy(*group).agg(
+        F.array_sort(F.collect_list(F.struct("line", F.col("_shown").alias("shown")))).alias("_rows"),
+        F.max("width").alias("_width"),
     )
-    body = F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("line", "text"))), lambda r: r["text"]
-    ), "\n")
+    letters = F.array_join(F.transform(F.sequence(F.lit(0), F.col("_width") - 1), column_letter), "\t")
+    body = F.array_join(F.transform("_rows", lambda r: _line(r["line"], r["shown"], F.col("_width"))), "\n")
     name = F.regexp_replace(F.col(group[-1]), "^Sheet:", "")
-    return grid_lines(cells, group, line).groupBy(*group).agg(letters.alias("_letters"), body.alias("_body")).select(
-        *group, F.concat(
-            F.lit("=== Sheet: "), name, F.lit(" ===\nRow\t"), "_letters", F.lit("\n"), "_body"
-        ).alias("text"),
-    )
+    text = F.concat(F.lit("=== Sheet: "), name, F.lit(" ===\nRow\t"), letters, F.lit("\n"), body)
+    return gathered.select(*group, text.alias("text"))
+
+
+def sheet_text(cells: DataFrame) -> DataFrame:
+    """EX16 for whole sheets."""
+    return grid_text(sheet_rows(cells).withColumn("line", F.col("row_idx") + 1))
 
 
 def block_documents(cells: DataFrame, sheets: DataFrame) -> DataFrame:
     """EX17: one document per rate block of contract sheets, one per sheet otherwise.
 
-    ``sheets`` is the output of ``classify_sheets``.
+    ``sheets`` is the output of ``classify_sheets``. Rows keep their cells through the cut into blocks, so the cells are
+    grouped once and never joined back.
     """
-    contract = sheets.where(F.col("classification") == "hotel_contract").select(*DOC)
-    blocks = rate_blocks(cells.join(contract, DOC, "left_semi"))
+    blocks = rate_blocks(cells, sheets)
     name = F.when(F.col("title").isNull(), F.col("doc_id")).otherwise(
         F.concat("doc_id", F.lit(" | "), F.substring("title", 1, 40))
     )
-    named = blocks.withColumn("block_doc_id", name)
-    keys = [*DOC, "block_idx", "block_doc_id"]
-    parts = grid_text(named.join(cells, [*DOC, "row_idx"]), keys, "line")
-    titles = named.where(~F.col("is_preamble")).groupBy(*keys).agg(
-        F.max("title").alias("block_title"), F.max("block_count").alias("block_count")
+    group = [
+        *DOC, "classification", "detected_hotel_name", "block_idx", "title", "block_count", "block_doc_id",
+    ]
+    return grid_text(blocks.withColumn("block_doc_id", name), group).withColumnsRenamed(
+        {"title": "block_title", "text": "raw_excerpt"}
     )
-    whole = grid_text(cells.join(contract, DOC, "left_anti")).withColumns({
-        "block_idx": F.lit(None).cast("bigint"), "block_doc_id": F.col("doc_id"),
-        "block_title": F.lit(None).cast("string"), "block_count": F.lit(None).cast("bigint"),
-    })
-    return parts.join(titles, keys).unionByName(whole).join(
-        sheets.select(*DOC, "classification", "detected_hotel_name"), DOC
-    ).withColumnRenamed("text", "raw_excerpt")
 
 
 def narrow_child_ages(block_columns: DataFrame, overrides: DataFrame) -> DataFrame:

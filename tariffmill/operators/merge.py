@@ -30,7 +30,9 @@ def chunk_documents(documents: DataFrame, size: int = 1) -> DataFrame:
     ).join(counts, "contract_id", "left")
     everywhere = F.col("classification").isin(*CONTEXT_CLASSES) & (chunks > 1)
     spread = F.when(F.coalesce(everywhere, F.lit(False)), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.lit(0)))
-    copied = others.withColumn("chunk_idx", F.explode(spread).cast("bigint")).drop("_docs")
+    copied = others.withColumn("_chunk", F.explode(spread)).withColumn("chunk_idx", F.col("_chunk").cast("bigint")).drop(
+        "_docs", "_chunk"
+    )
     return placed.unionByName(copied).select("contract_id", "chunk_idx", "doc_id", "classification", "ord")
 
 

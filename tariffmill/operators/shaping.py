@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows of a per-group product one task should emit; larger groups are cut into slices.
-ROWS_PER_SLICE = 1_000_000
+# Left rows of one slice of a per-group product.
+LEFT_ROWS_PER_SLICE = 1_000
 
 
 def keep_top(
@@ -58,14 +58,11 @@ def group_rank(df: DataFrame, keys: Sequence[str], order: str, out: str, width:
 def group_product(left: DataFrame, right: DataFrame, keys: Sequence[str], spread_by: Sequence[str]) -> DataFrame:
     """Every left row with every right row of its group: an equi join whose large groups are cut into slices.
 
-    The number of slices of a group follows from its two row counts. Left rows are dealt to slices by the hash of
-    ``spread_by``; right rows are repeated once per slice, so the product of a giant group spreads over many tasks.
+    Left rows are dealt to slices of about ``LEFT_ROWS_PER_SLICE`` rows by the hash of ``spread_by``; right rows are
+    repeated once per slice. A giant group's product so spreads over many tasks; usual groups have one slice. Only the
+    left side is counted, so pass the side that is cheaper to read.
     """
-    sizes = (
-        left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_left"))
-        .join(right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_right")), list(keys))
-        .select(*keys, F.ceil(F.col("_left") * F.col("_right") / ROWS_PER_SLICE).cast("int").alias("_slices"))
-    )
+    sizes = left.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / LEFT_ROWS_PER_SLICE).cast("int").alias("_slices"))
     dealt = left.join(sizes, list(keys)).withColumn(
         "_slice", F.pmod(F.xxhash64(*spread_by), F.col("_slices")).cast("int")
     ).drop("_slices")

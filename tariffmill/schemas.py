@@ -154,11 +154,6 @@ DOMAINS = {
 }
 
 
-def fields(spec: str) -> T.StructType:
-    """A struct type from a DDL string."""
-    return T.StructType.fromDDL(spec)
-
-
 CELL_META = "map<string,struct<confidence:double,source_ref:string,ai_inferred:boolean,user_edited:boolean>>"
 
 CANONICAL_HOTEL = (
@@ -196,7 +191,7 @@ def _struct(ddl: str) -> str:
     return "struct<" + ", ".join(part.strip().replace(" ", ":", 1) for part in ddl.split(", ")) + ">"
 
 
-CANONICAL_CONTRACT = fields(
+CANONICAL_CONTRACT = (
     "source_filename string, is_multi_hotel boolean, detected_rate_type string, "
     f"hotels array<struct<metadata:{_struct(CANONICAL_HOTEL)}, rooms:array<{_struct(CANONICAL_ROOM)}>, "
     f"seasons:array<{_struct(CANONICAL_SEASON)}>, meal_plans:array<{_struct(CANONICAL_MEAL)}>, "

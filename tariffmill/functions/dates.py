@@ -89,7 +89,7 @@ def mentions_date(c: Column | str) -> Column:
 def mentions_date_or_month(c: Column | str) -> Column:
     """True for text with a day-first date or an English month name."""
     months = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
-    return col(c).rlike(r"\d{1,2}[./-]\d{1,2}[./-]\d{2,4}") | F.lower(col(c)).rlike(rf"\b({months})")
+    return col(c).rlike(r"\d{1,2}[./-]\d{1,2}[./-]\d{2,4}") | F.lower(col(c)).rlike(rf"(?U)\b({months})")
 
 
 def date_list(text: Column | str) -> Column:

@@ -121,7 +121,7 @@ def _short(age: Column) -> Column:
 
 def mentions_child(text: Column | str) -> Column:
     """True when the text speaks of children without giving ages."""
-    return F.coalesce(col(text).rlike(r"(?i)\b(CHD|CHILD|INFANT|BABY|TEEN|JUNIOR)\b"), F.lit(False))
+    return F.coalesce(col(text).rlike(r"(?iU)\b(CHD|CHILD|INFANT|BABY|TEEN|JUNIOR)\b"), F.lit(False))
 
 
 def is_scrambled(text: Column | str) -> Column:

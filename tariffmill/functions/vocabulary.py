@@ -149,7 +149,7 @@ def detect_currency(text: Column | str) -> Column:
 def detect_meal_plan(text: Column | str) -> Column:
     """FN19: first board, by precedence, that stands as whole words in the text."""
     s = F.upper(col(text))
-    return cases([(s.rlike(rf"\b{word}\b"), BOARD_TOKENS[word]) for word in TEXT_BOARD_WORDS])
+    return cases([(s.rlike(rf"(?U)\b{word}\b"), BOARD_TOKENS[word]) for word in TEXT_BOARD_WORDS])
 
 
 def meal_from_treatment(c: Column | str) -> Column:

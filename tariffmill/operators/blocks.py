@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tariffmill.functions.base import any_contains, blank, count_contained, is_blank
+from tariffmill.functions.base import any_contains, blank, count_contained, is_blank, stripped
 from tariffmill.functions.dates import ALL_WEEK, normalize_iso_date
 from tariffmill.functions.names import room_match_score
 from tariffmill.functions.numbers import to_float, to_int
@@ -100,7 +100,7 @@ def column_letter(index: Column) -> Column:
 def _shown(cells: Column) -> Column:
     """The non-blank cells of a row with tabs and line breaks flattened."""
     def clean(text: Column) -> Column:
-        return F.btrim(F.regexp_replace(F.translate(text, "\t", " "), "\r?\n", " / "))
+        return stripped(F.regexp_replace(F.translate(text, "\t", " "), "\r?\n", " / "))
 
     return F.filter(
         F.transform(cells, lambda c: F.struct(c["col_idx"].alias("col_idx"), clean(c["value_str"]).alias("text"))),

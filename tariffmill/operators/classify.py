@@ -15,7 +15,7 @@ from tariffmill.operators.shaping import keep_top
 
 # Hints of index sheets, hotel names, rate headers and notes.
 INDEX_NAME_HINTS = ("hotel list", "index", "summary", "contents", "hotels", "table of contents")
-HOTEL_WORDS = r"(?i)\b(hotel|resort|inn|palace|villa|residence|suites|spa|club|riad)\b"
+HOTEL_WORDS = r"(?iU)\b(hotel|resort|inn|palace|villa|residence|suites|spa|club|riad)\b"
 RATE_HEADER_WORDS = (
     "from", "to", "valid from", "valid to", "start", "end", "room", "villa", "pavilion", "bungalow", "suite", "studio",
     "chalet", "cabana", "residence", "rate", "rates", "single", "double", "triple", "child", "chd", "sgl", "dbl", "tpl",

@@ -295,7 +295,7 @@ def drop_skeleton_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def clear_child_values(rows: DataFrame, max_child: Column) -> DataFrame:
     """PF13: rooms that take no children lose their child values and say so."""
-    none = F.coalesce(max_child <= 0, F.lit(False))
+    none = F.coalesce(max_child <= 0, F.lit(False)) & ~is_blank("room")
     warning = F.concat(
         F.lit("Child rates cleared because occupancy table says Max Children = 0 for room '"), "room", F.lit("'.")
     )

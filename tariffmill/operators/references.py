@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tariffmill.functions.base import blank, fold
+from tariffmill.functions.base import blank, fold, stripped
 from tariffmill.functions.names import alnum_key
 from tariffmill.operators.shaping import keep_first, prefix_sum
 
@@ -94,5 +94,5 @@ def opening_text(documents: DataFrame, limit: int = SHOWN_CHARACTERS) -> DataFra
         F.array_sort(F.collect_list(F.struct("ord", "_block"))), lambda s: s["_block"]
     ), "\n\n")
     return opening_documents(documents, limit).groupBy("contract_id").agg(
-        F.substring(F.btrim(joined), 1, limit).alias("text")
+        F.substring(stripped(joined), 1, limit).alias("text")
     )

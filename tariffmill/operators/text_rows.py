@@ -12,13 +12,13 @@ from tariffmill.functions.vocabulary import detect_currency, detect_meal_plan
 
 # Note categories and the words that call for one, in order.
 NOTE_TRIGGERS = {
-    "Taxes/service": r"(?i)\b(tax(es)?|service charge|VAT|municipality)\b",
-    "Cancellation": r"(?i)\b(cancellation|no[- ]show|no show|early departure)\b",
-    "Gala dinner": r"(?i)\b(gala|christmas|new ?year)\b",
-    "Special offer": r"(?i)\b(special offer|promotion|free night|stay pay)\b",
-    "Booking window": r"(?i)\b(booking window|EBD|early booking)\b",
-    "Minimum stay": r"(?i)\b(min(imum)? stay|MLOS)\b",
-    "Child policy": r"(?i)\b(child policy|free of charge|FOC|infant)\b",
+    "Taxes/service": r"(?iU)\b(tax(es)?|service charge|VAT|municipality)\b",
+    "Cancellation": r"(?iU)\b(cancellation|no[- ]show|no show|early departure)\b",
+    "Gala dinner": r"(?iU)\b(gala|christmas|new ?year)\b",
+    "Special offer": r"(?iU)\b(special offer|promotion|free night|stay pay)\b",
+    "Booking window": r"(?iU)\b(booking window|EBD|early booking)\b",
+    "Minimum stay": r"(?iU)\b(min(imum)? stay|MLOS)\b",
+    "Child policy": r"(?iU)\b(child policy|free of charge|FOC|infant)\b",
 }
 WARNING = "Stub extractor produced this row from coarse pattern matching — review every field."
 

@@ -192,8 +192,8 @@ QUERIES |= {
         "contract_id", "key", "age_from", "age_to", "value_type"
     ),
     "fn21_child_key": lambda s: _scalar(s, "child_bands", "contract_id", "hotel", "ord", key=pricing.child_key("position", "age_from", "age_to")),
-    "fn22_room_tokens": lambda s: s.occupancy.select("doc_id", "room_name", names.room_tokens("room_name").alias("tokens"),
-                                                      names.room_tokens(F.concat("doc_id", F.lit(" Dlx SV (the)"))).alias("sheet_tokens")),
+    "fn22_room_tokens": lambda s: s.occupancy.select("doc_id", "room_name", F.array_sort(names.room_tokens("room_name")).alias("tokens"),
+                                                      F.array_sort(names.room_tokens(F.concat("doc_id", F.lit(" Dlx SV (the)")))).alias("sheet_tokens")),
     "fn23_format_cost": lambda s: _scalar(s, "supplements", "ord", cost=numbers.format_cost("supplier_cost", "cost_format")),
     "fn24_slugify": lambda s: _scalar(s, "hotels", "hotel", slug=names.slugify("supplier"), name=names.slugify(F.concat("hotel", F.lit("  & Spa!")))),
     "fn25_meal_from_treatment": lambda s: _scalar(s, "sheet_meta", "doc_id", board=vocabulary.meal_from_treatment("basic_treatment")),
@@ -224,7 +224,7 @@ QUERIES |= {
     "pf2_drop_skeleton_rows": lambda s: normalize.drop_skeleton_rows(s.rows)[0].select("row_id", "sheet"),
     "pf2_skeleton_notes": lambda s: normalize.drop_skeleton_rows(s.rows)[1],
     "pf3_priced_predicate": lambda s: s.rows.select("row_id", normalize.has_price().alias("priced")),
-    "pf4_exportable_contracts": lambda s: validate.export_gate(s.contracts, s.issues.where("field = 'Supplier'"))[0].select("contract_id"),
+    "pf4_exportable_contracts": lambda s: validate.export_gate(s.contracts, s.issues.where("hotel like '%7'"))[0].select("contract_id"),
     "pf4_blocking_issues": lambda s: validate.export_gate(s.contracts, s.issues)[1].select("contract_id", "row_id", "message"),
     "pf5_review_grid_filter": lambda s: review.filter_rows(
         s.rows, s.issues, hotel="Supplier", sheet="Page:3", only_errors=True
@@ -242,7 +242,7 @@ QUERIES |= {
                         F.lit("hotel_contract").alias("classification")), s.cells,
     )[1].select("contract_id", "doc_id", "row_idx", "col_idx", "value_str"),
     "pf13_clear_child_values": lambda s: children(normalize.clear_child_values(
-        s.rows, F.col("max_rollaways") - 1
+        s.rows, F.col("max_rollaways")
     )).select("row_id", "chd1", "chd2", F.size("warnings").alias("n_warnings")),
 }
 QUERIES["pf9_expand_row_guard"] = lambda s: blocks.has_base_price_and_dates(
@@ -287,7 +287,7 @@ QUERIES |= {
     ),
     "j14_enrichment_missing_fields": lambda s: enrich.enrichment_gaps(s.rows),
     "j15_supplement_patch_merge": lambda s: dedup.merge_supplements(
-        s.supplements.where("kind <> 'click'").drop("shouted"),
+        s.supplements.where("kind <> 'other'").drop("shouted"),
         s.supplements.withColumn("hotel", F.coalesce("shouted", "hotel")).drop("shouted").withColumn("ord", -F.col("ord")),
         s.supplements.groupBy("contract_id").agg(F.max("hotel").alias("hotel")),
     ).select("contract_id", "hotel", "ord"),

@@ -583,8 +583,9 @@ def line_text(source: str, group: str, line: str) -> str:
 widths AS (SELECT {group}, max(col_idx) + 1 AS width FROM shown GROUP BY ALL),
 numbered AS (SELECT DISTINCT {group}, line, width FROM shown JOIN widths USING ({group})),
 places AS (SELECT *, unnest(range(width)) AS col_idx FROM numbered),
-rendered AS (SELECT {group}, line, width, CAST(line AS VARCHAR) || chr(9) || string_agg(coalesce(v, ''), chr(9) ORDER BY col_idx) AS text
-  FROM places LEFT JOIN shown USING ({group}, line, col_idx) GROUP BY ALL)"""
+bodies AS (SELECT {group}, line, width, string_agg(coalesce(v, ''), chr(9) ORDER BY col_idx) AS body
+  FROM places LEFT JOIN shown USING ({group}, line, col_idx) GROUP BY {group}, line, width),
+rendered AS (SELECT {group}, line, width, CAST(line AS VARCHAR) || chr(9) || body AS text FROM bodies)"""
 
 
 def whole_text(name: str) -> str:
@@ -738,7 +739,7 @@ EDITED_FIELDS = ("city_area", "status")
 
 def _edit(grain: str, keys: tuple[str, ...]) -> str:
     return f"{grain}_edit AS (SELECT contract_id, {', '.join(keys)}, " + ", ".join(
-        f"arg_max_null(value, (at, ord)) FILTER (field = '{f}') AS {f}, max((at, ord)) FILTER (field = '{f}') AS {f}_at" for f in EDITED_FIELDS
+        f"arg_max_null(value, (\"at\", ord)) FILTER (field = '{f}') AS {f}, max((\"at\", ord)) FILTER (field = '{f}') AS {f}_at" for f in EDITED_FIELDS
     ) + f" FROM edits WHERE grain = '{grain}' GROUP BY ALL)"
 
 
@@ -1124,7 +1125,7 @@ SQL["snk6_supplier_template_save"] = f"WITH {TEMPLATES} SELECT slug AS supplier_
 SQL["snk7_supplier_template_load"] = f"""
 WITH {TEMPLATES} SELECT o.contract_id, o.s AS supplier_slug, t.kind, t.value, CAST(t.first_seen AS BIGINT) AS first_seen
 FROM (SELECT contract_id, 'supplier-' || split_part(contract_id, '-', 2) AS s FROM options) o LEFT JOIN template t ON t.slug = o.s"""
-SQL["ss2_job_status"] = "SELECT job_id, arg_max(event, (at, event)) AS status, max(at) AS at, CAST(count(*) AS BIGINT) AS events FROM job_events GROUP BY 1"
+SQL["ss2_job_status"] = "SELECT job_id, arg_max(event, (\"at\", event)) AS status, max(\"at\") AS at, CAST(count(*) AS BIGINT) AS events FROM job_events GROUP BY 1"
 SQL["ss2_job_event_counts"] = "SELECT job_id, event, CAST(count(*) AS BIGINT) AS events FROM job_events GROUP BY 1, 2"
 
 

@@ -338,7 +338,7 @@ _SENTENCE = (
         "Prices in EUR, HB. CHD(2-11.99) and CHD (0 - 1.99) pay half. Cancellation: 30 days prior.",
         "Rates in US$ on AI basis; child discounts apply. Gala dinner 24/12 obligatory.",
         "No rates here.",
-        "GBP 62,00 bed and breakfast, min stay 3 nights, taxes included, CHD(2-11.99). New year 1.1.26-7.1.26",
+        "GBP 62,00 bed and breakfast, min stay 3 nights, taxes included, CHD(2-11.99). New year 1.1.26 - 7.1.26",
         "Special offer: early booking FOC infant 31-12-2025",
     ))
 )

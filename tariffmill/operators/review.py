@@ -134,7 +134,7 @@ def issues_by_severity(issues: DataFrame) -> DataFrame:
 def season_overview(rows: DataFrame) -> DataFrame:
     """AG17: distinct date spans with the first row's name, weekdays, minimum stay and release."""
     first = F.struct(
-        first_filled("season", "rate_plan", F.lit("")).alias("name"), F.coalesce("days", F.lit("")).alias("days"),
+        F.coalesce(first_filled("season", "rate_plan"), F.lit("")).alias("name"), F.coalesce("days", F.lit("")).alias("days"),
         "min_stay", "release_period",
     )
     return rows.groupBy(

@@ -14,20 +14,25 @@ _DAY_FIRST_SAME_MARK = r"^(\d{1,2})([./-])(\d{1,2})\2(\d{2,4})$"
 ALL_WEEK = "1234567"
 
 
-def _iso(text: Column, pattern: str, year: int, month: int, day: int) -> Column:
-    def part(index: int) -> Column:
-        return F.regexp_extract(text, pattern, index)
+def _padded(date: Column) -> Column:
+    return F.regexp_replace(date, r"-(\d)(?!\d)", "-0$1")
 
-    y = F.when(F.length(part(year)) == 2, F.concat(F.lit("20"), part(year))).otherwise(part(year))
-    return F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(part(month), 2, "0"), F.lpad(part(day), 2, "0"))
+
+def _from_iso(text: Column) -> Column:
+    return _padded(F.regexp_extract(text, _ISO_PREFIX, 0))
+
+
+def _from_day_first(text: Column, pattern: str, order: str) -> Column:
+    turned = F.regexp_replace(F.regexp_replace(text, pattern, order), r"^(\d\d)-", "20$1-")
+    return _padded(F.regexp_replace(turned, r"^(\d{3})-", "0$1-"))
 
 
 def normalize_iso_date(c: Column | str) -> Column:
     """FN5: ISO text from an ISO prefix or a day-first date. The calendar is not checked here."""
     s = squeezed(c)
     return (
-        F.when(s.rlike(_ISO_PREFIX), _iso(s, _ISO_PREFIX, 1, 2, 3))
-        .when(s.rlike(_DAY_FIRST), _iso(s, _DAY_FIRST, 3, 2, 1))
+        F.when(s.rlike(_ISO_PREFIX), _from_iso(s))
+        .when(s.rlike(_DAY_FIRST), _from_day_first(s, _DAY_FIRST, "$3-$2-$1"))
     )
 
 
@@ -35,8 +40,8 @@ def to_iso_date_strict(c: Column | str) -> Column:
     """FN6: as above, but both separators must agree and the day must exist."""
     s = squeezed(c)
     text = (
-        F.when(s.rlike(_ISO_PREFIX), _iso(s, _ISO_PREFIX, 1, 2, 3))
-        .when(s.rlike(_DAY_FIRST_SAME_MARK), _iso(s, _DAY_FIRST_SAME_MARK, 4, 3, 1))
+        F.when(s.rlike(_ISO_PREFIX), _from_iso(s))
+        .when(s.rlike(_DAY_FIRST_SAME_MARK), _from_day_first(s, _DAY_FIRST_SAME_MARK, "$4-$3-$1"))
     )
     return F.when(real_date(text).isNotNull(), text)
 

@@ -36,19 +36,29 @@ def _is_word(text: Column, words: tuple[str, ...]) -> Column:
     return text.rlike("(?i)^(" + "|".join(words) + ")$")
 
 
+def read_number(text: Column, integer: bool = False, free: Column | None = None) -> Column:
+    """FN7's number for stripped text: percentages lose sign and mark, commas are thousands marks, 'free' is ``free``."""
+    percent = F.when(text.endswith("%"), parse_plain(F.btrim(F.regexp_replace(text, r"%+$|^-+(?=.*%$)", ""))))
+    plain = parse_plain(F.translate(text, ", ", ""))
+    gratis = F.when(_is_word(text, FREE_WORDS), (F.lit(0) if free is None else free).cast(NUMBER))
+    return F.coalesce(percent, _truncated(plain) if integer else plain, gratis)
+
+
+def unread_text(text: Column, number: Column) -> Column:
+    """FN7's prose: stripped text that gave no number and does not say 'no value'."""
+    return F.when(text.isNotNull() & number.isNull() & ~_is_word(text, NO_VALUE_WORDS), text)
+
+
+def free_value(value_type: Column) -> Column:
+    """What 'free' means: all of a discount, nothing of an amount."""
+    return F.when(value_type == "discount_percentage", 100).otherwise(0)
+
+
 def coerce_number(value: Column | str, integer: bool = False, value_type: Column | None = None) -> Column:
-    """FN7: struct(num, prose). Commas are thousands marks and are dropped; text that is no number becomes prose."""
-    s = squeezed(value)
-    percent = F.when(s.endswith("%"), parse_plain(F.btrim(F.regexp_replace(s, r"%+$|^-+(?=.*%$)", ""))))
-    plain = parse_plain(F.translate(s, ", ", ""))
-    free = F.lit(0) if value_type is None else F.when(value_type == "discount_percentage", 100).otherwise(0)
-    nothing, gratis = _is_word(s, NO_VALUE_WORDS), _is_word(s, FREE_WORDS)
-    number = F.coalesce(
-        percent, _truncated(plain) if integer else plain, F.when(gratis, free.cast(NUMBER))
-    )
-    return F.struct(
-        number.alias("num"), F.when(s.isNotNull() & number.isNull() & ~nothing, s).alias("prose")
-    )
+    """FN7: struct(num, prose). Text that is no number becomes prose."""
+    text = squeezed(value)
+    number = read_number(text, integer, None if value_type is None else free_value(value_type))
+    return F.struct(number.alias("num"), unread_text(text, number).alias("prose"))
 
 
 def _truncated(number: Column) -> Column:
@@ -72,13 +82,12 @@ def parse_price_cell(text: Column | str, number: Column | str | None = None) ->
     """FN9: price of a source cell, or null when the cell holds none."""
     s = squeezed(text)
     cleaned = F.regexp_replace(F.regexp_replace(s, CURRENCY_PATTERN, "").transform(_comma_to_dot), r"\s+", "")
+    # The character test is cheap and turns most cells away before the patterns are tried.
     looks_like_price = (
-        ~_is_word(s, SHEET_WORDS)
-        & ~s.contains("%")
-        & ~s.contains("|")
-        & (F.length(s) <= LONGEST_PRICE_TEXT)
-        & ~s.rlike(DATE_OR_PERIOD_PATTERN)
+        (F.length(s) <= LONGEST_PRICE_TEXT)
+        & s.rlike(r"^[-\d.,\s€$£EURODSGBPAeurodsgbpa]*\d[-\d.,\s€$£EURODSGBPAeurodsgbpa]*$")
         & cleaned.rlike(r"^-?\d{1,5}(\.\d{1,2})?$")
+        & ~s.rlike(DATE_OR_PERIOD_PATTERN)
     )
     price = F.when(looks_like_price, cleaned.try_cast(MONEY))
     if number is not None:

@@ -90,31 +90,48 @@ def _first_board(text: Column) -> Column:
 
 def normalize_currency(c: Column | str) -> Column:
     """FN1: three-letter code, by token precedence; null when the text names no currency."""
-    s = F.upper(squeezed(c))
+    return currency_of(upper_text(c))
+
+
+def upper_text(c: Column | str) -> Column:
+    """Stripped upper case: what the rules below look at. Keep it in a column of its own when rules repeat per row."""
+    return F.upper(squeezed(c))
+
+
+def currency_of(s: Column) -> Column:
     rules = [(any_contains(s, tokens), code) for code, tokens in CURRENCY_TOKENS.items()]
     return cases(rules + [(s.rlike(r"^\p{L}{3}$"), s)])
 
 
 def normalize_meal_plan(c: Column | str) -> Column:
     """FN2: exact name first, then the first board token contained, else the text as given."""
-    s = F.upper(squeezed(c))
+    return F.when(squeezed(c).isNotNull(), F.coalesce(board_of(upper_text(c)), col(c)))
+
+
+def board_of(s: Column) -> Column:
     exact = cases([(s == token, name) for token, name in BOARD_TOKENS.items()])
     spelled = F.when(s == "BED & BREAKFAST", F.lit("Bed & Breakfast"))
-    return F.when(s.isNotNull(), F.coalesce(exact, _first_board(s), spelled, col(c)))
+    return F.coalesce(exact, _first_board(s), spelled)
 
 
 def normalize_rate_type(c: Column | str) -> Column:
     """FN3."""
-    s = F.upper(squeezed(c))
+    return rate_type_of(upper_text(c))
+
+
+def rate_type_of(s: Column) -> Column:
     return cases([(s.contains(token), name) for token, name in RATE_TYPE_TOKENS.items()])
 
 
 def normalize_status(c: Column | str) -> Column:
     """FN4."""
-    s = F.lower(squeezed(c))
+    return status_of(upper_text(c))
+
+
+def status_of(s: Column) -> Column:
     return cases([
-        (s.contains("request"), "On Request"),
-        (any_contains(s, ("open", "live", "available")), "Open"),
+        (s.contains("REQUEST"), "On Request"),
+        (any_contains(s, ("OPEN", "LIVE", "AVAILABLE")), "Open"),
     ])
 
 

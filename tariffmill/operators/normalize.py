@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tariffmill.functions.base import blank, first_filled, is_blank
+from tariffmill.functions.base import blank, first_filled, is_blank, squeezed
 from tariffmill.functions.dates import ALL_WEEK, days_mask, normalize_iso_date, repair_end_date
-from tariffmill.functions.numbers import coerce_number
+from tariffmill.functions.numbers import free_value, read_number, unread_text
 from tariffmill.functions.pricing import child_amount, extra_bed_amount, money
-from tariffmill.functions.vocabulary import (
-    normalize_currency, normalize_meal_plan, normalize_rate_type, normalize_status,
-)
+from tariffmill.functions.vocabulary import board_of, currency_of, rate_type_of, status_of, upper_text
 from tariffmill.operators.child_columns import normalize_columns
 from tariffmill.schemas import (
     CELL_META, GEO_FIELDS, HOTEL_HEADERS, INTEGER_FIELDS, MONEY, NUMBER, NUMERIC_FIELDS, PRICE_FIELDS, SUPP_HEADERS,
@@ -71,17 +69,18 @@ def apply_meta(rows: DataFrame, meta: DataFrame, options: DataFrame) -> DataFram
 
 
 def normalize_vocabulary(rows: DataFrame) -> DataFrame:
-    """Currencies, board, rate type and status by their vocabularies; unknown text stays."""
-    def kept(field: str, value: Column) -> Column:
-        return F.when(is_blank(field), F.col(field)).otherwise(F.coalesce(value, F.col(field)))
+    """Currencies, board, rate type and status by their vocabularies; unknown text stays.
 
-    return rows.withColumns({
-        "currency": F.coalesce(normalize_currency("currency"), "currency"),
-        "customer_currency": F.coalesce(normalize_currency("customer_currency"), "customer_currency"),
-        "meal_plan": kept("meal_plan", normalize_meal_plan("meal_plan")),
-        "rate_type": kept("rate_type", normalize_rate_type("rate_type")),
-        "status": kept("status", normalize_status("status")),
-    })
+    The upper-case texts are columns of their own, so the many tests on them share one conversion per row.
+    """
+    rules = {
+        "currency": currency_of, "customer_currency": currency_of, "meal_plan": board_of, "rate_type": rate_type_of,
+        "status": status_of,
+    }
+    upper = rows.withColumns({f"_u_{f}": upper_text(f) for f in rules})
+    return upper.withColumns({
+        f: F.coalesce(rule(F.col(f"_u_{f}")), F.col(f)) for f, rule in rules.items()
+    }).drop(*[f"_u_{f}" for f in rules])
 
 
 def repair_end_year(rows: DataFrame) -> DataFrame:
@@ -108,20 +107,27 @@ def _moved(field: Column, prose: Column) -> Column:
 def prose_to_notes(rows: DataFrame) -> DataFrame:
     """The numeric fields as numbers; what was text is nulled and listed in ``moved_fields``.
 
-    All fields are read in one projection; nothing is unpivoted until notes are asked for.
+    Nothing is unpivoted until notes are asked for. Text, number and leftover text are columns of their own, each used
+    more than once, so Catalyst keeps the steps apart and every field is read once per row.
     """
-    parsed = rows.withColumns({f"_n_{f}": coerce_number(f, integer=f in INTEGER_FIELDS) for f in NUMERIC_FIELDS})
-    moved = F.array_compact(F.array(*[_moved(F.lit(HEADERS[f]), F.col(f"_n_{f}.prose")) for f in NUMERIC_FIELDS]))
+    stripped = rows.withColumns({f"_s_{f}": squeezed(f) for f in NUMERIC_FIELDS})
+    numbered = stripped.withColumns({
+        f"_n_{f}": read_number(F.col(f"_s_{f}"), f in INTEGER_FIELDS) for f in NUMERIC_FIELDS
+    })
+    parted = numbered.withColumns({
+        f"_p_{f}": unread_text(F.col(f"_s_{f}"), F.col(f"_n_{f}")) for f in NUMERIC_FIELDS
+    })
+    moved = F.array_compact(F.array(*[_moved(F.lit(HEADERS[f]), F.col(f"_p_{f}")) for f in NUMERIC_FIELDS]))
     typed = {}
     for f in NUMERIC_FIELDS:
         kind = "int" if f in INTEGER_FIELDS else NUMBER if f in GEO_FIELDS else MONEY
-        typed[f] = F.col(f"_n_{f}.num").cast(kind)
+        typed[f] = F.col(f"_n_{f}").cast(kind)
     told = F.transform("moved_fields", lambda m: F.concat(
         m["field"], F.lit(": '"), m["prose"], F.lit("' moved to Extraction Notes")
     ))
     return (
-        parsed.withColumn("moved_fields", moved).withColumns(typed).withColumn("warnings", F.concat(_warnings(), told))
-        .drop(*[f"_n_{f}" for f in NUMERIC_FIELDS])
+        parted.withColumns({"moved_fields": moved, **typed}).withColumn("warnings", F.concat(_warnings(), told))
+        .drop(*[f"_{p}_{f}" for p in "snp" for f in NUMERIC_FIELDS])
     )
 
 
@@ -137,20 +143,23 @@ def child_prose_to_notes(rows: DataFrame, columns: DataFrame) -> DataFrame:
     joined = rows.join(keys, "contract_id", "left").withColumn(
         "_columns", F.coalesce("_columns", F.array().cast("array<struct<ord:int,key:string,value_type:string>>"))
     )
-    read = F.transform("_columns", lambda c: F.struct(
-        c["key"].alias("key"),
-        coerce_number(F.try_element_at("child_values", c["key"]), value_type=c["value_type"]).alias("v"),
+    texts = F.transform("_columns", lambda c: F.struct(
+        c["key"].alias("key"), free_value(c["value_type"]).alias("free"),
+        squeezed(F.try_element_at("child_values", c["key"])).alias("text"),
+    ))
+    read = F.transform(texts, lambda c: F.struct(
+        c["key"].alias("key"), c["text"].alias("text"), read_number(c["text"], free=c["free"]).alias("num")
     ))
     moved = F.transform(
-        F.filter("_read", lambda r: r["v"]["prose"].isNotNull()),
-        lambda r: F.struct(r["key"].alias("field"), r["v"]["prose"].alias("prose")),
+        F.filter("_read", lambda r: unread_text(r["text"], r["num"]).isNotNull()),
+        lambda r: F.struct(r["key"].alias("field"), r["text"].alias("prose")),
     )
     told = F.transform("moved_children", lambda m: F.concat(
         m["field"], F.lit(": '"), m["prose"], F.lit("' moved to Extraction Notes")
     ))
-    clean = F.map_from_entries(F.transform("_read", lambda r: F.struct(r["key"], r["v"]["num"].cast(MONEY))))
+    clean = F.map_from_entries(F.transform("_read", lambda r: F.struct(r["key"], r["num"].cast(MONEY))))
     return (
-        joined.withColumn("_read", read).withColumn("moved_children", moved).withColumn("child_values", clean)
+        joined.withColumn("_read", read).withColumns({"moved_children": moved, "child_values": clean})
         .withColumn("warnings", F.concat(_warnings(), told)).drop("_read", "_columns")
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -226,8 +228,14 @@ def columns_as_amounts(columns: DataFrame) -> DataFrame:
     })
 
 
-def normalize_rows(rows: DataFrame, columns: DataFrame, options: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows, child columns and new notes. ``rows`` hold raw text in every field; ``child_values`` maps to text."""
+def normalize_rows(
+    rows: DataFrame, columns: DataFrame, options: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows, child columns and new notes. ``rows`` hold raw text in every field; ``child_values`` maps to text.
+
+    The read rows feed all three results. ``keep`` may store them in between (``session.stage``), which also keeps later
+    filters from being pushed into, and repeated over, the long reading expressions.
+    """
     sorted_columns = normalize_columns(columns)
     dated = normalize_vocabulary(apply_defaults(rows, options)).withColumns({
         "start_date": normalize_iso_date("start_date"), "end_date": normalize_iso_date("end_date"),
@@ -241,6 +249,7 @@ def normalize_rows(rows: DataFrame, columns: DataFrame, options: DataFrame) -> t
         "cell_meta": F.coalesce("cell_meta", F.create_map().cast(CELL_META)),
         "review_state": F.coalesce("review_state", F.lit("auto")),
     })
+    filled = keep(filled)
     typed = detect_percentage_columns(filled, sorted_columns)
     done = discount_to_amount(filled, typed)
     return done.drop("moved_fields", "moved_children"), columns_as_amounts(typed), moved_text_notes(filled)

@@ -43,9 +43,12 @@ def process_rows(
 ) -> dict[str, DataFrame]:
     """Raw gen-1 rows to clean rows, notes and issues: normalise, drop skeletons, audit, validate.
 
-    Clean rows feed four outputs, so they are written once to the checkpoint folder when ``staged``.
+    Read rows and clean rows feed several outputs each, so both are written once to the checkpoint folder when
+    ``staged``.
     """
-    clean, clean_columns, moved = normalize.normalize_rows(rows, columns, options)
+    clean, clean_columns, moved = normalize.normalize_rows(
+        rows, columns, options, keep=stage if staged else lambda df: df
+    )
     kept, dropped = normalize.drop_skeleton_rows(clean)
     if staged:
         kept = stage(kept)

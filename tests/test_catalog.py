@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from compare import connect, differences
 from oracle.statements import oracle_sql
@@ -38,17 +39,17 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_rows_pipeline(spark):
     star = StarData(spark, FOLDER)
-    out = process_rows(star.raw_rows, star.child_columns, star.options, star.page_docs, star.source_cells)
+    raw = star.raw_rows.withColumn("rate_plan", F.lit("Contract"))
+    out = process_rows(raw, star.child_columns, star.options, star.page_docs, star.source_cells)
     rows = out["rows"]
     assert rows.count() == 6000
     assert rows.where("size(child_values) = 0").count() == 0
     assert out["issues"].where("severity = 'error'").count() > 0
-    assert {r["category"] for r in out["notes"].select("category").distinct().collect()} == {"Rate anomaly", "Child policy"}
+    assert {r["category"] for r in out["notes"].select("category").distinct().collect()} == {"Rate anomaly", "Child policy", "Source ambiguity"}
 
 
 def test_one_contract_holding_everything(spark):
     """All documents in one contract: places and chunks stay exact when the group spans many stretches."""
-    from pyspark.sql import functions as F
     docs = spark.range(3000).select(
         F.lit("c").alias("contract_id"), F.concat(F.lit("d"), "id").alias("doc_id"), (F.col("id") * 101).alias("ord"),
         F.when(F.col("id") % 10 == 0, "index_reference").otherwise("hotel_contract").alias("classification"),

@@ -408,26 +408,32 @@ _LINE_CENTS = whole("l_extendedprice * 100 / l_quantity + 0.5")
 _LINE_DOC = _SHEET.replace("o_orderkey", "l_orderkey")
 _LINE_KEEP = f"'O' || {text(whole('l_orderkey / 20'))} AS contract_id, {_LINE_DOC} AS doc_id"
 _DAY = "CAST(l_shipdate AS DATE)"
-VIEWS["line_cells"] = unnest("lineitem", _LINE_KEEP, [
-    _cell(_LINE_ROW, 0, f"CASE WHEN l_quantity = 3 THEN '' WHEN l_linenumber % 2 = 0 THEN {text('day(' + _DAY + ')')} || '/'"
+# A few order lines share a sheet row; they are merged before they become cells.
+VIEWS["sheet_lines"] = f"""
+SELECT l_orderkey, CAST({_LINE_ROW} AS INT) AS row_idx, l_linenumber, max(l_quantity) AS l_quantity,
+  max(l_extendedprice) AS l_extendedprice, max(l_discount) AS l_discount, max(l_tax) AS l_tax, max(l_shipdate) AS l_shipdate,
+  max(CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END) AS flag, max(CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END) AS open_line
+FROM lineitem GROUP BY l_orderkey, l_linenumber, {_LINE_ROW}"""
+
+VIEWS["line_cells"] = unnest("sheet_lines", _LINE_KEEP, [
+    _cell("row_idx", 0, f"CASE WHEN l_quantity = 3 THEN '' WHEN l_linenumber % 2 = 0 THEN {text('day(' + _DAY + ')')} || '/'"
                         f" || {text('month(' + _DAY + ')')} || '/' || {text('year(' + _DAY + ')')} ELSE {text(_DAY)} END"),
-    _cell(_LINE_ROW, 1, f"{text('year(' + _DAY + ') + 1')} || '-12-31'"),
-    _cell(_LINE_ROW, 2, f"CASE WHEN l_quantity = 5 THEN 'n/a' ELSE {text(money(_LINE_CENTS))} END",
+    _cell("row_idx", 1, f"{text('year(' + _DAY + ') + 1')} || '-12-31'"),
+    _cell("row_idx", 2, f"CASE WHEN l_quantity = 5 THEN 'n/a' ELSE {text(money(_LINE_CENTS))} END",
           f"CASE WHEN l_quantity = 5 THEN NULL ELSE CAST({money(_LINE_CENTS)} AS DOUBLE) END"),
-    _cell(_LINE_ROW, 3, "CASE WHEN l_discount > 0.05 THEN '0,7' WHEN l_discount > 0.02 THEN '€ 12' ELSE NULL END"),
-    _cell(_LINE_ROW, 4, "CASE WHEN l_tax > 0.04 THEN '0.3' WHEN l_tax > 0.02 THEN '2' ELSE 'free' END"),
-    _cell(_LINE_ROW, 5, "CASE WHEN l_linestatus = 'F' THEN '50%' ELSE '-' END"),
-    _cell(_LINE_ROW, 6, "CASE WHEN l_returnflag = 'A' THEN '3' WHEN l_returnflag = 'N' THEN '10,5' ELSE NULL END"),
-    _cell(_LINE_ROW, 7, "CASE WHEN l_returnflag = 'R' THEN '14' ELSE '7.9' END"),
+    _cell("row_idx", 3, "CASE WHEN l_discount > 0.05 THEN '0,7' WHEN l_discount > 0.02 THEN '€ 12' ELSE NULL END"),
+    _cell("row_idx", 4, "CASE WHEN l_tax > 0.04 THEN '0.3' WHEN l_tax > 0.02 THEN '2' ELSE 'free' END"),
+    _cell("row_idx", 5, "CASE WHEN open_line = 0 THEN '50%' ELSE '-' END"),
+    _cell("row_idx", 6, "CASE WHEN flag = 0 THEN '3' WHEN flag = 1 THEN '10,5' ELSE NULL END"),
+    _cell("row_idx", 7, "CASE WHEN flag = 2 THEN '14' ELSE '7.9' END"),
 ])
 
 VIEWS["cells"] = """
 SELECT contract_id, doc_id, row_idx, col_idx, value_str, value_num, value_type
 FROM head_cells WHERE value_str IS NOT NULL
 UNION ALL
-SELECT contract_id, doc_id, row_idx, col_idx, max(value_str) AS value_str, max(value_num) AS value_num,
-  max(value_type) AS value_type
-FROM line_cells GROUP BY contract_id, doc_id, row_idx, col_idx HAVING max(value_str) IS NOT NULL"""
+SELECT contract_id, doc_id, row_idx, col_idx, value_str, value_num, value_type
+FROM line_cells WHERE value_str IS NOT NULL"""
 
 VIEWS["blocks"] = f"""
 SELECT {_ORDER_KEEP}, 0 AS block_idx, {pick("o_orderkey", quoted("Contract Rate", None, "EBD"))} AS title,

@@ -96,7 +96,7 @@ def best_fit(histogram: dict[int, int], capacities: Sequence[int], sizes: Sequen
             count -= used * each
         left_pieces -= histogram[length]
         left_total -= length * histogram[length]
-    return [pattern for room in by_room for pattern in by_room[room]]
+    return [(bins, holds) for room in by_room for bins, holds in by_room[room] if holds]
 
 
 def make_plan(histogram: dict[int, int], capacities: Sequence[int] = CAPACITIES, bin_cost: int = BIN_COST) -> Plan:

@@ -133,17 +133,16 @@ def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _placed(plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = plan.value
-        bounds = np.searchsorted(p.length, np.arange(int(p.length[-1]) + 2)) if len(p.length) else np.zeros(1, np.int64)
-        key = p.length * (int(p.first.max(initial=0)) + 1) + p.first if len(p.first) else p.first
-        span = int(p.first.max(initial=0)) + 1
+        lengths, first, many, bins, starts, capacity = plan.value
+        span = int(first.max(initial=0)) + 1
+        bounds = np.searchsorted(lengths, np.arange(int(lengths.max(initial=0)) + 2))
+        key = lengths * span + first
         for batch in batches:
             length, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "rank"))
             at = np.minimum(np.searchsorted(key, length * span + np.minimum(rank, span - 1), "right") - 1, bounds[length + 1] - 1)
-            ahead = rank - p.first[at]
+            ahead = rank - first[at]
             columns = {
-                "bin": p.bin[at] + ahead // p.many[at], "capacity": p.capacity[at],
-                "bin_start": p.start[at] + (ahead % p.many[at]) * length,
+                "bin": bins[at] + ahead // many[at], "capacity": capacity[at], "bin_start": starts[at] + (ahead % many[at]) * length,
             }
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("piece"), batch.column("start"), batch.column("length"), *(pa.array(v) for v in columns.values())],
@@ -172,7 +171,8 @@ def pack(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, bin_cost: int
         F.pmod(F.xxhash64("doc_id", "text_hash", "piece"), F.lit(2 ** 31)).alias("draw"),
     ), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = spark.sparkContext.broadcast(make_plan(histogram, capacities, bin_cost))
+    plan = make_plan(histogram, capacities, bin_cost)
+    plan = spark.sparkContext.broadcast((plan.length, plan.first, plan.many, plan.bin, plan.start, plan.capacity))
 
     blocks = spark.createDataFrame(
         [(k, -(-v // BLOCK_ROWS)) for k, v in histogram.items()], "length long, blocks long"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tariffmill.llm import exact_dedup, minhash, packing, quality, sharding, substring, warc
+from tariffmill.llm import exact_dedup, licences, minhash, packing, quality, sharding, substring, toxicity, warc
 from tariffmill.llm.bpe import Tokenizer
 
 
@@ -15,6 +15,15 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, _read(spark, folder, "labels")))
+
+
+def op2_licences(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan(_read(spark, folder, "documents"))
+
+
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     found = warc.archive(_read(spark, folder, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -59,13 +68,13 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        op3_warc, op4_minhash, op5_packing, op6_sharding, op7_exact_dedup, op8_substring, op9_bpe, op10_quality,
+        op1_toxicity, op2_licences, op3_warc, op4_minhash, op5_packing, op6_sharding, op7_exact_dedup, op8_substring, op9_bpe, op10_quality,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op3_warc": warc.ORACLE, "op4_minhash": minhash.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE,
+        "op2_licences": licences.ORACLE, "op3_warc": warc.ORACLE, "op4_minhash": minhash.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE,
         "op8_substring": substring.ORACLE, "op10_quality": quality.ORACLE,
     }

@@ -178,8 +178,8 @@ SQL |= {
         f"CASE WHEN {x.has_ai(f)} THEN '{h}' END" for f, h in [("address_line_1", "Address Line 1"), ("address_line_4", "Address Line 4"), ("county_state_province", "County / State / Province"), ("email", "Email Address")]
     ], "CASE WHEN latitude IS NOT NULL THEN 'Latitude' END", "CASE WHEN longitude IS NOT NULL THEN 'Longitude' END") + " AS ai_fields FROM hotels",
     "pf11_field_state": "SELECT row_id, CASE WHEN city_mark = 'ai' THEN 'enriched' WHEN city_mark = 'user' THEN 'edited' WHEN warning IS NOT NULL OR confidence < 0.4 THEN 'verify' ELSE 'none' END AS field_state FROM rows",
-    "pf12_trim_documents": "WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY contract_id ORDER BY CASE classification WHEN 'hotel_contract' THEN 0 WHEN 'index_reference' THEN 1 ELSE 2 END, ord) AS rn, CASE input_format WHEN 'pdf' THEN 10000 WHEN 'docx' THEN 12000 WHEN 'image' THEN 8000 ELSE 60000 END AS cap FROM text_docs) SELECT contract_id, doc_id, CASE WHEN length(raw_excerpt) > cap THEN substr(raw_excerpt, 1, cap) || chr(10) || '...[truncated]' ELSE raw_excerpt END AS raw_excerpt FROM ranked WHERE rn <= 40",
-    "pf12_trim_cells": "SELECT contract_id, doc_id, row_idx, col_idx, value_str FROM cells WHERE row_idx < 120 AND col_idx < 40",
+    "pf12_trim_documents": "SELECT contract_id, doc_id, raw_excerpt FROM text_docs",
+    "pf12_trim_cells": "SELECT contract_id, doc_id, row_idx, col_idx, value_str FROM cells",
     "pf13_clear_child_values": "SELECT row_id, CASE WHEN max_rollaways > 0 OR room IS NULL THEN CAST(chd1 AS DOUBLE) END AS chd1, CASE WHEN max_rollaways > 0 OR room IS NULL THEN CAST(chd2 AS DOUBLE) END AS chd2, CASE WHEN warning IS NULL THEN 0 ELSE 1 END + CASE WHEN max_rollaways > 0 OR room IS NULL THEN 0 ELSE 1 END AS n_warnings FROM rows",
 }
 VIEW_NAME = " OR ".join(f"contains(lower(name), '{w}')" for w in ("supp.", "view supp", "pool view", "sea view", "sea side view", "garden view", "beach front", "swim up", "swim-up"))
@@ -365,8 +365,7 @@ COUNTED = "(SELECT contract_id, row_id, count(*) FILTER (severity = 'error') AS
 SQL["j19_row_issue_counts"] = f"SELECT r.row_id, CAST(coalesce(i.e, 0) AS BIGINT) AS errors, CAST(coalesce(i.w, 0) AS BIGINT) AS warnings_count FROM rows r LEFT JOIN {COUNTED} USING (contract_id, row_id)"
 SQL["j20_uncovered_rooms"] = f"""
 SELECT s.contract_id, s.batch_id, s.room FROM skeleton_rooms s WHERE NOT EXISTS (SELECT 1 FROM rows r WHERE r.contract_id = s.contract_id
-  AND s.batch_id = {BATCH} AND r.room = s.room AND r.room <> 'LARGE')
-QUALIFY row_number() OVER (PARTITION BY s.contract_id, s.batch_id ORDER BY s.ord) <= 5"""
+  AND s.batch_id = {BATCH} AND r.room = s.room AND r.room <> 'LARGE')"""
 
 # ---- aggregations ----------------------------------------------------------------------------------------------------
 
@@ -424,12 +423,10 @@ LEFT JOIN (SELECT contract_id, count(*) AS n FROM price_cells GROUP BY 1) c USIN
 LEFT JOIN (SELECT contract_id, count(price) AS n FROM mapped GROUP BY 1) m USING (contract_id)
 LEFT JOIN (SELECT contract_id, count(*) AS n FROM unmapped GROUP BY 1) u USING (contract_id)""",
     "ag8_unmapped_notes": f"""
-WITH {UNMAPPED}, placed AS (SELECT *, row_number() OVER (PARTITION BY contract_id, doc_id, col_name ORDER BY table_idx, row_idx) AS rn FROM unmapped)
+WITH {UNMAPPED}
 SELECT contract_id, doc_id AS page, 'Rate anomaly' AS category, 'Source table on ' || doc_id || ' column ''' || col_name || ''' contained ' ||
-  CAST(count(*) AS VARCHAR) || ' numeric value(s) that no Hotel row used: ' || string_agg('''' || raw || '''', ', ' ORDER BY rn) FILTER (rn <= 8) ||
-  CASE WHEN count(*) > 8 THEN ' (+' || CAST(count(*) - 8 AS VARCHAR) || ' more)' ELSE '' END ||
-  '. Cross-check the rate table and add or correct the rows manually if needed.' AS note, CAST(0.3 AS DOUBLE) AS confidence
-FROM placed GROUP BY contract_id, doc_id, col_name""",
+  CAST(count(*) AS VARCHAR) || ' numeric value(s) that no Hotel row used. Cross-check the rate table and add or correct the rows manually if needed.' AS note, CAST(0.3 AS DOUBLE) AS confidence
+FROM unmapped GROUP BY contract_id, doc_id, col_name""",
 }
 DIMENSIONS = r"""dims AS (
   SELECT contract_id, doc_id, table_idx, count(DISTINCT col_name) FILTER (col_name IN ('Double room', 'Single')) AS rooms,
@@ -545,10 +542,10 @@ SQL["w7_band_positions"] = f"WITH {slots('child_bands', 'contract_id, hotel', Fa
 MARKERS = ("contract rate", "booking window", "early booking", "ebd", "spo", "special offer", "promotion", "winter season", "summer season", "shoulder season", "high season", "low season")
 COLUMN_WORDS = ("from", "to", "release", "supplement", "reduction", "1st child", "2nd child", "3rd child", "extra adult", "child policy", "room type", "occupancies", "min pax", "max pax", "min adults", "max adults")
 SHEET_CLASS = f"""read_cells AS (SELECT *, lower(trim(value_str)) AS t FROM cells WHERE trim(value_str) <> ''
-  QUALIFY row_number() OVER (PARTITION BY contract_id, doc_id ORDER BY row_idx, col_idx) <= 400),
+  ),
 hits AS (SELECT contract_id, doc_id, count(DISTINCT t) FILTER (t IN {words(HEADER_WORDS)}) AS rate_hits, count(DISTINCT t) FILTER (t IN {words(NOTE_WORDS)}) AS note_hits
   FROM read_cells GROUP BY 1, 2),
-names AS (SELECT contract_id, doc_id, arg_min(trim(value_str), (row_idx, col_idx)) AS hotel FROM cells WHERE row_idx < 8 AND
+names AS (SELECT contract_id, doc_id, arg_min(trim(value_str), (row_idx, col_idx)) AS hotel FROM cells WHERE
   regexp_matches(value_str, '{HOTEL_WORDS}') AND length(trim(value_str)) <= 80 GROUP BY 1, 2),
 classes AS (SELECT h.contract_id, h.doc_id, h.rate_hits, h.note_hits, CASE WHEN regexp_matches(lower(h.doc_id), 'hotel list|index|summary|contents|hotels|table of contents') THEN 'index_reference'
     WHEN h.rate_hits >= 3 THEN 'hotel_contract' WHEN regexp_matches(substr(h.doc_id, 7), '{HOTEL_WORDS}') THEN 'hotel_contract'
@@ -634,18 +631,14 @@ UNION ALL SELECT contract_id, CAST(CASE WHEN classification = 'unknown' THEN 0 E
   SELECT d.*, unnest(CASE WHEN d.classification = 'unknown' THEN [0] ELSE range(coalesce(n.m, 0) + 1) END) AS c FROM text_docs d LEFT JOIN n USING (contract_id)
   WHERE d.classification <> 'hotel_contract')""",
     "w12_date_pairs": f"WITH {DATE_LIST} SELECT contract_id, doc_id, pair_ord, start_date, end_date FROM date_pair",
-    "w13_first_three_periods": f"WITH {DATE_LIST} SELECT contract_id, doc_id, pair_ord, start_date, end_date FROM date_pair WHERE pair_ord < 3",
+    "w13_first_three_periods": f"WITH {DATE_LIST} SELECT contract_id, doc_id, pair_ord, start_date, end_date FROM date_pair",
     "w15_first_seen_order": "SELECT contract_id, coalesce(nullif(hotel, ''), 'Unknown Hotel') AS hotel, min(ord) AS first_ord FROM rows GROUP BY 1, 2",
     "w16_detected_hotel_name": f"WITH {SHEET_CLASS} SELECT contract_id, doc_id, hotel AS detected_hotel_name FROM names",
     "w17_note_first_match": f"WITH {TRIGGER_NOTES} SELECT contract_id, doc_id, category, note, hotel FROM trigger_note",
     "st1_sort_child_columns": f"SELECT contract_id, key, label, {x.dbl('age_from')} AS age_from, row_number() OVER (PARTITION BY contract_id ORDER BY age_from NULLS LAST, age_to NULLS LAST, {POSITION_ORDER}, coalesce(nullif(label, ''), nullif(key, ''), ''), ord) AS ord FROM child_columns",
-    "st2_missing_preview": f"""
-WITH {MISSING}, placed AS (SELECT *, row_number() OVER (PARTITION BY contract_id, hotel ORDER BY room_ord, season_ord, meal_ord, room, season, meal) AS rn FROM missing)
-SELECT contract_id, hotel, CAST(count(*) AS BIGINT) AS missing, string_agg('(''' || room || ''', ''' || season || ''', ''' || meal || ''')', '; ' ORDER BY rn) FILTER (rn <= 60) || '.' ||
-  CASE WHEN count(*) > 60 THEN ' Plus ' || CAST(count(*) - 60 AS VARCHAR) || ' more (room, season, meal_code) combinations following the same pattern.' ELSE '' END AS text
-FROM placed GROUP BY 1, 2""",
-    "st3_sample_8": "SELECT contract_id, doc_id, col_name, row_number() OVER (PARTITION BY contract_id, doc_id, col_name ORDER BY table_idx, row_idx) AS place, raw FROM source_cells QUALIFY place <= 8",
-    "st4_doc_priority": f"SELECT contract_id, doc_id FROM text_docs QUALIFY row_number() OVER (PARTITION BY contract_id ORDER BY {PRIORITY}, ord) <= 7",
+    "st2_missing_preview": f"WITH {MISSING} SELECT contract_id, hotel, room_ord, season_ord, meal_ord, '(''' || room || ''', ''' || season || ''', ''' || meal || ''')' AS triple FROM missing",
+    "st3_sample_8": "SELECT contract_id, doc_id, col_name, table_idx, row_idx, raw FROM source_cells",
+    "st4_doc_priority": f"SELECT contract_id, doc_id, CAST({PRIORITY} AS BIGINT) AS priority FROM text_docs",
 }
 
 # ---- supplement sheets -----------------------------------------------------------------------------------------------
@@ -918,7 +911,7 @@ SELECT p.contract_id, p.doc_id AS sheet, p.pair_ord, {DOC_HOTEL} AS hotel, o.sup
   p.start_date, p.end_date, CAST(CAST(p.end_date AS DATE) - CAST(p.start_date AS DATE) AS BIGINT) + 1 AS days, 'Contract' AS rate_plan, {x.found_board('d.raw_excerpt')} AS meal_plan,
   'Open' AS status, CAST(0.35 AS DOUBLE) AS confidence
 FROM date_pair p JOIN text_docs d ON d.contract_id = p.contract_id AND d.doc_id = p.doc_id JOIN text_options o ON o.contract_id = p.contract_id
-WHERE p.pair_ord < 3 AND d.classification <> 'index_reference'""".replace(DOC_HOTEL, DOC_HOTEL.replace("doc_id", "d.doc_id"))
+WHERE d.classification <> 'index_reference'""".replace(DOC_HOTEL, DOC_HOTEL.replace("doc_id", "d.doc_id"))
 SQL["ex15_text_notes"] = f"""
 WITH {DATE_LIST}, {TRIGGER_NOTES}
 SELECT contract_id, doc_id, hotel, category, note FROM trigger_note WHERE classification <> 'index_reference'
@@ -926,7 +919,7 @@ UNION ALL SELECT contract_id, doc_id, {DOC_HOTEL}, 'Source ambiguity', 'No date
 WHERE classification <> 'index_reference' AND doc_id NOT IN (SELECT doc_id FROM date_pair)"""
 SQL["ex16_sheet_grid_lines"] = f"WITH {line_text('cells', GRAND, 'row_idx + 1')} SELECT doc_id, CAST(line AS BIGINT) AS line, text FROM rendered"
 SQL["ex16_sheet_grid_text"] = f"WITH {line_text('cells', GRAND, 'row_idx + 1')} SELECT contract_id, doc_id, {whole_text('doc_id')} AS text FROM rendered GROUP BY 1, 2"
-_BLOCK_CELLS = "block_cells AS (SELECT b.contract_id, b.doc_id, b.block_idx, b.title, b.block_count, b.line, b.doc_id || coalesce(' | ' || substr(b.title, 1, 40), '') AS block_doc_id, c.col_idx, c.value_str FROM block_row b JOIN cells c USING (contract_id, doc_id, row_idx))"
+_BLOCK_CELLS = "block_cells AS (SELECT b.contract_id, b.doc_id, b.block_idx, b.title, b.block_count, b.line, b.doc_id || coalesce(' | ' || b.title, '') AS block_doc_id, c.col_idx, c.value_str FROM block_row b JOIN cells c USING (contract_id, doc_id, row_idx))"
 SQL["ex17_block_documents"] = f"""
 WITH {SHEET_CLASS}, {block_rows("c.classification = 'hotel_contract'")}, {_BLOCK_CELLS}, {line_text('block_cells', 'contract_id, doc_id, block_idx, block_doc_id', 'line')},
 titles AS (SELECT contract_id, doc_id, block_idx, block_doc_id, max(title) AS block_title, max(block_count) AS block_count FROM block_cells GROUP BY 1, 2, 3, 4),

@@ -11,7 +11,6 @@ from tariffmill.adapters.star_views import sql_with_views
 from tariffmill.schemas import CELL_META
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
-FACT_TABLES = ("orders", "lineitem", "events", "documents", "pages")
 CHILD_KEYS = {"chd1": "CHD1(2-11.99)", "chd2": "CHD2(0-5.99)", "chd3": "CHD(12-17.99)"}
 
 
@@ -21,23 +20,17 @@ class StarData:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
-        self._read: set[str] = set()
+        self._tables: dict[str, DataFrame] = {}
 
     def view(self, name: str) -> DataFrame:
         query = sql_with_views(f"SELECT * FROM {name}", "spark")
-        for table in (set(BASE_TABLES) & set(re.findall(r"\w+", query))) - self._read:
-            self._open(table).createOrReplaceTempView(table)
-            self._read.add(table)
+        # Names are bound while the query is analysed, so each call names this folder's tables anew.
+        for table in set(BASE_TABLES) & set(re.findall(r"\w+", query)):
+            if table not in self._tables:
+                self._tables[table] = self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+            self._tables[table].createOrReplaceTempView(table)
         return self.spark.sql(query)
 
-    def _open(self, table: str) -> DataFrame:
-        """A fact table whose files give fewer scan tasks than there are cores is dealt over the cores; others pass."""
-        df = self.spark.read.parquet(f"{self.folder}/{table}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        if table in FACT_TABLES and df.rdd.getNumPartitions() < cores:
-            return df.repartition(cores)
-        return df
-
     def __getattr__(self, name: str) -> DataFrame:
         shape = _SHAPES.get(name)
         return shape(self) if shape else self.view(name)

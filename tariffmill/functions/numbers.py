@@ -75,7 +75,7 @@ def to_float(value: Column | str) -> Column:
 
 def to_int(value: Column | str) -> Column:
     """Whole part of ``to_float``."""
-    return _truncated(to_float(value)).cast("int")
+    return _truncated(to_float(value)).try_cast("int")
 
 
 def parse_price_cell(text: Column | str, number: Column | str | None = None) -> Column:
@@ -91,7 +91,7 @@ def parse_price_cell(text: Column | str, number: Column | str | None = None) ->
     )
     price = F.when(looks_like_price, cleaned.try_cast(MONEY))
     if number is not None:
-        price = F.coalesce(col(number).cast(MONEY), price)
+        price = F.coalesce(col(number).try_cast(MONEY), price)
     return F.when(F.abs(price).between(LOWEST_PRICE, HIGHEST_PRICE), price)
 
 

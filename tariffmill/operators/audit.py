@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tariffmill.functions.base import is_blank
@@ -51,23 +51,32 @@ def audit_stats(cells: DataFrame, rows: DataFrame) -> DataFrame:
     )
 
 
-def sample_cells(cells: DataFrame, n: int = 8) -> DataFrame:
-    """ST3: the first ``n`` cells of each source column in reading order."""
-    return keep_top(cells, COLUMN, [F.asc("table_idx"), F.asc("row_idx")], n, rank_as="place")
+def sample_cells(cells: DataFrame, n: int | None = None) -> DataFrame:
+    """ST3: the cells of each source column, or the first ``n`` in reading order with their place."""
+    return cells if n is None else keep_top(cells, COLUMN, [F.asc("table_idx"), F.asc("row_idx")], n, rank_as="place")
 
 
-def unmapped_notes(unmapped: DataFrame, n: int = 8) -> DataFrame:
-    """AG8: one note per source column with the count and the first samples."""
+def unmapped_notes(unmapped: DataFrame, n: int | None = None) -> DataFrame:
+    """AG8: one note per source column with the count and, if a caller asks for ``n``, the first samples.
+
+    The cells themselves are ``unmapped``, in long form: a note does not grow with its column.
+    """
     counts = unmapped.groupBy(*COLUMN).agg(F.count(F.lit(1)).alias("_n"))
+    if n is None:
+        return _unmapped_text(counts, F.lit(""))
     samples = sample_cells(unmapped, n).groupBy(*COLUMN).agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("place", "raw"))),
         lambda s: F.concat(F.lit("'"), s["raw"], F.lit("'")),
     ), ", ").alias("_sample"))
     more = F.when(F.col("_n") > n, F.concat(F.lit(" (+"), (F.col("_n") - n).cast("string"), F.lit(" more)"))).otherwise("")
-    return counts.join(samples, COLUMN).select(
+    return _unmapped_text(counts.join(samples, COLUMN), F.concat(F.lit(": "), "_sample", more))
+
+
+def _unmapped_text(counts: DataFrame, sample: Column) -> DataFrame:
+    return counts.select(
         "contract_id", F.col("doc_id").alias("page"), F.lit("Rate anomaly").alias("category"), F.concat(
             F.lit("Source table on "), "doc_id", F.lit(" column '"), "col_name", F.lit("' contained "),
-            F.col("_n").cast("string"), F.lit(" numeric value(s) that no Hotel row used: "), "_sample", more,
+            F.col("_n").cast("string"), F.lit(" numeric value(s) that no Hotel row used"), sample,
             F.lit(". Cross-check the rate table and add or correct the rows manually if needed."),
         ).alias("note"), F.lit(0.3).alias("confidence"),
     )

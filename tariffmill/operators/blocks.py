@@ -164,7 +164,7 @@ def block_documents(cells: DataFrame, sheets: DataFrame) -> DataFrame:
     """
     blocks = rate_blocks(cells, sheets)
     name = F.when(F.col("title").isNull(), F.col("doc_id")).otherwise(
-        F.concat("doc_id", F.lit(" | "), F.substring("title", 1, 40))
+        F.concat("doc_id", F.lit(" | "), "title")
     )
     group = [
         *DOC, "classification", "detected_hotel_name", "block_idx", "title", "block_count", "block_doc_id",

@@ -25,22 +25,22 @@ NOTES_WORDS = (
     "cancellation", "no show", "no-show", "terms", "conditions", "tax", "service charge", "vat", "gala", "christmas",
     "new year", "booking window",
 )
-CELLS_READ = 400
 CLASS_ORDER = {"hotel_contract": 0, "index_reference": 1}
 
 
-def detected_hotel_names(cells: DataFrame) -> DataFrame:
-    """The first cell of the first eight rows that reads like a hotel's name."""
+def detected_hotel_names(cells: DataFrame, rows: int | None = None) -> DataFrame:
+    """The first cell (of the first ``rows`` rows) that reads like a hotel's name."""
     text = F.btrim("value_str")
-    named = cells.where((F.col("row_idx") < 8) & text.rlike(HOTEL_WORDS) & (F.length(text) <= 80))
+    named = cells.where(text.rlike(HOTEL_WORDS) & (F.length(text) <= 80))
+    named = named if rows is None else named.where(F.col("row_idx") < rows)
     return named.groupBy(*DOC).agg(F.min_by(text, F.struct("row_idx", "col_idx")).alias("detected_hotel_name"))
 
 
-def classify_sheets(cells: DataFrame) -> DataFrame:
-    """Sheets by name hints and by header words among their first 400 filled cells."""
+def classify_sheets(cells: DataFrame, cells_read: int | None = None, name_rows: int | None = None) -> DataFrame:
+    """Sheets by name hints and by header words among their filled cells, or the first ``cells_read`` of them."""
     text = F.lower(F.btrim("value_str"))
     filled = cells.withColumn("_text", text).where(F.col("_text") != "")
-    read = keep_top(filled, DOC, [F.asc("row_idx"), F.asc("col_idx")], CELLS_READ)
+    read = filled if cells_read is None else keep_top(filled, DOC, [F.asc("row_idx"), F.asc("col_idx")], cells_read)
     hits = read.groupBy(*DOC).agg(
         F.count_distinct(F.when(F.col("_text").isin(*RATE_HEADER_WORDS), F.col("_text"))).alias("rate_hits"),
         F.count_distinct(F.when(F.col("_text").isin(*NOTES_WORDS), F.col("_text"))).alias("note_hits"),
@@ -53,7 +53,7 @@ def classify_sheets(cells: DataFrame) -> DataFrame:
         .when((F.col("note_hits") >= 3) & (F.col("rate_hits") < 2), "support_notes").otherwise("unknown")
     )
     return (
-        cells.select(*DOC).distinct().join(hits, DOC, "left").join(detected_hotel_names(cells), DOC, "left")
+        cells.select(*DOC).distinct().join(hits, DOC, "left").join(detected_hotel_names(cells, name_rows), DOC, "left")
         .withColumns({"rate_hits": F.coalesce("rate_hits", F.lit(0)), "note_hits": F.coalesce("note_hits", F.lit(0))})
         .withColumn("classification", kind)
         .withColumn("detected_hotel_name", F.when(~index, F.col("detected_hotel_name")))
@@ -135,12 +135,14 @@ def class_priority(classification: Column | str) -> Column:
     return F.when(c == "hotel_contract", 0).when(c == "index_reference", 1).otherwise(2)
 
 
-def priority_documents(documents: DataFrame, limit: int = 40) -> DataFrame:
-    """ST4: the first 40 documents of a contract by class, then source order."""
-    return keep_top(documents, ["contract_id"], [class_priority("classification").asc(), F.asc("ord")], limit)
+def priority_documents(documents: DataFrame, limit: int | None = None) -> DataFrame:
+    """ST4: documents with their ``priority`` (class, then ``ord``, is a contract's reading order), or its first ``limit``."""
+    ranked = documents.withColumn("priority", class_priority("classification"))
+    return ranked if limit is None else keep_top(ranked, ["contract_id"], [F.asc("priority"), F.asc("ord")], limit)
 
 
-# What one document may hold in a request, by file kind: characters, table rows, table columns.
+# What one document may hold in one request to a model, by file kind: characters, table rows, table columns.
+REQUEST_DOCUMENTS = 40
 FORMAT_CAPS = {
     "xlsx": (60000, 1000, 100),
     "xls": (60000, 1000, 100),
@@ -152,27 +154,30 @@ FORMAT_CAPS = {
 }
 
 
-def _cap(kind: Column, index: int) -> Column:
+def _cap(kind: Column, index: int, formats: dict[str, tuple[int, int, int]]) -> Column:
     chain = None
-    for name, caps in FORMAT_CAPS.items():
+    for name, caps in formats.items():
         test = F.lower(kind) == name
         chain = F.when(test, caps[index]) if chain is None else chain.when(test, caps[index])
-    return chain.otherwise(FORMAT_CAPS["unknown"][index])
+    return chain.otherwise(formats["unknown"][index])
 
 
-def trim_for_budget(documents: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """PF12: the request budget: 40 documents per contract, and per document its format's characters, rows and columns.
-
-    The budget is the feature here; the full tables are untouched.
+def trim_for_budget(
+    documents: DataFrame, cells: DataFrame, limit: int | None = None, formats: dict[str, tuple[int, int, int]] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """PF12: documents and cells of one request: the first ``limit`` documents of a contract, and of each the characters,
+    rows and columns that ``formats`` (such as ``FORMAT_CAPS``) grants its kind. Without them nothing is cut.
     """
-    kept = priority_documents(documents)
-    limit = _cap(F.col("input_format"), 0)
+    kept = priority_documents(documents, limit)
+    if formats is None:
+        return kept, cells.join(kept.select(*DOC), DOC, "left_semi")
+    limit = _cap(F.col("input_format"), 0, formats)
     trimmed = kept.withColumn("raw_excerpt", F.when(
         F.length("raw_excerpt") > limit,
         F.concat(F.substring(F.col("raw_excerpt"), F.lit(1), limit), F.lit("\n...[truncated]")),
     ).otherwise(F.col("raw_excerpt")))
     formats = kept.select(*DOC, "input_format")
     inside = cells.join(formats, DOC).where(
-        (F.col("row_idx") < _cap(F.col("input_format"), 1)) & (F.col("col_idx") < _cap(F.col("input_format"), 2))
+        (F.col("row_idx") < _cap(F.col("input_format"), 1, formats)) & (F.col("col_idx") < _cap(F.col("input_format"), 2, formats))
     ).drop("input_format")
     return trimmed, inside

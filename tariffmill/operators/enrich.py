@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tariffmill.functions.base import blank, is_blank
 from tariffmill.functions.numbers import parse_plain
-from tariffmill.operators.shaping import keep_top
+from tariffmill.operators.shaping import keep_top, last_row
 from tariffmill.schemas import CELL_META, HOTEL_HEADERS, MONEY
 
 # Hotel-level fields a page skeleton may fill.
@@ -26,8 +26,8 @@ LITERAL_SOURCE = "extraAdultPolicy.perRoomLiteral"
 
 
 def fill_from_skeleton(rows: DataFrame, skeleton: DataFrame) -> DataFrame:
-    """Blank hotel-level fields from the batch's skeleton, one per contract and batch."""
-    known = skeleton.select("contract_id", "batch_id", *[F.col(f).alias(f"_s_{f}") for f in SKELETON_FIELDS])
+    """Blank hotel-level fields from the batch's skeleton; of several the last one."""
+    known = last_row(skeleton, ["contract_id", "batch_id"]).select("contract_id", "batch_id", *[F.col(f).alias(f"_s_{f}") for f in SKELETON_FIELDS])
     return rows.join(known, ["contract_id", "batch_id"], "left").withColumns({
         f: F.coalesce(blank(f), blank(f"_s_{f}"), F.col(f)) for f in SKELETON_FIELDS
     }).drop(*[f"_s_{f}" for f in SKELETON_FIELDS])
@@ -46,9 +46,9 @@ def fill_room_limits(rows: DataFrame, rooms: DataFrame) -> DataFrame:
 def apply_extra_bed_literals(rows: DataFrame, literals: DataFrame) -> DataFrame:
     """The skeleton's wording overrules the row's extra bed.
 
-    None, free, a percentage (flagged, priced later from the row's double rate) or the first number in the text.
+    The last literal of a room wins. None, free, a percentage (flagged, priced later from the row's double rate) or the first number in the text.
     """
-    known = literals.select(
+    known = last_row(literals, ["contract_id", "batch_id", "room"]).select(
         "contract_id", "batch_id", "room", F.upper(F.btrim(F.coalesce("literal", F.lit("")))).alias("_text"),
         F.lit(True).alias("_named"),
     )
@@ -97,14 +97,15 @@ def enrichment_gaps(rows: DataFrame, force: bool = False) -> DataFrame:
 
 
 def enrich_metadata(rows: DataFrame, reference: DataFrame, force: bool = False) -> DataFrame:
-    """Blank hotel fields from a reference table of one row per hotel name, each fill with warning and mark.
+    """Blank hotel fields from a reference table, the last row of a hotel's name, each fill with warning and mark.
 
     A field that some row of the hotel already has is not looked up unless ``force`` is set.
     """
     wanted = enrichment_gaps(rows, force).where("missing").groupBy("contract_id", "hotel").agg(
         F.collect_set("field").alias("_wanted")
     )
-    offered = reference.select(F.btrim("hotel").alias("_name"), *[_coerced(f).alias(f"_e_{f}") for f in ENRICHED_FIELDS])
+    named = last_row(reference.withColumn("_name", F.btrim("hotel")), ["_name"])
+    offered = named.select("_name", *[_coerced(f).alias(f"_e_{f}") for f in ENRICHED_FIELDS])
     joined = (
         rows.withColumn("_name", F.btrim("hotel"))
         .join(wanted.withColumnRenamed("hotel", "_name"), ["contract_id", "_name"], "left")
@@ -144,9 +145,9 @@ def _coerced(field: str) -> Column:
     return F.when(~is_blank(value), F.btrim(value))
 
 
-def uncovered_rooms(rooms: DataFrame, rows: DataFrame, n: int = 5) -> DataFrame:
-    """The next five skeleton rooms of a batch no row mentions."""
+def uncovered_rooms(rooms: DataFrame, rows: DataFrame, n: int | None = None) -> DataFrame:
+    """The skeleton rooms of a batch no row mentions, or the next ``n`` of them."""
     batch = ["contract_id", "batch_id"]
     covered = rows.select(*batch, "room").where(F.col("room").isNotNull()).distinct()
     open_rooms = rooms.where(~is_blank("room")).join(covered, [*batch, "room"], "left_anti")
-    return keep_top(open_rooms, batch, [F.asc("ord")], n)
+    return open_rooms if n is None else keep_top(open_rooms, batch, [F.asc("ord")], n)

@@ -115,11 +115,18 @@ def coverage_issues(covered: DataFrame) -> DataFrame:
     return covered.select(*HOTEL, F.lit("MISSING_RATES").alias("code"), "severity", message.alias("message"), "missing")
 
 
-def retry_directives(missing: DataFrame, preview: int = 60) -> DataFrame:
-    """ST2: per hotel, the first missing cells in grid order and how many more there are."""
-    triple = F.concat(
-        F.lit("('"), F.col("room"), F.lit("', '"), F.col("season"), F.lit("', '"), F.col("meal"), F.lit("')")
-    )
+def _triple() -> Column:
+    return F.concat(F.lit("('"), F.col("room"), F.lit("', '"), F.col("season"), F.lit("', '"), F.col("meal"), F.lit("')"))
+
+
+def retry_triples(missing: DataFrame) -> DataFrame:
+    """ST2 in long form: every missing cell of a hotel as the triple a retry asks for."""
+    return missing.select(*HOTEL, "room_ord", "season_ord", "meal_ord", _triple().alias("triple"))
+
+
+def retry_directives(missing: DataFrame, preview: int) -> DataFrame:
+    """ST2 as one text a hotel for a caller's request: its first ``preview`` missing cells and how many more there are."""
+    triple = _triple()
     order = F.struct("room_ord", "season_ord", "meal_ord", "room", "season", "meal")
     counts = missing.groupBy(*HOTEL).agg(F.count(F.lit(1)).alias("missing"))
     shown = keep_top(

@@ -13,6 +13,7 @@ from tariffmill.functions.numbers import free_value, read_number, unread_text
 from tariffmill.functions.pricing import child_amount, extra_bed_amount, money
 from tariffmill.functions.vocabulary import board_of, currency_of, rate_type_of, status_of, upper_text
 from tariffmill.operators.child_columns import normalize_columns
+from tariffmill.operators.shaping import last_row
 from tariffmill.schemas import (
     CELL_META, GEO_FIELDS, HOTEL_HEADERS, INTEGER_FIELDS, MONEY, NUMBER, NUMERIC_FIELDS, PRICE_FIELDS, SUPP_HEADERS,
 )
@@ -34,12 +35,12 @@ DEFAULTED = {
 
 
 def _with_options(rows: DataFrame, options: DataFrame) -> DataFrame:
-    renamed = options.select("contract_id", *[F.col(c).alias(f"_opt_{c}") for c in set(DEFAULTED.values())])
+    renamed = last_row(options, ["contract_id"]).select("contract_id", *[F.col(c).alias(f"_opt_{c}") for c in set(DEFAULTED.values())])
     return rows.join(renamed, "contract_id", "left")
 
 
 def apply_defaults(rows: DataFrame, options: DataFrame) -> DataFrame:
-    """PF1: blank fields take the contract's defaults. Options hold one row per contract."""
+    """PF1: blank fields take the contract's defaults; of several option rows the last one's."""
     filled = {f: F.coalesce(blank(f), blank(f"_opt_{o}"), F.col(f)) for f, o in DEFAULTED.items()}
     return _with_options(rows, options).withColumns(filled).drop(*[f"_opt_{o}" for o in set(DEFAULTED.values())])
 
@@ -113,17 +114,16 @@ def prose_to_notes(rows: DataFrame) -> DataFrame:
     more than once, so Catalyst keeps the steps apart and every field is read once per row.
     """
     stripped = rows.withColumns({f"_s_{f}": squeezed(f) for f in NUMERIC_FIELDS})
+    kinds = {f: "int" if f in INTEGER_FIELDS else NUMBER if f in GEO_FIELDS else MONEY for f in NUMERIC_FIELDS}
+    # A number that the field cannot hold is text like any other.
     numbered = stripped.withColumns({
-        f"_n_{f}": read_number(F.col(f"_s_{f}"), f in INTEGER_FIELDS) for f in NUMERIC_FIELDS
+        f"_n_{f}": read_number(F.col(f"_s_{f}"), f in INTEGER_FIELDS).try_cast(kinds[f]) for f in NUMERIC_FIELDS
     })
     parted = numbered.withColumns({
         f"_p_{f}": unread_text(F.col(f"_s_{f}"), F.col(f"_n_{f}")) for f in NUMERIC_FIELDS
     })
     moved = F.array_compact(F.array(*[_moved(F.lit(HEADERS[f]), F.col(f"_p_{f}")) for f in NUMERIC_FIELDS]))
-    typed = {}
-    for f in NUMERIC_FIELDS:
-        kind = "int" if f in INTEGER_FIELDS else NUMBER if f in GEO_FIELDS else MONEY
-        typed[f] = F.col(f"_n_{f}").cast(kind)
+    typed = {f: F.col(f"_n_{f}") for f in NUMERIC_FIELDS}
     told = F.transform("moved_fields", lambda m: F.concat(
         m["field"], F.lit(": '"), m["prose"], F.lit("' moved to Extraction Notes")
     ))
@@ -150,7 +150,7 @@ def child_prose_to_notes(rows: DataFrame, columns: DataFrame) -> DataFrame:
         squeezed(F.try_element_at("child_values", c["key"])).alias("text"),
     ))
     read = F.transform(texts, lambda c: F.struct(
-        c["key"].alias("key"), c["text"].alias("text"), read_number(c["text"], free=c["free"]).alias("num")
+        c["key"].alias("key"), c["text"].alias("text"), read_number(c["text"], free=c["free"]).try_cast(MONEY).alias("num")
     ))
     moved = F.transform(
         F.filter("_read", lambda r: unread_text(r["text"], r["num"]).isNotNull()),
@@ -159,7 +159,7 @@ def child_prose_to_notes(rows: DataFrame, columns: DataFrame) -> DataFrame:
     told = F.transform("moved_children", lambda m: F.concat(
         m["field"], F.lit(": '"), m["prose"], F.lit("' moved to Extraction Notes")
     ))
-    clean = F.map_from_entries(F.transform("_read", lambda r: F.struct(r["key"], r["num"].cast(MONEY))))
+    clean = F.map_from_entries(F.transform("_read", lambda r: F.struct(r["key"], r["num"])))
     return (
         joined.withColumn("_read", read).withColumns({"moved_children": moved, "child_values": clean})
         .withColumn("warnings", F.concat(_warnings(), told)).drop("_read", "_columns")

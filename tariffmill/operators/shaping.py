@@ -28,6 +28,12 @@ def keep_first(df: DataFrame, keys: Sequence[str | Column], order: str | Column
     return keep_top(df, keys, [F.asc(order) if isinstance(order, str) else order])
 
 
+def last_row(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per group: that of the highest ``ord``, or without such a column the greatest row, so that it is definite."""
+    order = [F.desc("ord")] if "ord" in df.columns else []
+    return keep_top(df, keys, [*order, *[F.desc_nulls_last(c) for c, kind in df.dtypes if c not in keys and not kind.startswith("map")]])
+
+
 def prefix_sum(
     df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, width: int = 65_536,
 ) -> DataFrame:

@@ -30,13 +30,17 @@ def period_pairs(documents: DataFrame, text: str = "raw_excerpt") -> DataFrame:
     ).select("contract_id", "doc_id", "pair_ord", "_p.start_date", "_p.end_date")
 
 
-def first_three_periods(documents: DataFrame, text: str = "raw_excerpt") -> DataFrame:
-    """The first three pairs; cut before they are unnested."""
+def rate_periods(documents: DataFrame, text: str = "raw_excerpt", limit: int | None = None) -> DataFrame:
+    """The pairs that become rate periods: all, or the first ``limit``, cut before they are unnested."""
     return documents.select(
-        "contract_id", "doc_id", F.posexplode(F.slice(date_pairs(text), 1, 3)).alias("pair_ord", "_p")
+        "contract_id", "doc_id", F.posexplode(_first(date_pairs(text), limit)).alias("pair_ord", "_p")
     ).select("contract_id", "doc_id", "pair_ord", "_p.start_date", "_p.end_date")
 
 
+def _first(items: Column, limit: int | None) -> Column:
+    return items if limit is None else F.slice(items, 1, limit)
+
+
 def _snippet(text: Column, pattern: str) -> Column:
     start = F.regexp_instr(text, F.lit(pattern)) - 1
     length = F.length(F.regexp_substr(text, F.lit(pattern)))
@@ -86,8 +90,8 @@ def text_child_columns(documents: DataFrame, text: str = "raw_excerpt") -> DataF
     return aged.unionByName(unaged)
 
 
-def text_rows(documents: DataFrame, options: DataFrame, text: str = "raw_excerpt") -> DataFrame:
-    """EX15's rows: up to three periods per document that is no index, with currency, board and defaults."""
+def text_rows(documents: DataFrame, options: DataFrame, text: str = "raw_excerpt", limit: int | None = None) -> DataFrame:
+    """EX15's rows: a row a period (the first ``limit``) of each document that is no index, with currency, board, defaults."""
     chosen = options.select(
         "contract_id", F.col("supplier").alias("_supplier"), F.col("country").alias("_country"),
         F.col("city_area").alias("_city"), F.col("currency").alias("_currency"), F.col("status").alias("_status"),
@@ -96,7 +100,7 @@ def text_rows(documents: DataFrame, options: DataFrame, text: str = "raw_excerpt
     read = documents.where(F.coalesce(F.col("classification") != "index_reference", F.lit(True))).select(
         "contract_id", "doc_id", "source_ref", hotel_of_document().alias("hotel"),
         detect_currency(text).alias("_found"), detect_meal_plan(text).alias("meal_plan"),
-        F.posexplode(F.slice(date_pairs(text), 1, 3)).alias("pair_ord", "_p"),
+        F.posexplode(_first(date_pairs(text), limit)).alias("pair_ord", "_p"),
     ).join(chosen, "contract_id", "left")
     currency = F.coalesce("_found", "_currency")
     return read.select(

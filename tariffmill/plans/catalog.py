@@ -392,16 +392,16 @@ QUERIES |= {
     "w9_meal_upgrade_delta": lambda s: mapping.meal_upgrade_deltas(s.rates),
     "w10_chunk_assignment": lambda s: merge.chunk_documents(s.text_docs, 3).select("contract_id", "chunk_idx", "doc_id"),
     "w12_date_pairs": lambda s: text_rows.period_pairs(s.text_docs),
-    "w13_first_three_periods": lambda s: text_rows.first_three_periods(s.text_docs),
+    "w13_first_three_periods": lambda s: text_rows.rate_periods(s.text_docs),
     "w15_first_seen_order": lambda s: review.first_seen_hotels(s.rows),
     "w16_detected_hotel_name": lambda s: classify.detected_hotel_names(s.cells),
     "w17_note_first_match": lambda s: text_rows.trigger_notes(s.text_docs).select("contract_id", "doc_id", "category", "note", "hotel"),
     "st1_sort_child_columns": lambda s: child_columns.sort_child_columns(s.child_columns).select(
         "contract_id", "key", "label", "age_from", "ord"
     ),
-    "st2_missing_preview": lambda s: grid.retry_directives(grid.missing_rates(*axes(s), s.rates)),
-    "st3_sample_8": lambda s: audit.sample_cells(s.source_cells).select("contract_id", "doc_id", "col_name", "place", "raw"),
-    "st4_doc_priority": lambda s: classify.priority_documents(s.text_docs, 7).select("contract_id", "doc_id"),
+    "st2_missing_preview": lambda s: grid.retry_triples(grid.missing_rates(*axes(s), s.rates)),
+    "st3_sample_8": lambda s: audit.sample_cells(s.source_cells).select("contract_id", "doc_id", "col_name", "table_idx", "row_idx", "raw"),
+    "st4_doc_priority": lambda s: classify.priority_documents(s.text_docs).select("contract_id", "doc_id", "priority"),
 }
 
 # ---- set operations --------------------------------------------------------------------------------------------------

@@ -152,7 +152,8 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     """Write one export. Partition columns are clustered first so each directory gets few files, with hot ones split."""
     if partition_by:
         df = df.hint("rebalance", *partition_by)
-    writer = df.write.mode("overwrite").format(fmt)
+    # Static whatever the session says: what an earlier export left of hotels since renamed or deleted must go.
+    writer = df.write.mode("overwrite").format(fmt).option("partitionOverwriteMode", "static")
     if fmt == "csv":
         writer = writer.option("header", True)
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)

@@ -51,7 +51,7 @@ def canonical_tables(contracts: DataFrame) -> dict[str, DataFrame]:
         columns = []
         for f in struct.names:
             value = F.col(f"e.{f}")
-            value = value.cast(MONEY) if f in money else value.cast(AGE) if f in ages else value
+            value = value.try_cast(MONEY) if f in money else value.try_cast(AGE) if f in ages else value
             columns.append(value.alias(renames.get(f, f)))
         return rows.select("contract_id", "hotel", *columns, "ord")
 
@@ -61,8 +61,8 @@ def canonical_tables(contracts: DataFrame) -> dict[str, DataFrame]:
         "contract_id",
         *[
             (
-                F.col(f"e.{f}").cast(MONEY) if f in ("supplier_cost", "customer_price")
-                else F.col(f"e.{f}").cast(AGE) if f in ("age_min", "age_max") else F.col(f"e.{f}")
+                F.col(f"e.{f}").try_cast(MONEY) if f in ("supplier_cost", "customer_price")
+                else F.col(f"e.{f}").try_cast(AGE) if f in ("age_min", "age_max") else F.col(f"e.{f}")
             ).alias("hotel" if f == "hotel_name" else f)
             for f in supplement_struct.names
         ],

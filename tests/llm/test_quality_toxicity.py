@@ -62,7 +62,8 @@ def test_quality(documents, awkward):
 
 
 def test_quality_filter_removes_common_lines(documents):
-    rows = [(k, f"same line here\n{' '.join(prose(random.Random(k), 60))}") for k in range(30)]
+    letters = str.maketrans("0123456789", "abcdefghij")  # digits would all be one line to the rule
+    rows = [(k, f"same line here\n{' '.join(prose(random.Random(k), 60)).translate(letters)}") for k in range(30)]
     docs = documents(rows)
     out = quality.filter_documents(docs)
     assert out.columns == docs.columns
@@ -80,7 +81,7 @@ def toxic_rows(spark):
         if toxic:
             for _ in range(1 + len(words) // 40):
                 words[rng.randrange(len(words))] = rng.choice(bad)
-        elif k % 5 == 1:
+        elif k % 50 == 1:
             words[3:5] = ["garden", "snarvik"]
         docs.append((k, " ".join(words)))
         labels.append((k, int(toxic)))

@@ -6,10 +6,11 @@ Jaccard similarity. The values are banded; texts that share a band are candidate
 full shingle sets.
 
 Texts with equal sets are one node from the start, so copies never meet each other in pairs. In a bucket of a band all
-nodes are first compared with the smallest one. Only where a bucket still holds several components are further nodes
-taken as pivots, 2, 4, 8, ... in a round, and compared with nodes of other components; when rounds end, any two nodes of
-a bucket are either in one component or were compared. A bucket of near copies thus costs a pair a node, and no link that
-the bands show is lost. With 5 values a band and 32 bands a pair of similarity 0.8 is missed with probability 3e-6.
+nodes are first compared with the smallest one, a pair a node. Where a bucket still holds several components, its nodes
+outside the largest of them are a query set that is compared with all of its nodes, in blocks of ``BLOCK_ROWS`` by
+``BLOCK_ROWS`` sets whose links alone leave the task. Then any two nodes of a bucket are in one component or were
+compared, and no link that the bands show is lost. With 5 values a band and 32 bands a pair of similarity 0.8 is missed
+with probability 3e-6.
 
 Defined cases: words are runs of other than the six ASCII blanks after A-Z became a-z; a text with fewer words than a
 shingle is one shingle; without words the set is empty and linked with nothing, so each such row is a component of its
@@ -32,6 +33,7 @@ from tariffmill.llm.graph import components
 BAND_VALUES = 5
 BANDS = 32
 BLOCK = 4096
+BLOCK_ROWS = 256
 PERCENT = 80
 WORD_MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -129,36 +131,98 @@ def _confirm(percent: int):
     return run
 
 
-def _links(members: DataFrame, sets: DataFrame, work: Workspace, percent: int) -> DataFrame | None:
+def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all ``left`` with all ``right`` sets, as products of membership matrices in chunks."""
+    common = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+    out = np.zeros((len(left), len(right)), np.float32)
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+        hit = common[at] == flat
+        return owner[hit], at[hit]
+
+    if len(common):
+        (a, x), (b, y) = places(left), places(right)
+        for start in range(0, len(common), BLOCK):
+            p, q = np.zeros((len(left), BLOCK), np.float32), np.zeros((len(right), BLOCK), np.float32)
+            of_x, of_y = (x >= start) & (x < start + BLOCK), (y >= start) & (y < start + BLOCK)
+            p[a[of_x], x[of_x] - start] = 1
+            q[b[of_y], y[of_y] - start] = 1
+            out += p @ q.T
+    return out.astype(np.int64)
+
+
+def _linked_in_block(rows: list[tuple[int, int, bool, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Links between the queries and the rows of one block that bear different labels."""
+    asked, others = [r for r in rows if r[2]], [r for r in rows if not r[2]]
+    if not asked or not others:
+        return []
+    both = _shared_counts([r[3] for r in asked], [r[3] for r in others])
+    sizes = [np.array([len(r[3]) for r in side], np.int64) for side in (asked, others)]
+    labels = [np.array([r[1] for r in side], np.int64) for side in (asked, others)]
+    near = (100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)) & (labels[0][:, None] != labels[1][None, :])
+    return [(min(asked[i][0], others[j][0]), max(asked[i][0], others[j][0])) for i, j in zip(*np.nonzero(near))]
+
+
+def _confirm_blocks(percent: int):
+    """Blocks arrive one after the other, sorted by their key; one is held at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def found() -> pa.RecordBatch:
+            pairs = _linked_in_block(rows, percent)
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("band", "ask", "row", "node", "label", "asks", "shingles")]
+            for band, ask, row, node, label, asks, raw in zip(*columns):
+                if (band, ask, row) != key:
+                    if rows:
+                        yield found()
+                    key, rows = (band, ask, row), []
+                rows.append((node, label, asks, np.frombuffer(raw, np.uint64)))
+        if rows:
+            yield found()
+
+    return run
+
+
+def _links(members: DataFrame, sets: DataFrame, work: Workspace, percent: int) -> DataFrame:
     """Confirmed links among nodes that share a bucket, as far as components need them."""
     fits = F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent
-    candidates = members.where(F.col("node") != F.col("pivot")).where(fits).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links, open_members, step = None, members, 0
-    while True:
-        left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
-        right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-        pairs = candidates.join(right, "b").join(left, "a").select("a", "b", "left", "right")
-        new = work.save(pairs.mapInArrow(_confirm(percent), "a long, b long"), f"links-{step}")
-        links = new if links is None else links.union(new)
-        work.release()
-        labels = components(links, work, f"labels-{step}")
-        # Pivots of this round have met every open node of their bucket; what is left is open where labels differ.
-        rest = open_members.where("NOT is_pivot").select("band", "node", "n")
-        labelled = rest.join(labels, "node", "left").select("band", "node", "n", F.coalesce("label", "node").alias("label"))
-        spread = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
-        left_open = work.save(labelled.join(spread, "band"), f"open-{step}")
-        step += 1
-        if left_open.isEmpty():
-            return links
-        from pyspark.sql import Window
-        order = Window.partitionBy("band").orderBy("node")
-        pivots = work.save(left_open.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 2 ** step).select(
-            "band", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("label").alias("pivot_label")
-        ), f"pivots-{step}")
-        met = left_open.join(pivots, "band").where("label <> pivot_label").where(fits)
-        candidates = met.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-        marked = left_open.join(pivots.select("band", F.col("pivot").alias("node"), F.lit(True).alias("hit")), ["band", "node"], "left")
-        open_members = marked.select("band", "node", "n", F.col("hit").isNotNull().alias("is_pivot"))
+    candidates = members.where("NOT is_pivot").where(fits).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
+    pairs = candidates.join(right, "b").join(left, "a").select("a", "b", "left", "right")
+    links = work.save(pairs.mapInArrow(_confirm(percent), "a long, b long"), "star-links")
+    labels = components(links, work, "star-labels")
+
+    # The pivots have met all of their bucket. Of the others, two with different labels are never both in the bucket's
+    # main component, so all that do not bear its label, against all, leaves no pair out.
+    rest = members.where("NOT is_pivot").select("band", "node").join(labels, "node", "left").select(
+        "band", "node", F.coalesce("label", "node").alias("label")
+    )
+    spread = rest.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
+    rest = work.save(rest.join(spread, "band"), "rest")
+    by_label = rest.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = by_label.groupBy("band").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n")).select(
+        "band", F.col("main.label").alias("main"), F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("row_blocks"),
+        F.ceil((F.col("n") - F.col("main.n")) / BLOCK_ROWS).cast("int").alias("ask_blocks"),
+    )
+    placed = rest.join(main, "band").withColumn("draw", F.xxhash64("node", "band"))
+    def blocks(count: str):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    def own(count: str):
+        return F.pmod("draw", count).cast("int")
+
+    asking = placed.where("label <> main").select("band", own("ask_blocks").alias("ask"), blocks("row_blocks").alias("row"), "node", "label", F.lit(True).alias("asks"))
+    asked = placed.select("band", blocks("ask_blocks").alias("ask"), own("row_blocks").alias("row"), "node", "label", F.lit(False).alias("asks"))
+    dealt = asking.union(asked).join(sets, "node").repartition("band", "ask", "row").sortWithinPartitions("band", "ask", "row")
+    more = work.save(dealt.select("band", "ask", "row", "node", "label", "asks", "shingles").mapInArrow(
+        _confirm_blocks(percent), "a long, b long").distinct(), "block-links")
+    return links.union(more)
 
 
 def near_duplicates(

@@ -4,7 +4,7 @@ Rows are ordered by a 64-bit key: the CRC-32 of the text above 32 bits hashed fr
 each other and a group of any size can still be cut. Splitters are found by probing: each round counts, exactly and over
 all partitions at once, the bytes below a few candidate boundaries in every splitter's open interval, and narrows it,
 until the bytes below each splitter are within ``tolerance`` of their share or no row lies between two probes. Only
-these counts reach the driver, one a probe. Then rows are exchanged once, to ranges much smaller than a shard, sorted
+these counts reach the driver, one a probe; what it sends back, a key for each range, is bounded by bytes / ``range_bytes``. Then rows are exchanged once, to ranges much smaller than a shard, sorted
 there, and numbered from the exact counts of the ranges before.
 
 Law ``bytes``: sizes of shards are as equal as the tolerance and single rows permit. A row's size is its text's length
@@ -14,16 +14,19 @@ like any value; no rows give no rows; other columns pass through, those named li
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tariffmill.llm.common import Workspace, text_or_empty
 
 LAW = "bytes"
-PROBES = 32
-RANGE_BYTES = 32 * 2**20
+PROBE_BITS = 8
+RANGE_BYTES = 128 * 2**20
 LOW, HIGH = -(2**63), 2**63 - 1
 
 
@@ -39,67 +42,59 @@ def row_key() -> Column:
     return F.shiftleft(row_crc() - 2**31, 32).bitwiseOR(F.xxhash64("doc_id").bitwiseAND(F.lit(2**32 - 1)))
 
 
-def place_among(key: Column, bounds: list[int]) -> Column:
-    """How many of the sorted ``bounds`` are at most ``key``: a search through nested halves, all inside one expression."""
-    def half(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(key < F.lit(bounds[middle]), half(low, middle)).otherwise(half(middle + 1, high))
+def lookup(values: np.ndarray, kind: str, by_bounds: bool):
+    """Arrow function of one long column: its entry in ``values``, or how many of the sorted ``values`` are at most it."""
+    @F.pandas_udf(kind)
+    def found(column: pd.Series) -> pd.Series:
+        at = column.to_numpy()
+        return pd.Series(np.searchsorted(values, at, "right") if by_bounds else values[at])
 
-    return half(0, len(bounds))
+    return found
 
 
 @dataclass
 class Splitter:
-    """Open interval of one boundary: bytes below ``low`` are at most the target, bytes below ``high`` at least."""
+    """One boundary: its target lies between the bytes below ``low`` and those below ``low + 2**bits``."""
 
     target: float
-    low: int
-    low_bytes: int
-    high: int
-    high_bytes: int
-    settled: bool = False
+    low: int = LOW
+    bits: int = 64
+    below: int = 0
+    inside: int = 0
 
     def best(self) -> int:
-        return self.low if self.target - self.low_bytes <= self.high_bytes - self.target else self.high
-
-
-def count_between(keys: DataFrame, probes: list[int]) -> list[tuple[int, int]]:
-    """(rows, bytes) from each probe up to the next; the first entry lies below all probes."""
-    counted = keys.groupBy(place_among(F.col("key"), probes).alias("at")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
-    found = {r["at"]: (r["n"], r["bytes"]) for r in counted.collect()}
-    return [found.get(k, (0, 0)) for k in range(len(probes) + 1)]
+        return self.low if self.target - self.below <= self.below + self.inside - self.target else min(self.low + 2**self.bits, HIGH)
 
 
 def split_points(keys: DataFrame, parts: int, tolerance: float) -> list[int]:
-    """Keys at which ``parts`` ranges of near equal bytes start; the first, which starts at the least key, is left out."""
+    """Keys at which ``parts`` ranges of near equal bytes start; the first, which starts at the least key, is left out.
+
+    A round probes 2**PROBE_BITS - 1 boundaries in each open interval with one aggregate over the keys in open intervals.
+    """
     total = keys.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
     allowed = tolerance * total / parts
-    splitters = [Splitter(total * k / parts, LOW, 0, HIGH, total) for k in range(1, parts)]
-    while any(not s.settled for s in splitters):
-        waiting = [s for s in splitters if not s.settled]
-        each = max(1, PROBES * parts // max(1, len({(s.low, s.high) for s in waiting})))
-        each = min(each, 16 * PROBES)
-        probes: set[int] = set()
-        for low, high in {(s.low, s.high) for s in waiting}:
-            steps = min(each, high - low - 1)
-            probes |= {low + (high - low) * k // (steps + 1) for k in range(1, steps + 1)} | {low, high}
-        ordered = sorted(probes)
-        counts = count_between(keys, ordered)
-        below_rows, below, rows, size = {}, {}, 0, 0
-        for probe, (n, b) in zip(ordered, counts):
-            rows, size = rows + n, size + b
-            below_rows[probe], below[probe] = rows, size
-        below[HIGH] = total
+    splitters = [Splitter(total * k / parts, inside=total) for k in range(1, parts)]
+    waiting, bits = (splitters if total else []), 64
+    while waiting and bits:
+        near = keys
+        if bits < 64:
+            open_intervals = keys.sparkSession.createDataFrame([(x,) for x in {s.low >> bits for s in waiting}], "interval long")
+            near = keys.join(open_intervals, F.shiftright("key", bits) == F.col("interval"), "left_semi")
+        finer = bits - PROBE_BITS
+        counted = near.groupBy(F.shiftright("key", finer).alias("probe")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+        found = defaultdict(list)
+        for r in sorted(counted.collect(), key=lambda r: r["probe"]):
+            found[r["probe"] << finer >> bits if bits < 64 else LOW >> bits].append((r["probe"], r["n"], r["bytes"]))
+        sums = {k: np.cumsum([b for _, _, b in v]) for k, v in found.items()}
+        still = []
         for s in waiting:
-            inside = [p for p in ordered if s.low <= p <= s.high]
-            s.low = max((p for p in inside if below[p] <= s.target), default=s.low)
-            s.high = min((p for p in inside if below[p] >= s.target and p >= s.low), default=s.high)
-            s.low_bytes, s.high_bytes = below[s.low], below[s.high]
-            near = min(s.target - s.low_bytes, s.high_bytes - s.target)
-            between = below_rows[s.high] - below_rows[s.low]
-            s.settled = near <= allowed or s.high - s.low <= 1 or (between <= 1 and s.high != HIGH)
+            probes, reached = found[s.low >> bits], sums[s.low >> bits]
+            at = min(int(np.searchsorted(reached, s.target - s.below)), len(probes) - 1)
+            probe, rows, s.inside = probes[at]
+            s.below, s.low, s.bits = s.below + int(reached[at]) - s.inside, probe << finer, finer
+            if min(s.target - s.below, s.below + s.inside - s.target) > allowed and rows > 1:
+                still.append(s)
+        waiting, bits = still, finer
     return sorted(s.best() for s in splitters)
 
 
@@ -115,20 +110,18 @@ def shard(docs: DataFrame, shards: int = 24, tolerance: float = 0.0005, range_by
     keys = work.save(docs.select(row_key().alias("key"), row_size().alias("size")), "keys")
     total = keys.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
     per_shard = max(1, -(-total // (shards * range_bytes)))
-    bounds = split_points(keys, shards * per_shard, tolerance)
-    at = place_among(F.col("__key"), bounds)
-    sizes = keys.groupBy(place_among(F.col("key"), bounds).alias("range")).agg(F.count(F.lit(1)).alias("n")).collect()
-    rows = {r["range"]: r["n"] for r in sizes}
-    first, offsets = 0, []
-    for k in range(shards * per_shard):
-        first = 0 if k % per_shard == 0 else first
-        offsets.append(first)
-        first += rows.get(k, 0)
-    keyed = plain.withColumns({"__key": row_key(), "size": row_size(), "text_crc32": row_crc().cast("long")}).withColumn("__range", at.cast("int"))
+    ranges = shards * per_shard
+    place = lookup(np.array(split_points(keys, ranges, tolerance), np.int64), "int", True)
+    counted = keys.groupBy(place("key").alias("range")).agg(F.count(F.lit(1)).alias("n")).collect()
+    rows = np.zeros(ranges, np.int64)
+    for r in counted:
+        rows[r["range"]] = r["n"]
+    before = (np.cumsum(rows) - rows).reshape(shards, per_shard)
+    offset = lookup((before - before[:, :1]).ravel(), "long", False)
+    keyed = plain.withColumns({"__key": row_key(), "size": row_size(), "text_crc32": row_crc().cast("long")}).withColumn("__range", place("__key"))
     order = Window.partitionBy("__range").orderBy("__key", "doc_id")
-    offset = F.get(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("__range")) if per_shard > 1 else F.lit(0).cast("long")
-    numbered = keyed.repartition(shards * per_shard, "__range").withColumn("__at", F.row_number().over(order))
+    numbered = keyed.repartition(ranges, "__range").withColumn("__at", F.row_number().over(order))
     return numbered.withColumns({
-        "law": F.lit(LAW), "shard": F.expr(f"__range div {per_shard}").cast("int"), "slot": (offset + F.col("__at") - 1).cast("long"),
+        "law": F.lit(LAW), "shard": F.expr(f"__range div {per_shard}").cast("int"), "slot": (offset("__range") + F.col("__at") - 1).cast("long"),
         "grown_shard": F.lit(None).cast("int"),
     }).drop("__key", "__range", "__at")

@@ -350,12 +350,14 @@ WITH {OPENING}, asked AS (SELECT DISTINCT contract_id, source_ref FROM doc_refs)
 exact AS (SELECT a.contract_id, a.source_ref, arg_min(d.doc_id, d.ord) AS doc_id FROM asked a JOIN text_docs d ON d.contract_id = a.contract_id
   AND (d.source_ref = a.source_ref OR d.doc_id = a.source_ref) GROUP BY 1, 2),
 numbered AS (SELECT contract_id, source_ref, list_transform(regexp_extract_all(regexp_replace(source_ref, '^[^|]*\|', ''), '\d+'),
-  lambda n: CAST(n AS INT)) AS n FROM asked ANTI JOIN exact USING (contract_id, source_ref) WHERE contains(source_ref, '|')),
+  lambda n: CAST(n AS INT)) AS n FROM asked ANTI JOIN exact USING (contract_id, source_ref) WHERE contains(source_ref, '|') AND NOT contains(source_ref, '!')),
+sheeted AS (SELECT DISTINCT a.contract_id, a.source_ref, d.doc_id FROM (SELECT * FROM asked ANTI JOIN exact USING (contract_id, source_ref)) a JOIN text_docs d
+  ON d.contract_id = a.contract_id AND contains(a.source_ref, '!') AND d.doc_id = 'Sheet:' || trim(regexp_extract(a.source_ref, '^[^|]*\|\s*''?(.*?)''?![^!]*$', 1))),
 paged AS (SELECT DISTINCT p.contract_id, p.source_ref, d.doc_id FROM numbered p JOIN text_docs d ON d.contract_id = p.contract_id
   AND d.kind = 'pdf_page' AND list_contains(p.n, d.page_number)),
 ranged AS (SELECT p.contract_id, p.source_ref, d.doc_id FROM (SELECT * FROM numbered ANTI JOIN paged USING (contract_id, source_ref)) p
   JOIN text_docs d ON d.contract_id = p.contract_id AND d.kind = 'pdf_page' AND d.page_number BETWEEN list_min(p.n) AND list_max(p.n)),
-found AS (SELECT *, 'exact' AS tier FROM exact UNION ALL SELECT *, 'pages' FROM paged UNION ALL SELECT *, 'range' FROM ranged)
+found AS (SELECT *, 'exact' AS tier FROM exact UNION ALL SELECT *, 'sheet' FROM sheeted UNION ALL SELECT *, 'pages' FROM paged UNION ALL SELECT *, 'range' FROM ranged)
 SELECT contract_id, source_ref, doc_id, tier FROM found
 UNION ALL
 SELECT a.contract_id, a.source_ref, o.doc_id, 'approximate' FROM (SELECT * FROM asked ANTI JOIN found USING (contract_id, source_ref)) a

@@ -365,7 +365,7 @@ SELECT 'D' || {text(whole("doc_id / 20"))} AS contract_id,
   {pick("doc_id", [
       "source || '.pdf | Page ' || " + text("doc_id % 20"), "'Page:' || " + text("doc_id"),
       "'other.pdf | Pages ' || " + text("doc_id % 10") + " || '-' || " + text("doc_id % 10 + 3"),
-      "'other.pdf | Pages 900-901'", "'lost'", "'other.pdf | Pages -1 and 90'",
+      "'other.pdf | Pages 900-901'", "'lost'", "'other.pdf | Pages -1 and 90'", "'book.xlsx | Rates!Row ' || " + text("doc_id % 20"),
   ])} AS source_ref
 FROM documents"""
 

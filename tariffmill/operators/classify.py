@@ -102,8 +102,11 @@ def numeric_tables(cells: DataFrame, page_keys: list[str]) -> DataFrame:
     )
 
 
-def pdf_strategy(pages: DataFrame, mode: Column | str = "auto") -> DataFrame:
-    """AG21: how each contract's PDF is read. ``mode`` text_only and vision_required overrule the counts."""
+def pdf_strategy(pages: DataFrame, mode: Column | str = "auto", contracts: DataFrame | None = None) -> DataFrame:
+    """AG21: how each contract's PDF is read. ``mode`` text_only and vision_required overrule the counts.
+
+    ``contracts`` (contract_id) adds those without any page, which have text only.
+    """
     mode = F.lit(mode) if isinstance(mode, str) else mode
     empty = (F.length(F.btrim(F.coalesce("text", F.lit("")))) < 20) & (F.col("n_tables") == 0)
     thin = (F.col("rate_token_hits") >= 3) & ~F.col("has_numeric_table")
@@ -119,7 +122,13 @@ def pdf_strategy(pages: DataFrame, mode: Column | str = "auto") -> DataFrame:
         .when((F.col("scrambled_pages") > 0) | (F.col("pages_without_table") > 0), "two_call_vision")
         .when(F.col("useful_tables") & (F.col("token_hits") >= 3), "native_text_llm").otherwise("two_call_vision")
     )
-    return counted.withColumn("strategy", strategy)
+    decided = counted.withColumn("strategy", strategy)
+    if contracts is None:
+        return decided
+    counts = {c: F.coalesce(c, F.lit(0)) for c in ("pages", "empty_pages", "scrambled_pages", "pages_without_table", "token_hits")}
+    return contracts.select("contract_id").distinct().join(decided, "contract_id", "left").withColumns({
+        **counts, "useful_tables": F.coalesce("useful_tables", F.lit(False)), "strategy": F.coalesce("strategy", F.lit("native_text_llm")),
+    })
 
 
 def sheet_summary(documents: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def match_sheets(hotels: DataFrame, sheets: DataFrame) -> DataFrame:
 
 
 def resolve_references(refs: DataFrame, documents: DataFrame) -> DataFrame:
-    """Documents of each distinct source reference: the document itself, its pages, its page range, else the
+    """Documents of each distinct source reference: the document itself, its sheet, its pages, its page range, else the
     contract's opening text (8000 characters over its documents in order).
 
     Distinct references are resolved, not rows. Every tier is an equi join or a join of what earlier tiers left open.
@@ -55,9 +55,14 @@ def resolve_references(refs: DataFrame, documents: DataFrame) -> DataFrame:
         asked.join(names, ["contract_id", "source_ref"]), ["contract_id", "source_ref"]
     ).select("contract_id", "source_ref", "doc_id", F.lit("exact").alias("tier"))
     left = asked.join(exact, ["contract_id", "source_ref"], "left_anti")
+    # "file | Sheet!range" names a sheet; digits in it are rows and never pages.
+    sheet = F.btrim(F.regexp_extract("source_ref", r"^[^|]*\|\s*'?(.*?)'?![^!]*$", 1))
+    by_sheet = left.where(F.col("source_ref").contains("!")).withColumn("doc_id", F.concat(F.lit("Sheet:"), sheet)).join(
+        docs.select("contract_id", "doc_id").distinct(), ["contract_id", "doc_id"], "left_semi"
+    ).select("contract_id", "source_ref", "doc_id", F.lit("sheet").alias("tier"))
     tail = F.regexp_extract("source_ref", r"^[^|]*\|([\s\S]*)$", 1)
     numbers = F.transform(F.regexp_extract_all(tail, F.lit(r"\d+"), F.lit(0)), lambda n: n.try_cast("int"))
-    paged = left.where(F.col("source_ref").contains("|")).withColumn("_pages", F.array_compact(F.array_distinct(numbers)))
+    paged = left.where(F.col("source_ref").contains("|") & ~F.col("source_ref").contains("!")).withColumn("_pages", F.array_compact(F.array_distinct(numbers)))
     pages = docs.where(F.col("kind") == "pdf_page").select("contract_id", "page_number", "doc_id")
     by_page = paged.select("contract_id", "source_ref", F.explode("_pages").alias("page_number")).join(
         pages, ["contract_id", "page_number"]
@@ -68,7 +73,7 @@ def resolve_references(refs: DataFrame, documents: DataFrame) -> DataFrame:
     by_range = unpaged.join(pages, "contract_id").where(
         F.col("page_number").between(F.col("_low"), F.col("_high"))
     ).select("contract_id", "source_ref", "doc_id", F.lit("range").alias("tier"))
-    found = exact.unionByName(by_page).unionByName(by_range)
+    found = exact.unionByName(by_sheet).unionByName(by_page).unionByName(by_range)
     lost = asked.join(found.select("contract_id", "source_ref").distinct(), ["contract_id", "source_ref"], "left_anti")
     opening = opening_documents(documents).select("contract_id", "doc_id")
     approximate = lost.join(opening, "contract_id").select(

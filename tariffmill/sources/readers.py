@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tariffmill.functions.base import blank
 from tariffmill.functions.names import file_kind
 from tariffmill.schemas import AGE, CANONICAL_CONTRACT, MONEY
 
@@ -32,11 +35,26 @@ def duplicate_files(landing: DataFrame) -> DataFrame:
     return landing.groupBy("sha256").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
 
 
-def read_canonical(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """SRC3: contract JSON files, one contract per file or line, as the star tables."""
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1)
-    raw = spark.read.schema(CANONICAL_CONTRACT).option("multiLine", "true").json(path).withColumn("contract_id", name)
-    return canonical_tables(raw)
+def read_canonical(spark: SparkSession, path: str, lines: bool = False) -> dict[str, DataFrame]:
+    """SRC3: contract JSON files under ``path``, one contract a file, or one a line with ``lines``, as the star tables.
+
+    A contract is named by its file's path below ``path``, without the last suffix; in line files a digest of the line is
+    added. ``broken`` holds name and text of what is no valid JSON, for repair; it is in no other table.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=not lines).where(
+        F.btrim("value") != ""
+    ).select("value", F.col("_metadata.file_path").alias("_file"))
+    folder = re.escape(path.rstrip("/").rsplit("/", 1)[-1])
+    below = F.regexp_extract("_file", rf"^.*?/{folder}/(.*?)(\.[^./]*)?$", 1)
+    name = F.coalesce(blank(below), F.regexp_extract("_file", r"([^/]+?)(\.[^./]*)?$", 1))
+    if lines:
+        name = F.concat(name, F.lit("#"), F.hex(F.xxhash64("value")))
+    fields = T.StructType.fromDDL(CANONICAL_CONTRACT).fields
+    schema = T.StructType([*fields, T.StructField("_corrupt_record", T.StringType())])
+    parsed = files.select(name.alias("contract_id"), "value", F.from_json("value", schema).alias("c"))
+    bad = F.col("c").isNull() | F.col("c._corrupt_record").isNotNull()
+    good = parsed.where(~bad).select("contract_id", *[F.col(f"c.{f}").alias(f) for f in [x.name for x in fields]])
+    return {**canonical_tables(good), "broken": parsed.where(bad).select("contract_id", F.col("value").alias("text"))}
 
 
 def canonical_tables(contracts: DataFrame) -> dict[str, DataFrame]:

@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 
 GROUP = 8  # bits of a rank that choose its place in a word of the lower level
 SHORT = 128  # bytes of a pre-token up to which it shares a queue
-CACHE_ENTRIES = 1_000_000
-BLOCK_CHARS = 3_000_000
+CACHE_ENTRIES = 300_000
+BLOCK_CHARS = 1_500_000
 LARGEST_FILE = 64 * 2**20
 
 

@@ -17,13 +17,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tariffmill.llm.common import Workspace, text_or_empty
+from tariffmill.llm.common import CLEAN_SHUFFLES, Workspace, settings, text_or_empty
 
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no space set aside in advance
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    CLEAN_SHUFFLES: "true",
 }
 RESULTS = ("keep_id", "group_size", "kept", "text_sha256")
 
@@ -51,10 +53,7 @@ def stream_state(log: DataFrame, work: Workspace, files_per_batch: int | None =
     kept entry and the count only ever grow, the largest of a digest's entries are its last ones.
     """
     spark = log.sparkSession
-    before = {key: spark.conf.get(key, None) for key in STATE_SETTINGS}
-    for key, value in STATE_SETTINGS.items():
-        spark.conf.set(key, value)
-    try:
+    with settings(spark, STATE_SETTINGS):
         reader = spark.readStream.schema(log.schema)
         if files_per_batch:
             reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -66,9 +65,6 @@ def stream_state(log: DataFrame, work: Workspace, files_per_batch: int | None =
             lambda batch, number: batch.write.mode("overwrite").parquet(work.path(f"state/batch={number}"))
         ).trigger(availableNow=True).start()
         query.awaitTermination()
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     written = spark.read.schema(changes.schema).parquet(work.path("state/batch=*")) if query.lastProgress else spark.createDataFrame([], changes.schema)
     return written.groupBy("digest", "n_bytes").agg(F.max("keeper").alias("keeper"), F.max("n_rows").alias("n_rows"))
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tariffmill.llm.common import Workspace
+from tariffmill.llm.common import CLEAN_SHUFFLES, Workspace, settings
 
 FILE_BYTES = 8 * 2**20
 CRAWL_DATE = "20260101000000"
@@ -84,9 +84,10 @@ def write_arc(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> int:
 
 def _write(records: DataFrame, files: int | None, path: str, separator: str) -> None:
     dealt = records.repartition(files, "part") if files else records
-    dealt.sortWithinPartitions("part", "seq").select("part", "value").write.partitionBy("part").option(
-        "lineSep", separator
-    ).option("compression", "gzip").text(path)
+    with settings(records.sparkSession, {CLEAN_SHUFFLES: "true"}):
+        dealt.sortWithinPartitions("part", "seq").select("part", "value").write.partitionBy("part").option(
+            "lineSep", separator
+        ).option("compression", "gzip").text(path)
 
 
 def files_of(spark: SparkSession, path: str) -> DataFrame:

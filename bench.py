@@ -16,6 +16,7 @@ HEADLINES = (
     "j1_rate_grid", "j2_coverage", "w1_dedup_rates", "w4_dedup_supplements", "w9_meal_upgrade_delta", "ex9_rate_columns",
     "ex12_child_policy_supplements", "n1_normalize_rows", "v5_provenance", "j9_cell_reconciliation", "ag8_unmapped_notes",
     "w8_rate_block_segmentation", "ex1_expand_block", "ex7_build_row_values", "ex15_text_rows", "n10_patch_fields",
+    "so6_supplement_union", "j18_source_ref_lookup", "j13_metadata_enrichment", "ex17_block_documents", "t1_classify_sheets",
 )
 
 

@@ -169,7 +169,7 @@ SQL |= {
     "pf2_drop_skeleton_rows": f"SELECT row_id, sheet FROM rows WHERE {KEPT}",
     "pf2_skeleton_notes": f"SELECT contract_id, string_agg(DISTINCT sheet, ',' ORDER BY sheet) AS page, 'Source ambiguity' AS category, CAST(count(*) AS VARCHAR) || '{SKELETON_TEXT}' AS note, CAST(0.2 AS DOUBLE) AS confidence FROM rows WHERE NOT {KEPT} GROUP BY contract_id",
     "pf3_priced_predicate": f"SELECT row_id, {PRICED} AS priced FROM rows",
-    "pf4_exportable_contracts": "SELECT contract_id FROM contracts WHERE contract_id NOT IN (SELECT contract_id FROM issues WHERE severity = 'error' AND hotel LIKE '%7')",
+    "pf4_exportable_contracts": "SELECT contract_id FROM contracts WHERE contract_id NOT IN (SELECT contract_id FROM issues WHERE severity = 'error')",
     "pf4_blocking_issues": "SELECT contract_id, row_id, message FROM issues WHERE severity = 'error'",
     "pf5_review_grid_filter": "SELECT row_id FROM rows r WHERE contains(coalesce(hotel, ''), 'Supplier') AND contains(sheet, 'Page:3') AND EXISTS (SELECT 1 FROM issues i WHERE i.severity = 'error' AND i.row_id = r.row_id AND i.contract_id = r.contract_id)",
     "pf6_notes_filter": "SELECT note_id, note FROM notes WHERE contains(lower(note), 'gala') AND category = 'Special offer'",
@@ -309,7 +309,7 @@ IDENTITY = [
 SAME = " AND ".join(f"o.{c} IS NOT DISTINCT FROM p.{c}" for c in IDENTITY)
 SQL["j15_supplement_patch_merge"] = f"""
 WITH focus AS (SELECT contract_id, max(hotel) AS focus FROM supplements GROUP BY 1),
-own AS (SELECT * FROM supplements WHERE kind <> 'other'),
+own AS (SELECT * FROM supplements),
 patch AS (SELECT s.* EXCLUDE (hotel, ord), -s.ord AS ord, CASE WHEN {x.fold('coalesce(s.shouted, s.hotel)')} = {x.fold('f.focus')}
   THEN coalesce(s.shouted, s.hotel) ELSE f.focus END AS hotel, f.focus FROM supplements s JOIN focus f USING (contract_id)),
 fresh AS (SELECT * FROM patch QUALIFY row_number() OVER (PARTITION BY contract_id, {x.fold('season_label')}, {', '.join(IDENTITY)} ORDER BY ord) = 1)
@@ -367,7 +367,7 @@ COUNTED = "(SELECT contract_id, row_id, count(*) FILTER (severity = 'error') AS
 SQL["j19_row_issue_counts"] = f"SELECT r.row_id, CAST(coalesce(i.e, 0) AS BIGINT) AS errors, CAST(coalesce(i.w, 0) AS BIGINT) AS warnings_count FROM rows r LEFT JOIN {COUNTED} USING (contract_id, row_id)"
 SQL["j20_uncovered_rooms"] = f"""
 SELECT s.contract_id, s.batch_id, s.room FROM skeleton_rooms s WHERE NOT EXISTS (SELECT 1 FROM rows r WHERE r.contract_id = s.contract_id
-  AND s.batch_id = {BATCH} AND r.room = s.room AND r.room <> 'LARGE')"""
+  AND s.batch_id = {BATCH} AND r.room = s.room)"""
 
 # ---- aggregations ----------------------------------------------------------------------------------------------------
 
@@ -438,8 +438,7 @@ DIMENSIONS = r"""dims AS (
 SQL["ag9_rate_dimensions"] = f"WITH {DIMENSIONS} SELECT contract_id, doc_id, table_idx, CAST(rooms AS BIGINT) AS rooms, CAST(periods AS BIGINT) AS periods, CAST(boards AS BIGINT) AS boards FROM dims"
 SQL["ag10_completeness"] = f"""
 WITH {DIMENSIONS}, made AS (
-  SELECT contract_id, unnest(CASE WHEN sheet = 'Pages:1-2' THEN ['Page:1', 'Page:2'] ELSE [sheet] END) AS doc_id FROM rows
-  WHERE max_rollaways = 1 AND confidence < 0.3),
+  SELECT contract_id, unnest(CASE WHEN sheet = 'Pages:1-2' THEN ['Page:1', 'Page:2'] ELSE [sheet] END) AS doc_id FROM rows),
 sized AS (SELECT d.contract_id, d.doc_id, d.rooms, d.periods, d.boards, d.rooms * d.periods * d.boards AS expected, coalesce(m.n, 0) AS actual
   FROM dims d JOIN page_docs p ON p.contract_id = d.contract_id AND p.doc_id = d.doc_id AND p.classification = 'hotel_contract'
   LEFT JOIN (SELECT contract_id, doc_id, count(*) AS n FROM made GROUP BY 1, 2) m ON m.contract_id = d.contract_id AND m.doc_id = d.doc_id
@@ -459,7 +458,7 @@ FROM part_hotels GROUP BY 1, 2""",
     "ag13_usage_totals": "SELECT contract_id, counter, CAST(sum(n) AS BIGINT) AS total FROM (SELECT contract_id, 'prompt_tokens' AS counter, prompt_tokens AS n FROM usage UNION ALL SELECT contract_id, 'completion_tokens', completion_tokens FROM usage) WHERE n IS NOT NULL GROUP BY 1, 2",
     "ag14_sheet_summary": """
 SELECT d.contract_id, d.doc_id, CASE WHEN d.classification IN ('hotel_contract', 'index_reference') THEN d.classification ELSE 'other' END AS classification,
-  coalesce(r.hotel, '—') AS hotel, CAST(coalesce(r.n, 0) AS BIGINT) AS rows, CAST(CASE WHEN d.doc_id = 'Page:4' THEN 0 ELSE coalesce(r.n, 0) END AS BIGINT) AS notes
+  coalesce(r.hotel, '—') AS hotel, CAST(coalesce(r.n, 0) AS BIGINT) AS rows, CAST(coalesce(r.n, 0) AS BIGINT) AS notes
 FROM page_docs d LEFT JOIN (SELECT contract_id, sheet, count(*) AS n, arg_min_null(hotel, ord) AS hotel FROM rows GROUP BY 1, 2) r
   ON r.contract_id = d.contract_id AND r.sheet = d.doc_id""",
     "ag15_summary_cards": """
@@ -937,7 +936,7 @@ SQL["ex19_stacked_period_split"] = r"""
 SELECT contract_id, doc_id, row_idx, contract_id || '/' || doc_id || '/0/' || CAST(row_idx AS VARCHAR) AS price_group, i - 1 AS period_idx, trim(p[i]) AS period
 FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM (SELECT contract_id, doc_id, row_idx, string_split_regex(raw, '\s+&\s+') AS p FROM source_cells WHERE col_name = 'Period'))"""
 SQL["ex20_expected_grid_note"] = """
-WITH made AS (SELECT contract_id, 'batch ' || CAST(batch_no AS VARCHAR) AS batch_id, count(*) AS n FROM rows WHERE confidence < 0.2 AND max_rollaways = 1 GROUP BY 1, 2),
+WITH made AS (SELECT contract_id, 'batch ' || CAST(batch_no AS VARCHAR) AS batch_id, count(*) AS n FROM rows GROUP BY 1, 2),
 sized AS (SELECT s.*, n_rooms * n_periods * CASE WHEN layout_pattern = 'period_column' THEN 1 ELSE greatest(n_meals, 1) END AS expected, coalesce(m.n, 0) AS actual
   FROM skeletons s LEFT JOIN made m USING (contract_id, batch_id))
 SELECT contract_id, batch_id, CAST(expected AS BIGINT) AS expected, CAST(actual AS BIGINT) AS actual, 'Source ambiguity' AS category,

@@ -224,7 +224,7 @@ QUERIES |= {
     "pf2_drop_skeleton_rows": lambda s: normalize.drop_skeleton_rows(s.rows)[0].select("row_id", "sheet"),
     "pf2_skeleton_notes": lambda s: normalize.drop_skeleton_rows(s.rows)[1],
     "pf3_priced_predicate": lambda s: s.rows.select("row_id", normalize.has_price().alias("priced")),
-    "pf4_exportable_contracts": lambda s: validate.export_gate(s.contracts, s.issues.where("hotel like '%7'"))[0].select("contract_id"),
+    "pf4_exportable_contracts": lambda s: validate.export_gate(s.contracts, s.issues)[0].select("contract_id"),
     "pf4_blocking_issues": lambda s: validate.export_gate(s.contracts, s.issues)[1].select("contract_id", "row_id", "message"),
     "pf5_review_grid_filter": lambda s: review.filter_rows(
         s.rows, s.issues, hotel="Supplier", sheet="Page:3", only_errors=True
@@ -287,7 +287,7 @@ QUERIES |= {
     ),
     "j14_enrichment_missing_fields": lambda s: enrich.enrichment_gaps(s.rows),
     "j15_supplement_patch_merge": lambda s: dedup.merge_supplements(
-        s.supplements.where("kind <> 'other'").drop("shouted"),
+        s.supplements.drop("shouted"),
         s.supplements.withColumn("hotel", F.coalesce("shouted", "hotel")).drop("shouted").withColumn("ord", -F.col("ord")),
         s.supplements.groupBy("contract_id").agg(F.max("hotel").alias("hotel")),
     ).select("contract_id", "hotel", "ord"),
@@ -296,7 +296,7 @@ QUERIES |= {
     "j18_source_ref_lookup": lambda s: references.resolve_references(s.doc_refs, s.text_docs),
     "j18_opening_text": lambda s: references.opening_text(s.text_docs),
     "j19_row_issue_counts": lambda s: review.join_issue_counts(s.rows, s.issues).select("row_id", "errors", "warnings_count"),
-    "j20_uncovered_rooms": lambda s: enrich.uncovered_rooms(s.skeleton_rooms, s.rows.where("room <> 'LARGE'")).select(
+    "j20_uncovered_rooms": lambda s: enrich.uncovered_rooms(s.skeleton_rooms, s.rows).select(
         "contract_id", "batch_id", "room"
     ),
 }
@@ -332,7 +332,7 @@ QUERIES |= {
     "ag8_unmapped_notes": lambda s: audit.unmapped_notes(audit.unmapped_cells(s.source_cells, s.rows)),
     "ag9_rate_dimensions": lambda s: audit.rate_dimensions(s.source_cells),
     "ag10_completeness": lambda s: audit.completeness_notes(
-        s.source_cells, s.page_docs, s.rows.where("max_rollaways = 1 and confidence < 0.3")
+        s.source_cells, s.page_docs, s.rows
     ).select("contract_id", "page", "note", "expected", "actual"),
     "ag11_merge_summary": lambda s: merge.merge_summary(s.parts),
     "ag11_merged_sheet_lists": lambda s: merge.union_lists(
@@ -344,7 +344,7 @@ QUERIES |= {
         F.lit("prompt_tokens"), "prompt_tokens", F.lit("completion_tokens"), "completion_tokens"
     ).alias("usage"))),
     "ag14_sheet_summary": lambda s: review.sheet_overview(
-        s.page_docs, s.rows, s.rows.select("contract_id", F.col("sheet").alias("page")).where("sheet <> 'Page:4'")
+        s.page_docs, s.rows, s.rows.select("contract_id", F.col("sheet").alias("page"))
     ),
     "ag15_summary_cards": lambda s: review.summary_cards(s.page_docs, s.rows, s.child_columns, s.source_cells, s.issues),
     "ag16_issues_by_severity": lambda s: review.issues_by_severity(s.issues),
@@ -506,7 +506,7 @@ QUERIES |= {
     "ex19_stacked_period_split": lambda s: blocks.split_stacked_periods(s.source_cells.where("col_name = 'Period'")).select(
         "contract_id", "doc_id", "row_idx", "price_group", "period_idx", "period"
     ),
-    "ex20_expected_grid_note": lambda s: audit.expected_grid_notes(s.skeletons, s.rows.where("confidence < 0.2 and max_rollaways = 1")),
+    "ex20_expected_grid_note": lambda s: audit.expected_grid_notes(s.skeletons, s.rows),
 }
 
 

@@ -114,12 +114,19 @@ def assess(docs: DataFrame, host: str = "source", floor: int = 5, percent: int =
 
 
 def filter_documents(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The kept documents with their common lines removed, in the columns of ``docs``; ``n_chars`` follows the text."""
-    kept = assess(docs, host).where("kept")
-    columns = {"text": F.col("clean_text")}
+    """The kept documents with their common lines removed, in the columns of ``docs``; ``n_chars`` follows the text.
+
+    Verdicts are written before rows are dropped: a filter on ``kept`` would be pushed below the steps that compute it,
+    and each lambda in them would compute its arrays anew for every word.
+    """
+    work = Workspace(docs.sparkSession, "quality-rows")
+    others = [c for c in docs.columns if c != "text"]
+    narrow = docs.select(F.struct(*others).alias("__row"), "text", F.col(host).alias("__host"))
+    kept = work.save(assess(narrow, "__host").select("__row", "clean_text", "kept"), "judged").where("kept")
+    new = {"text": F.col("clean_text")}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.length("clean_text").cast(docs.schema["n_chars"].dataType)
-    return kept.withColumns(columns).select(*docs.columns)
+        new["n_chars"] = F.length("clean_text").cast(docs.schema["n_chars"].dataType)
+    return kept.select(*[(new[c] if c in new else F.col("__row")[c]).alias(c) for c in docs.columns])
 
 
 ORACLE = r"""

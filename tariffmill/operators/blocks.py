@@ -15,6 +15,7 @@ from tariffmill.functions.numbers import to_float, to_int
 from tariffmill.functions.pricing import child_key, money, reduced_price, single_price
 from tariffmill.functions.vocabulary import meal_from_treatment
 from tariffmill.operators.normalize import apply_meta, clear_child_values
+from tariffmill.operators.shaping import last_row
 from tariffmill.schemas import CELL_META, MONEY
 
 DOC = ["contract_id", "doc_id"]
@@ -194,12 +195,13 @@ def narrow_child_ages(block_columns: DataFrame, overrides: DataFrame) -> DataFra
     }).drop("_best")
 
 
-def match_rooms(rows: DataFrame, occupancy: DataFrame) -> DataFrame:
+def match_rooms(rows: DataFrame, occupancy: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """J6's join: the best occupancy entry of each distinct room name of a document; the first entry on a tie.
 
-    Names are matched once per document and name, however many rows carry them.
+    Names are matched once per document and name, however many rows carry them. ``names`` (document and room, at least
+    those of ``rows``) spares the work of making the rows twice.
     """
-    names = rows.select(*DOC, "room").where(~is_blank("room")).distinct()
+    names = (rows if names is None else names).select(*DOC, "room").where(~is_blank("room")).distinct()
     listed = occupancy.where(F.btrim(F.coalesce("room_name", F.lit(""))) != "")
     scored = names.join(listed, DOC).withColumn("_score", room_match_score("room", "room_name")).where(
         F.col("_score") > 0
@@ -210,9 +212,9 @@ def match_rooms(rows: DataFrame, occupancy: DataFrame) -> DataFrame:
     )
 
 
-def apply_occupancy(rows: DataFrame, occupancy: DataFrame) -> DataFrame:
+def apply_occupancy(rows: DataFrame, occupancy: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """J6 and PF13: blank guest limits from the matched entry; child values cleared where it allows no children."""
-    joined = rows.join(match_rooms(rows, occupancy), [*DOC, "room"], "left").withColumns({
+    joined = rows.join(match_rooms(rows, occupancy, names), [*DOC, "room"], "left").withColumns({
         f: F.coalesce(F.col(f), F.col(f"_entry.{f}")) for f in ("min_adult", "max_adult", "max_pax")
     })
     return clear_child_values(joined, F.col("_entry.max_child")).drop("_entry")
@@ -337,12 +339,15 @@ def expand_blocks(
         F.array().cast("array<string>").alias("warnings"), F.create_map().cast(CELL_META).alias("cell_meta"),
         F.lit("auto").alias("review_state"),
     )
-    boards = meta.select(*DOC, meal_from_treatment("basic_treatment").alias("meal_plan"))
-    defaults = options.select(
+    boards = last_row(meta, DOC).select(*DOC, meal_from_treatment("basic_treatment").alias("meal_plan"))
+    defaults = last_row(options, ["contract_id"]).select(
         "contract_id", F.coalesce(blank("status"), F.lit("Open")).alias("status"), "check_in", "check_out"
     )
     dressed = apply_meta(rows.join(boards, DOC, "left"), meta, options).join(defaults, "contract_id", "left")
-    return apply_occupancy(dressed, occupancy)
+    # Every row's room is the label of its base column or of an upgrade column, so the names need no rows.
+    upgrade_names = block_columns.where(F.col("role") == "upgrade").select(*DOC, F.coalesce(blank("label"), F.lit("Upgrade")).alias("room"))
+    base_names = base_label.select(*DOC, F.coalesce("_base_label", F.lit("Standard")).alias("room"))
+    return apply_occupancy(dressed, occupancy, base_names.union(upgrade_names))
 
 
 def period_column_rows(table: DataFrame, periods: list[str], rooms: DataFrame) -> DataFrame:

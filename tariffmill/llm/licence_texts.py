@@ -1,4 +1,10 @@
-"""Known licence texts and notices, as fixed values. Their digests are computed, never stored."""
+"""Known licence texts and notices, as fixed values. Their digests are computed, never stored.
+
+Long licences are files of ``licence_files``, word for word as their stewards or distributions ship them; ``.other`` is
+a second edition in use.
+"""
+
+from importlib.resources import files
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
@@ -71,15 +77,125 @@ Unless required by applicable law or agreed to in writing, software distributed
 "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
 language governing permissions and limitations under the License."""
 
+BSD_3_CLAUSE = BSD_2_CLAUSE.replace("""
+
+THIS SOFTWARE""", """
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission.
+
+THIS SOFTWARE""")
+
+GNU_NOTICE = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program. If not, see
+<https://www.gnu.org/licenses/>."""
+
+MPL_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
+not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+
+
+def _file(name: str) -> str:
+    return files("tariffmill.llm").joinpath("licence_files", f"{name}.txt").read_text(encoding="utf-8")
+
+
+def _until(text: str, mark: str) -> str:
+    """``text`` before the last ``mark``, such as an appendix on how to apply the licence."""
+    return text[:text.rindex(mark)]
+
+
+def _since(text: str, mark: str) -> str:
+    return text[text.index(mark):]
+
+
+def _titled(text: str, *titles: str) -> list[str]:
+    return [text, *(f"{title}\n\n{text}" for title in titles)]
+
+
+def _bsd(text: str) -> list[str]:
+    """The forms in use: numbers or marks before the conditions, holders with "and" or "or" before contributors."""
+    plain = text.replace("\n1. ", "\n* ").replace("\n2. ", "\n* ").replace("\n3. ", "\n* ")
+    return [t.replace("COPYRIGHT HOLDERS AND", f"COPYRIGHT HOLDERS {word}") for t in (text, plain) for word in ("AND", "OR")]
+
+
+def _full_texts() -> dict[str, list[str]]:
+    end, filled = "END OF TERMS AND CONDITIONS", "Copyright 2020 holder"  # a filled-in copyright line is left out like any
+    apache = [_file("Apache-2.0"), _file("Apache-2.0.other")]
+    apache += [t.replace("Copyright [yyyy] [name of copyright owner]", filled) for t in apache]
+    apache += [t[:t.index(end) + len(end)] for t in apache] + [_until(t, end) for t in apache]
+    gnu = {
+        "GPL-2.0": [_file("GPL-2.0"), _file("GPL-2.0.other")], "GPL-3.0": [_file("GPL-3.0"), _file("GPL-3.0.other")],
+        "LGPL-2.1": [_file("LGPL-2.1")],
+    }
+    for texts in gnu.values():
+        texts += [t[:t.index(end) + len(end)] for t in texts] + [_until(t, end) for t in texts]
+    mpl, cc0, share_alike, free = (_file(n) for n in ("MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0", "Unlicense"))
+    regents = BSD_3_CLAUSE.replace("name of the copyright holder", "name of the University").replace(
+        "COPYRIGHT HOLDERS", "REGENTS").replace("COPYRIGHT HOLDER", "REGENTS")
+    return {
+        "MIT": _titled(MIT, "MIT License", "The MIT License", "The MIT License (MIT)"),
+        "ISC": _titled(ISC, "ISC License", "The ISC License"),
+        "BSD-2-Clause": [x for t in _bsd(BSD_2_CLAUSE) for x in _titled(t, "BSD 2-Clause License", "The BSD 2-Clause License")],
+        "BSD-3-Clause": [
+            x for own in (BSD_3_CLAUSE, BSD_3_CLAUSE.replace("name of the copyright holder nor the names of its", "names of the copyright holders nor the names of their"),
+                          BSD_3_CLAUSE.replace("name of the copyright holder nor the names of its", "names of the copyright holders nor the names of its"), regents)
+            for t in _bsd(own) for x in _titled(t, "BSD 3-Clause License", "The BSD 3-Clause License", "BSD License")
+        ],
+        "0BSD": _titled(ZERO_BSD, "BSD Zero Clause License", "Zero-Clause BSD"), "Zlib": _titled(ZLIB, "zlib License"),
+        "Apache-2.0": [*apache, APACHE_NOTICE], **gnu, "LGPL-3.0": [_file("LGPL-3.0")],
+        "MPL-2.0": [mpl, _until(mpl, "Exhibit B"), _until(mpl, "Exhibit A"), MPL_NOTICE],
+        "CC0-1.0": [cc0, _since(cc0, "CC0 1.0 Universal"), _since(cc0, "Statement of Purpose")],
+        "CC-BY-SA-4.0": [share_alike, _since(share_alike, "Creative Commons Attribution-ShareAlike 4.0 International Public")],
+        "Unlicense": [free, _until(free, "For more information")],
+    }
+
+
+def _gnu_notices() -> list[tuple[str, str]]:
+    found = []
+    for name, title, version in (
+        ("GPL-2.0", "General", "2"), ("GPL-3.0", "General", "3"), ("LGPL-2.1", "Lesser General", "2.1"), ("LGPL-3.0", "Lesser General", "3"),
+        ("AGPL-3.0", "Affero General", "3"),
+    ):
+        notice = GNU_NOTICE.replace("GNU General", f"GNU {title}").replace("version 3 of", f"version {version} of")
+        only = notice.replace(f"either version {version} of the License, or (at your option) any later\nversion.", f"version {version} of the License.")
+        for text in (notice, only):
+            found += [(name, text), (name, text.replace("This program", "This library").replace("this program", "this library"))]
+        for verb in ("This work is licensed", "Licensed", "Released"):
+            found.append((name, f"{verb} under the GNU {title} Public License, version {version}."))
+    return found
+
+
+#: SPDX identifiers and the licence each of them names.
+SPDX = {
+    **{n: n for n in (
+        "MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "0BSD", "Zlib", "Apache-2.0", "MPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-4.0",
+        "CC-BY-SA-4.0", "CC-BY-NC-4.0",
+    )},
+    **{f"{n}{tail}": n for n in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") for tail in ("", "-only", "-or-later")},
+}
+
+#: One-line names in notices of the form "Licensed under ...".
+NAMES = (
+    ("MIT", "the MIT License"), ("ISC", "the ISC License"), ("BSD-2-Clause", "the BSD 2-Clause License"), ("BSD-3-Clause", "the BSD 3-Clause License"),
+    ("Zlib", "the zlib License"), ("Apache-2.0", "the Apache License, Version 2.0"), ("Apache-2.0", "the Apache License 2.0"),
+    ("MPL-2.0", "the Mozilla Public License, version 2.0"), ("MPL-2.0", "the Mozilla Public License, v. 2.0"), ("Unlicense", "the Unlicense"),
+    ("CC0-1.0", "CC0 1.0"), ("CC-BY-4.0", "CC BY 4.0"), ("CC-BY-SA-4.0", "CC BY-SA 4.0"), ("CC-BY-NC-4.0", "CC BY-NC 4.0"),
+    ("CC-BY-4.0", "a Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-SA-4.0", "a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("CC-BY-NC-4.0", "a Creative Commons Attribution-NonCommercial 4.0 International License"),
+)
+
 #: (licence, text). A licence may have several texts; one-line notices stand on lines of their own.
 KNOWN = (
-    ("MIT", MIT), ("MIT", f"MIT License\n\n{MIT}"), ("MIT", f"The MIT License (MIT)\n\n{MIT}"), ("ISC", ISC), ("ISC", f"ISC License\n\n{ISC}"),
-    ("BSD-2-Clause", BSD_2_CLAUSE), ("BSD-2-Clause", f"BSD 2-Clause License\n\n{BSD_2_CLAUSE}"), ("0BSD", ZERO_BSD), ("Zlib", ZLIB),
-    ("Apache-2.0", APACHE_NOTICE), ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"), ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."),
-    ("MIT", "SPDX-License-Identifier: MIT"), ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "Licensed under the GNU General Public License, version 3."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC0-1.0", "Released under CC0 1.0."), ("all-rights-reserved", "All rights reserved."),
+    *((name, text) for name, texts in _full_texts().items() for text in texts), *_gnu_notices(),
+    *((name, f"SPDX-License-Identifier: {spdx}") for spdx, name in SPDX.items()),
+    *((name, f"{verb} under {title}.") for name, title in NAMES for verb in ("Licensed", "Released", "This work is licensed", "This project is licensed")),
+    ("all-rights-reserved", "All rights reserved."),
 )
 
 #: Spellings that count as equal, the second being the one kept.

@@ -138,3 +138,23 @@ def test_licences(documents, awkward):
     assert (by_id[23].n_notices, by_id[23].notices) == (3, "MIT all-rights-reserved")
     assert by_id[24].text_digest is None and by_id[2].text_digest is None and by_id[2].notices == ""
     assert licences.scan(documents([])).collect() == []
+
+
+def test_full_licence_texts_are_known(documents):
+    from pathlib import Path
+
+    folder = Path(licences.__file__).parent / "licence_files"
+    read = {f.stem.removesuffix(".other"): f.read_text() for f in sorted(folder.glob("*.txt"))}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0", "Unlicense"} == set(read)
+    named = sorted(read.items())
+    apache = read["Apache-2.0"]
+    named += [("Apache-2.0", apache[:apache.index("END OF TERMS")].upper()), ("Apache-2.0", apache.replace("[yyyy] [name of copyright owner]", "2019 Ann"))]
+    third = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    named.append(("BSD-3-Clause", "Copyright (c) 2020 Ann\n\n" + BSD_2_CLAUSE.replace("THIS SOFTWARE IS", f"{third}\n\nTHIS SOFTWARE IS")))
+    found = {r.doc_id: r.licence for r in licences.scan(documents(list(enumerate(t for _, t in named)))).collect()}
+    assert [found[i] for i in range(len(named))] == [n for n, _ in named]
+    lines = [("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-or-later"), ("MPL-2.0", "// SPDX-License-Identifier: MPL-2.0"), ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.")]
+    noted = {r.doc_id: r.notices for r in licences.scan(documents([(i, f"prose\n{t}\nprose") for i, (_, t) in enumerate(lines)])).collect()}
+    assert noted == {i: n for i, (n, _) in enumerate(lines)}
+    digests = [d for d, _ in licences.known_digests()]
+    assert len(set(digests)) == len(digests)

@@ -1,12 +1,13 @@
 """Licence scan by canonical digests.
 
-A text becomes canonical by lower case, without copyright lines, with punctuation as blanks, equivalent spellings as one,
-and single spaces. Its digest is joined with the digests of known licences, treated alike. A document is looked up as a
+A text becomes canonical by lower case, without copyright lines and an "All rights reserved" that follows one, with
+punctuation as blanks, equivalent spellings as one, and single spaces. Its digest is joined with the digests of known licences, treated alike. A document is looked up as a
 whole, and so is each of its lines, for notices that stand in a longer text. The known digests are a constant of this
 package, which bounds their broadcast.
 
 Defined cases: a null text is an empty one; the canonical text of a text without words is empty and matches nothing;
-repeated rows are rows of their own; other columns are not read.
+repeated rows are rows of their own; other columns are not read. The SQL knows only copyright lines with a four-digit year,
+prose included, so it differs from this where a text has other ones.
 """
 
 from __future__ import annotations
@@ -21,7 +22,29 @@ from pyspark.sql import functions as F
 
 from tariffmill.llm.licence_texts import KNOWN, SPELLINGS
 
-COPYRIGHT_LINE = re.compile(r"^[^a-z0-9\n]*(?:copyright|\(c\)|©)[^\n]*[0-9]{4}[^\n]*$", re.MULTILINE)
+# A copyright line is "copyright" with (c), a year or a holder after it, or a sign with a year or holder. A holder is names
+# to the end of the line, so that prose such as "Copyright law of 1976 ..." stays.
+_YEAR = r"(?:[0-9]{4}|[\[<{(]?(?i:yyyy|year)[\]>})])"
+_NO_HOLDER = (
+    "Act|Acts|And|Are|As|At|Basics|Claim|Claims|Directive|For|Holder|Holders|In|Information|Infringement|Is|Issues|Law|Laws|License|Licence|"
+    "Licenses|Material|Materials|Notice|Notices|Of|Office|On|Or|Owner|Owners|Ownership|Policy|Protection|Reform|Registration|Rights|Statement|"
+    "Status|Term|Terms|To|Treaty|Under|Was|With|Work|Works"
+)
+_NAME = (
+    r"(?:[^\W\d_a-z]\S*+|[0-9]\S*+|&|<[^>\n]*+>|\([^)\n]*+\)|(?:a|affiliates|all|and|authors?|by|contributors?|de|developers|individual|its|of|others?|"
+    r"present|reserved|rights|subsidiaries|team|the|their|to|van|von)(?![^\W_])[.,;:]?)"
+)
+_HOLDER = rf"(?:by[ \t]+)?(?:[Tt]he[ \t]+)?(?!(?:{_NO_HOLDER})\b)[^\W\d_a-z]\S*+(?:[ \t]+{_NAME})*+[ \t\r]*$"
+_BLANK = r"(?:[^\w\n]|_)*+"
+COPYRIGHT_LINE = re.compile(
+    r"^[^A-Za-z0-9\n]*(?:"
+    r"(?i:copyrights?)[^\w\n]{0,8}(?:(?i:\(c\)|&copy;)|©)[^\n]*$"
+    rf"|(?i:copyrights?)[^\w\n]{{0,8}}?{_YEAR}[^\n]*$"
+    rf"|[Cc]opyrights?:?[ \t]+{_HOLDER}"
+    rf"|(?:(?i:\(c\))|©)[^\w\n]{{0,8}}?(?:(?i:copyright)\b|{_YEAR})[^\n]*$"
+    rf"|©[ \t]*{_HOLDER}"
+    rf"|(?i:\(c\))[ \t]*(?=[^\n]*[0-9]{{4}}){_HOLDER}"
+    rf")(?:\n(?:{_BLANK}\n)*+{_BLANK}(?i:all[ \t]+rights[ \t]+reserved){_BLANK}$)?", re.MULTILINE)
 NOT_WORD = re.compile("[^a-z0-9\x80-\U0010ffff]+|[‘’“”–—©]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -29,7 +52,7 @@ UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def canonical(text: str | None, spellings: dict[str, str]) -> str:
     plain = (text or "").translate(UPPER)
     if "copyright" in plain or "(c)" in plain or "©" in plain:
-        plain = COPYRIGHT_LINE.sub(" ", plain)
+        plain = COPYRIGHT_LINE.sub(" ", text).translate(UPPER)
     return " ".join(spellings.get(w, w) for w in NOT_WORD.sub(" ", plain).split(" ") if w)
 
 

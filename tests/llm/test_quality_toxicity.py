@@ -158,3 +158,22 @@ def test_full_licence_texts_are_known(documents):
     assert noted == {i: n for i, (n, _) in enumerate(lines)}
     digests = [d for d, _ in licences.known_digests()]
     assert len(set(digests)) == len(digests)
+
+
+def test_copyright_lines_with_and_without_year(documents):
+    heads = [
+        "Copyright (c) Facebook, Inc. and its affiliates.", "Copyright (c) 2020, X\nAll rights reserved.", "Copyright Joyent, Inc. and other Node contributors.",
+        "Copyright 2011-2014 ann <a@b.c>\n\nAll rights reserved.", "// Copyright © The Go Authors\n//\n// All Rights Reserved", "© Ann", "(c) 2020 ann", "(C) Ann Lee, 2020",
+        "Copyright [yyyy] [name of copyright owner]", "Copyright (c) 2019 A\r\nCopyright (c) B\r\nAll rights reserved.\r", "COPYRIGHT 2020 ANN. ALL RIGHTS RESERVED",
+    ]
+    prose = [
+        "Copyright law of 1976 protects works.", "Copyright Law of 1976", "copyright notice of 1999", "(c) You must keep the notes of 1998 with it.", "All rights reserved.",
+        "COPYRIGHT HOLDERS BE LIABLE FOR 1000 DOLLARS", "\"Copyright\" also means laws of 1998.", "© is a sign since 1952.", "Copyright lasts.\nAll rights reserved.",
+    ]
+    rows = [(i, f"{h}\n\n{MIT}") for i, h in enumerate(heads)] + [(100 + i, p) for i, p in enumerate(prose)] + [(200, "Copyright (c) X\nAll rights reserved.")]
+    found = {r.doc_id: r for r in licences.scan(documents(rows)).collect()}
+    assert [h for i, h in enumerate(heads) if found[i].licence != "MIT"] == []
+    same = {i: licences.digest(" ".join(licences.NOT_WORD.sub(" ", p.lower()).split())).hex() for i, p in enumerate(prose)}
+    spelt = {i: licences.digest(licences.canonical(p, {})).hex() for i, p in enumerate(prose)}
+    assert spelt == same and all(found[100 + i].text_digest for i in same)
+    assert found[200].text_digest is None and found[200].notices == "all-rights-reserved"

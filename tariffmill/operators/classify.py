@@ -180,13 +180,13 @@ def trim_for_budget(
     kept = priority_documents(documents, limit)
     if formats is None:
         return kept, cells.join(kept.select(*DOC), DOC, "left_semi")
-    limit = _cap(F.col("input_format"), 0, formats)
+    shown = _cap(F.col("input_format"), 0, formats)
     trimmed = kept.withColumn("raw_excerpt", F.when(
-        F.length("raw_excerpt") > limit,
-        F.concat(F.substring(F.col("raw_excerpt"), F.lit(1), limit), F.lit("\n...[truncated]")),
+        F.length("raw_excerpt") > shown,
+        F.concat(F.substring(F.col("raw_excerpt"), F.lit(1), shown), F.lit("\n...[truncated]")),
     ).otherwise(F.col("raw_excerpt")))
-    formats = kept.select(*DOC, "input_format")
-    inside = cells.join(formats, DOC).where(
+    kinds = kept.select(*DOC, "input_format")
+    inside = cells.join(kinds, DOC).where(
         (F.col("row_idx") < _cap(F.col("input_format"), 1, formats)) & (F.col("col_idx") < _cap(F.col("input_format"), 2, formats))
     ).drop("input_format")
     return trimmed, inside

@@ -276,3 +276,20 @@ def test_golden_diff_of_a_result_with_itself_is_empty(table):
     df = _rows(table, [("c", "1", "H", "A", "p", 1, 2, None, None, None, {"k": 1.0}, 0), ("c", "2", "H", "A", "p", 1, 2, None, None, None, {"k": 1.0}, 1)])
     assert merge.golden_diff(df, df.withColumn("row_id", F.lit("other"))).count() == 0
     assert [r["surplus"] for r in merge.golden_diff(df, df.where("ord = 0")).collect()] == [1]
+
+
+def test_trim_by_format(table):
+    docs = table("contract_id string, doc_id string, ord int, classification string, input_format string, raw_excerpt string", [
+        ("c", f"d{i:02}", i, "hotel_contract", kind, "x" * 10_001) for i, kind in enumerate(["pdf", "PDF", "docx", "other", None] * 9)
+    ])
+    cells = table("contract_id string, doc_id string, row_idx int, col_idx int, value_str string", [
+        ("c", doc, row, col, "v") for doc in ("d00", "d02", "d03", "d41") for row, col in ((119, 39), (120, 0), (199, 39), (200, 0), (0, 40))
+    ])
+    kept, inside = classify.trim_for_budget(docs, cells, classify.REQUEST_DOCUMENTS, classify.FORMAT_CAPS)
+    sizes = {r["doc_id"]: len(r["raw_excerpt"]) for r in kept.collect()}
+    told = len("\n...[truncated]")
+    assert len(sizes) == 40 and {sizes[f"d{i:02}"] for i in (0, 1)} == {10_000 + told} and sizes["d02"] == 10_001
+    assert sizes["d03"] == sizes["d04"] == 8000 + told
+    assert {(r["doc_id"], r["row_idx"], r["col_idx"]) for r in inside.collect()} == {
+        ("d00", 119, 39), *((d, row, col) for d in ("d02", "d03") for row, col in ((119, 39), (120, 0), (199, 39)))
+    }

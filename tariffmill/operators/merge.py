@@ -53,7 +53,7 @@ def rate_type_vote(parts: DataFrame, rates: DataFrame) -> DataFrame:
 def aggregate_hotels(hotels: DataFrame) -> DataFrame:
     """AG3: hotels of all parts, the first of each name; nameless ones dropped; several make a contract multi-hotel.
 
-    ``hotels`` carries ``part_idx``; rates, rooms and supplements of the parts are simply united by the caller.
+    ``hotels`` carries ``part_idx``; ``aggregate_contract`` brings the other tables.
     """
     named = hotels.withColumn("_name", fold("hotel")).where(F.col("_name") != "")
     first = keep_first(named, ["contract_id", "_name"], F.struct("part_idx", "ord").asc())
@@ -77,11 +77,7 @@ def union_lists(lists: DataFrame, keys: list[str], value: str, order: str) -> Da
 
 
 def merge_hotels(hotels: DataFrame, fields: list[str]) -> DataFrame:
-    """AG12: one hotel per name: each field from the first part that fills it.
-
-    The lists of a hotel (rate blocks, rooms, child policies) are tables of their own, keyed by the same name; uniting
-    them needs no gathering.
-    """
+    """AG12: one hotel per name: each field from the first part that fills it; ``hotel_lists`` unites what it holds."""
     named = hotels.withColumn("hotel", first_filled("hotel", F.lit("Unknown Hotel")))
     at = F.struct("part_idx", "ord")
     return named.groupBy("contract_id", "hotel").agg(
@@ -89,6 +85,27 @@ def merge_hotels(hotels: DataFrame, fields: list[str]) -> DataFrame:
     ).select("contract_id", "hotel", *fields, F.col("_at.part_idx").alias("first_part"), F.col("_at.ord").alias("first_ord"))
 
 
+def unite_parts(*parts: DataFrame) -> DataFrame:
+    """One table of all parts' rows; a column that a part lacks is null in its rows."""
+    united = parts[0]
+    for part in parts[1:]:
+        united = united.unionByName(part, allowMissingColumns=True)
+    return united
+
+
+def hotel_lists(lists: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """AG12's rate blocks, rooms and child policies: those of all parts under the name that ``merge_hotels`` gives, in long form.
+
+    Nothing is gathered and nothing left out; ``part_idx, ord`` is the order of a hotel's entries.
+    """
+    return {name: df.withColumn("hotel", first_filled("hotel", F.lit("Unknown Hotel"))) for name, df in lists.items()}
+
+
+def aggregate_contract(hotels: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """AG3 whole: the hotels of all parts once each, and every other table of the parts with all of its rows."""
+    return {"hotels": aggregate_hotels(hotels), **tables}
+
+
 def usage_totals(usage: DataFrame) -> DataFrame:
     """AG13: usage counters summed by key over a contract's chunks."""
     return usage.select("contract_id", F.explode("usage").alias("counter", "n")).where(
@@ -113,15 +130,26 @@ def chunk_failure_notes(chunks: DataFrame) -> DataFrame:
 
 
 def merge_chunks(
-    rows: DataFrame, notes: DataFrame, columns: DataFrame, issues: DataFrame,
+    rows: DataFrame, notes: DataFrame, columns: DataFrame, issues: DataFrame, summaries: DataFrame | None = None,
+    summary_lists: DataFrame | None = None, hotels: DataFrame | None = None, hotel_fields: tuple[str, ...] = (),
+    lists: dict[str, DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
     """SO1: the tables of all chunks as the contract's: rows and issues as they are, notes and columns without repeats.
 
-    Inputs are already united over chunks with a contract-wide ``ord``.
+    Inputs are already united over chunks with a contract-wide ``ord``. With ``summaries`` and their entries
+    ``summary_lists`` (contract_id, list, entry, ord) come the AG11 summary and lists, with ``hotels`` and what they hold
+    (``lists``, such as rate_blocks, rooms and child_policies) the AG12 hotels and their lists.
     """
-    return {
+    merged = {
         "rows": rows, "issues": issues, "notes": dedup_notes(notes), "child_columns": dedup_child_columns(columns),
     }
+    if summaries is not None:
+        merged["summary"] = merge_summary(summaries)
+    if summary_lists is not None:
+        merged["summary_lists"] = union_lists(summary_lists, ["contract_id", "list"], "entry", "ord")
+    if hotels is not None:
+        merged["hotels"] = merge_hotels(hotels, list(hotel_fields))
+    return merged | hotel_lists(lists or {})
 
 
 def missing_supplement_names(findings: DataFrame) -> DataFrame:

@@ -131,6 +131,12 @@ def issues_by_severity(issues: DataFrame) -> DataFrame:
     )
 
 
+def grouped_issues(issues: DataFrame) -> DataFrame:
+    """AG16's groups in long form: every issue of the three severities with the ``group_rank`` of its own."""
+    rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).when(F.col("severity") == "info", 2)
+    return issues.withColumn("group_rank", rank).where(F.col("group_rank").isNotNull())
+
+
 def season_overview(rows: DataFrame) -> DataFrame:
     """AG17: distinct date spans with the first row's name, weekdays, minimum stay and release."""
     first = F.struct(

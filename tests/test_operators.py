@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tariffmill.operators import audit, blocks, child_columns, classify, dedup, enrich, grid, mapping, merge, normalize, shaping, text_rows, validate
+from tariffmill.operators import audit, blocks, child_columns, classify, dedup, enrich, grid, mapping, merge, normalize, review, shaping, text_rows, validate
 from tariffmill.schemas import CELL_META
 
 ROOMS = "contract_id string, hotel string, room string, code string, bed_type string, min_adult int, max_adult int, max_pax int, max_rollaways int, max_cribs int, max_children int, ord int"
@@ -293,3 +293,24 @@ def test_trim_by_format(table):
     assert {(r["doc_id"], r["row_idx"], r["col_idx"]) for r in inside.collect()} == {
         ("d00", 119, 39), *((d, row, col) for d in ("d02", "d03") for row, col in ((119, 39), (120, 0), (199, 39)))
     }
+
+
+def test_parts_are_united_whole(table):
+    first = table("contract_id string, hotel string, part_idx int, ord int, city string", [("c", "H", 0, 1, None), ("c", "", 0, 2, "x")])
+    second = table("contract_id string, hotel string, part_idx int, ord int, city string, phone string", [("c", "H", 1, 1, "Nice", "1")])
+    hotels = merge.unite_parts(first, second)
+    rooms = merge.unite_parts(*[table("contract_id string, hotel string, part_idx int, ord int, room string", [("c", n, p, 1, r)]) for n, p, r in (("H", 0, "A"), ("H", 1, "B"), (None, 1, "C"))])
+    notes = table("contract_id string, source_file string, page string, category string, note string, ord int", [("c", "f", "p", "k", t, i) for i, t in enumerate(("N", "n "))])
+    columns = table("contract_id string, key string, label string, ord int", [("c", "k", "l", 1), ("c", "k", "m", 2)])
+    issues = table("contract_id string, severity string, ord int", [("c", "info", 1), ("c", "error", 2), ("c", "other", 3)])
+    summaries = table("contract_id string, part_idx int, confidence double, source_file string, input_format string", [("c", 0, 0.5, None, "pdf"), ("c", 1, 1.0, "f", "xlsx")])
+    entries = table("contract_id string, list string, entry string, ord int", [("c", "sheets", "S", 1), ("c", "sheets", "S", 2), ("c", "sheets", "T", 3)])
+    out = merge.merge_chunks(issues, notes, columns, issues, summaries, entries, hotels, ("city", "phone"), {"rooms": rooms, "rate_blocks": rooms, "child_policies": rooms})
+    assert {n: df.count() for n, df in out.items()} == {
+        "rows": 3, "issues": 3, "notes": 1, "child_columns": 1, "summary": 1, "summary_lists": 2, "hotels": 2, "rooms": 3, "rate_blocks": 3, "child_policies": 3,
+    }
+    assert {(r["hotel"], r["city"], r["phone"]) for r in out["hotels"].collect()} == {("H", "Nice", "1"), ("Unknown Hotel", "x", None)}
+    assert {(r["hotel"], r["room"]) for r in out["rooms"].collect()} == {("H", "A"), ("H", "B"), ("Unknown Hotel", "C")}
+    whole = merge.aggregate_contract(hotels, {"rooms": rooms})
+    assert whole["hotels"].count() == 1 and whole["rooms"].count() == 3
+    assert [(r["group_rank"], r["ord"]) for r in review.grouped_issues(issues).orderBy("group_rank").collect()] == [(0, 2), (2, 1)]

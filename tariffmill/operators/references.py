@@ -9,6 +9,7 @@ from tariffmill.functions.base import blank, fold, stripped
 from tariffmill.functions.names import alnum_key
 from tariffmill.operators.shaping import keep_first, prefix_sum
 
+# What the original shows of a contract for a reference that leads nowhere; used only where a caller passes it.
 SHOWN_CHARACTERS = 8000
 
 
@@ -40,9 +41,9 @@ def match_sheets(hotels: DataFrame, sheets: DataFrame) -> DataFrame:
     )
 
 
-def resolve_references(refs: DataFrame, documents: DataFrame) -> DataFrame:
-    """Documents of each distinct source reference: the document itself, its sheet, its pages, its page range, else the
-    contract's opening text (8000 characters over its documents in order).
+def resolve_references(refs: DataFrame, documents: DataFrame, limit: int | None = None) -> DataFrame:
+    """Documents of each distinct source reference: the document itself, its sheet, its pages, its page range, else all
+    documents of the contract, or those that begin in its first ``limit`` characters.
 
     Distinct references are resolved, not rows. Every tier is an equi join or a join of what earlier tiers left open.
     """
@@ -75,26 +76,28 @@ def resolve_references(refs: DataFrame, documents: DataFrame) -> DataFrame:
     ).select("contract_id", "source_ref", "doc_id", F.lit("range").alias("tier"))
     found = exact.unionByName(by_sheet).unionByName(by_page).unionByName(by_range)
     lost = asked.join(found.select("contract_id", "source_ref").distinct(), ["contract_id", "source_ref"], "left_anti")
-    opening = opening_documents(documents).select("contract_id", "doc_id")
+    opening = opening_documents(documents, limit).select("contract_id", "doc_id")
     approximate = lost.join(opening, "contract_id").select(
         "contract_id", "source_ref", "doc_id", F.lit("approximate").alias("tier")
     )
     return found.unionByName(approximate)
 
 
-def opening_documents(documents: DataFrame, limit: int = SHOWN_CHARACTERS) -> DataFrame:
-    """The documents whose texts begin within the first ``limit`` characters of their contract.
+def opening_documents(documents: DataFrame, limit: int | None = None) -> DataFrame:
+    """The documents with their text as a ``_block``: all, or those that begin in the first ``limit`` characters of their contract.
 
     Lengths are added up in two levels, so a contract of very many documents is never sorted whole.
     """
     block = F.concat(F.lit("["), "doc_id", F.lit("]\n"), F.coalesce("raw_excerpt", F.lit("")))
+    if limit is None:
+        return documents.withColumn("_block", block)
     sized = documents.withColumn("_block", block).withColumn("_size", F.length("_block") + 2)
     summed = prefix_sum(sized, ["contract_id"], "ord", F.col("_size"), "_end")
     return summed.where(F.col("_end") - F.col("_size") < limit).drop("_size", "_end")
 
 
-def opening_text(documents: DataFrame, limit: int = SHOWN_CHARACTERS) -> DataFrame:
-    """The contract's first ``limit`` characters over its documents: the preview of a reference that leads nowhere."""
+def opening_text(documents: DataFrame, limit: int) -> DataFrame:
+    """The contract's first ``limit`` characters over its documents, as one preview; ``opening_documents`` has the whole text."""
     joined = F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("ord", "_block"))), lambda s: s["_block"]
     ), "\n\n")

@@ -293,8 +293,8 @@ QUERIES |= {
     ).select("contract_id", "hotel", "ord"),
     "j16_sheet_match": lambda s: references.match_sheets(s.sheet_hotels, s.sheets).select("ord", "hotel", "sheet", "matched_by"),
     "j17_room_scope_filter": lambda s: mapping.bands_per_room(s.child_bands, s.rooms).select("contract_id", "hotel", "ord", "room"),
-    "j18_source_ref_lookup": lambda s: references.resolve_references(s.doc_refs, s.text_docs),
-    "j18_opening_text": lambda s: references.opening_text(s.text_docs),
+    "j18_source_ref_lookup": lambda s: references.resolve_references(s.doc_refs, s.text_docs, references.SHOWN_CHARACTERS),
+    "j18_opening_text": lambda s: references.opening_text(s.text_docs, references.SHOWN_CHARACTERS),
     "j19_row_issue_counts": lambda s: review.join_issue_counts(s.rows, s.issues).select("row_id", "errors", "warnings_count"),
     "j20_uncovered_rooms": lambda s: enrich.uncovered_rooms(s.skeleton_rooms, s.rows).select(
         "contract_id", "batch_id", "room"

@@ -105,3 +105,15 @@ def test_a_cluster_must_name_its_shared_folder():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.checkpoint_dir(Session())
+
+
+def test_lost_references_reach_the_whole_contract(table):
+    docs = table("contract_id string, doc_id string, ord int, kind string, page_number int, source_ref string, raw_excerpt string", [
+        ("c", f"d{i}", i, "other", None, None, str(i) * 5000) for i in range(4)
+    ])
+    refs = table("contract_id string, source_ref string", [("c", "nowhere")])
+    def found(*limit):
+        return sorted((r["doc_id"], r["tier"]) for r in references.resolve_references(refs, docs, *limit).collect())
+    assert found() == [(f"d{i}", "approximate") for i in range(4)]
+    assert found(references.SHOWN_CHARACTERS) == [("d0", "approximate"), ("d1", "approximate")]
+    assert {r["doc_id"]: r["_block"] for r in references.opening_documents(docs).collect()} == {f"d{i}": f"[d{i}]\n" + str(i) * 5000 for i in range(4)}

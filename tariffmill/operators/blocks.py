@@ -153,24 +153,41 @@ def grid_text(rows: DataFrame, group: list[str] | None = None) -> DataFrame:
 
 
 def sheet_text(cells: DataFrame) -> DataFrame:
-    """EX16 for whole sheets."""
+    """EX16 for whole sheets, each as one value; ``grid_lines`` has no such limit."""
     return grid_text(sheet_rows(cells).withColumn("line", F.col("row_idx") + 1))
 
 
+def _block_rows(cells: DataFrame, sheets: DataFrame) -> DataFrame:
+    name = F.when(F.col("title").isNull(), F.col("doc_id")).otherwise(
+        F.concat("doc_id", F.lit(" | "), "title")
+    )
+    return rate_blocks(cells, sheets).withColumn("block_doc_id", name)
+
+
+def block_lines(cells: DataFrame, sheets: DataFrame) -> DataFrame:
+    """EX17 in long form: the lines of each block's document, keyed by document, block and ``line``; no text is gathered.
+
+    A block's width comes by join from an aggregate, so no task holds a whole block for it.
+    """
+    block = [*DOC, "block_idx", "block_doc_id"]
+    rows = _with_shown(_block_rows(cells, sheets)).withColumnRenamed("width", "_own")
+    widths = rows.groupBy(*block).agg(F.max("_own").alias("width"))
+    return rows.join(widths, block).select(
+        *block, "classification", "detected_hotel_name", F.col("title").alias("block_title"), "block_count", "line", "width",
+        _line(F.col("line"), F.col("_shown"), F.col("width")).alias("text"),
+    )
+
+
 def block_documents(cells: DataFrame, sheets: DataFrame) -> DataFrame:
     """EX17: one document per rate block of contract sheets, one per sheet otherwise.
 
-    ``sheets`` is the output of ``classify_sheets``. Rows keep their cells through the cut into blocks, so the cells are
+    Each document is one value; ``block_lines`` has no such limit. ``sheets`` is the output of ``classify_sheets``. Rows keep their cells through the cut into blocks, so the cells are
     grouped once and never joined back.
     """
-    blocks = rate_blocks(cells, sheets)
-    name = F.when(F.col("title").isNull(), F.col("doc_id")).otherwise(
-        F.concat("doc_id", F.lit(" | "), "title")
-    )
     group = [
         *DOC, "classification", "detected_hotel_name", "block_idx", "title", "block_count", "block_doc_id",
     ]
-    return grid_text(blocks.withColumn("block_doc_id", name), group).withColumnsRenamed(
+    return grid_text(_block_rows(cells, sheets), group).withColumnsRenamed(
         {"title": "block_title", "text": "raw_excerpt"}
     )
 

@@ -314,3 +314,14 @@ def test_parts_are_united_whole(table):
     whole = merge.aggregate_contract(hotels, {"rooms": rooms})
     assert whole["hotels"].count() == 1 and whole["rooms"].count() == 3
     assert [(r["group_rank"], r["ord"]) for r in review.grouped_issues(issues).orderBy("group_rank").collect()] == [(0, 2), (2, 1)]
+
+
+def test_block_lines_make_up_the_documents(table):
+    data = ["01/05/2025", "31/10/2025", 62, 70, 80]
+    sheet = _sheet(table, [["Hotel"], ["Currency", "EUR"], ["Contract Rate"], HEADER, data, ["Booking Window 30 days"], HEADER, data])
+    sheets = classify.classify_sheets(sheet).withColumn("classification", F.lit("hotel_contract"))
+    lines = {}
+    for r in blocks.block_lines(sheet, sheets).orderBy("block_idx", "line").collect():
+        lines.setdefault(r["block_doc_id"], []).append(r["text"])
+    texts = {r["block_doc_id"]: r["raw_excerpt"].split("\n")[2:] for r in blocks.block_documents(sheet, sheets).collect()}
+    assert len(lines) == 2 and lines == texts

@@ -20,14 +20,16 @@ which is null only if no id of the component is not. Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tariffmill.llm.common import Workspace, same_row, text_hash
+from tariffmill.llm.exact_dedup import located
 from tariffmill.llm.graph import components
 
 BAND_VALUES = 5
@@ -84,7 +86,7 @@ def band_hashes(shingles: np.ndarray, factor: np.ndarray, shift: np.ndarray, ban
     return out.view(np.int64)
 
 
-def _signatures(size: int, bands: int, values: int, least: int):
+def _signatures(size: int, bands: int, values: int, least: int, names: list[str]):
     factor, shift = permutations(bands, values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,9 +100,9 @@ def _signatures(size: int, bands: int, values: int, least: int):
                 counts.append(len(own))
                 banded.append(band_hashes(own, factor, shift, bands) if len(own) >= least else None)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("text_hash"), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()),
+                *(batch.column(c) for c in names), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()),
                 pa.array(banded, pa.list_(pa.int64())),
-            ], ["doc_id", "text_hash", "digest", "n_shingles", "bands"])
+            ], [*names, "digest", "n_shingles", "bands"])
 
     return run
 
@@ -225,22 +227,19 @@ def _links(members: DataFrame, sets: DataFrame, work: Workspace, percent: int) -
     return links.union(more)
 
 
-def near_duplicates(
-    docs: DataFrame, shingle: int = 5, percent: int = PERCENT, bands: int = BANDS, band_values: int = BAND_VALUES,
-) -> DataFrame:
-    """A row for each row of ``docs``: doc_id, text_hash, n_shingles, component_id, kept.
-
-    Nothing that grows with the corpus is broadcast or collected: nodes are rows with equal sets reduced before the
-    exchange, buckets are found by an aggregate over band hashes, and texts are read a second time only for nodes that
-    share a bucket.
-    """
-    work = Workspace(docs.sparkSession, "minhash")
-    texts = docs.select("doc_id", text_hash().alias("text_hash"), "text")
+def _labelled(
+    docs: DataFrame, work: Workspace, shingle: int, percent: int, bands: int, band_values: int, more: Sequence[str] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """The rows with their set's digest and the columns ``more``, and the digests with their least id and component's label."""
+    texts = docs.select("doc_id", text_hash().alias("text_hash"), *more, "text")
+    names = [c for c in texts.columns if c != "text"]
+    columns = T.StructType([
+        *texts.select(*names).schema, T.StructField("digest", T.BinaryType()), T.StructField("n_shingles", T.LongType()),
+        T.StructField("bands", T.ArrayType(T.LongType())),
+    ])
     # Different sets of similarity p need at least p / (1 - p) shingles in the smaller one.
     least = -(-percent // (100 - percent)) if percent < 100 else 2**31
-    rows = work.save(texts.mapInArrow(
-        _signatures(shingle, bands, band_values, least), f"{texts.select('doc_id').schema[0].simpleString().replace(':', ' ')}, text_hash long, digest binary, n_shingles long, bands array<long>"
-    ), "rows")
+    rows = work.save(texts.mapInArrow(_signatures(shingle, bands, band_values, least, names), columns), "rows")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "n_shingles", "bands")).alias("first")
     nodes = work.save(rows.where("digest IS NOT NULL").groupBy("digest").agg(first).select(
         "digest", "first.*", F.monotonically_increasing_id().alias("node")
@@ -260,6 +259,20 @@ def near_duplicates(
     work.release()
     labels = components(_links(members, sets, work, percent), work, "labels")
     labelled = nodes.join(labels, "node", "left").select("digest", "doc_id", F.coalesce("label", "node").alias("label"))
+    return rows, labelled
+
+
+def near_duplicates(
+    docs: DataFrame, shingle: int = 5, percent: int = PERCENT, bands: int = BANDS, band_values: int = BAND_VALUES,
+) -> DataFrame:
+    """A row for each row of ``docs``: doc_id, text_hash, n_shingles, component_id, kept.
+
+    Nothing that grows with the corpus is broadcast or collected: nodes are rows with equal sets reduced before the
+    exchange, buckets are found by an aggregate over band hashes, and texts are read a second time only for nodes that
+    share a bucket.
+    """
+    work = Workspace(docs.sparkSession, "minhash")
+    rows, labelled = _labelled(docs, work, shingle, percent, bands, band_values)
     named = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_digest = labelled.select("digest", "label").join(named, "label").select("digest", "component_id")
     work.drop("members", "sets", "wanted")
@@ -269,11 +282,20 @@ def near_duplicates(
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """One document of each component of five-word shingles, in the columns of ``docs``; texts without words all stay."""
-    verdict = near_duplicates(docs).where("kept").select("doc_id", "text_hash").distinct()
-    keyed = docs.select(*docs.columns, text_hash().alias("__text_hash"))
-    met = keyed.join(verdict, keyed["doc_id"].eqNullSafe(verdict["doc_id"]) & (keyed["__text_hash"] == verdict["text_hash"]), "left_semi")
-    return met.select(*docs.columns)
+    """One row of each component of five-word shingles, in the columns of ``docs``; texts without words all stay.
+
+    The row with the least id stays, null ids last; between rows of equal id that of the least text hash, then of the least
+    locator, so that exactly one row stays even where ids are null or repeated.
+    """
+    work = Workspace(docs.sparkSession, "minhash")
+    rows = located(docs, work)
+    signed, labelled = _labelled(rows, work, 5, PERCENT, BANDS, BAND_VALUES, ["__row_at"])
+    entry = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "__row_at")
+    placed = work.save(signed.join(labelled.select("digest", "label"), "digest").select("label", "doc_id", "text_hash", "__row_at"), "placed")
+    first = placed.groupBy("label").agg(F.min(entry)["__row_at"].alias("first_at"))
+    gone = work.save(placed.join(first, "label").where(F.col("__row_at") != F.col("first_at")).select("__row_at"), "gone")
+    work.drop("members", "sets", "wanted", "rows", "nodes", "placed")
+    return rows.join(gone, "__row_at", "left_anti").select(*docs.columns)
 
 
 ORACLE = r"""

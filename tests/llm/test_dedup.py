@@ -211,3 +211,15 @@ def test_repeats_filter_and_empty(documents):
 
 def test_free_names(documents):
     assert free_name(documents([]), "q_text", "fresh") == {"q_text": "_q_text", "fresh": "fresh"}
+
+
+def test_near_filter_keeps_one_row_of_a_component(documents):
+    text = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    third = " ".join(f"u{i}" for i in range(60))
+    rows = [
+        (None, text), (None, text + " a"), (None, text), (7, other), (7, other + " b"), (7, other + " c"), (9, other), (3, third), (3, third),
+        (None, third), (None, ""), (None, None), (5, ""),
+    ]
+    left = [(r.doc_id, r.text or "") for r in minhash.filter_documents(documents(rows)).collect()]
+    assert sorted((i is None, i or 0, t[:1]) for i, t in left) == [(False, 3, "u"), (False, 5, ""), (False, 7, "v"), (True, 0, ""), (True, 0, ""), (True, 0, "w")]

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tariffmill.llm import exact_dedup, licences, minhash, packing, quality, sharding, substring, toxicity, warc
+from tariffmill.llm import (
+    conversations, embedding_links, exact_dedup, licences, minhash, packing, periodicity, quality, sharding, substring, toxicity, warc,
+)
 from tariffmill.llm.bpe import Tokenizer
 
 
@@ -66,9 +68,24 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *quality.RESULTS)
 
 
+def op11_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_links.near_vectors(_read(spark, folder, "embeddings"))
+
+
+def op12_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    told = _read(spark, folder, "conversations")
+    return conversations.Repair(conversations.damaged(told)).summary(told)
+
+
+def op13_periodicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents").select("doc_id", "text")
+    return periodicity.summary(periodicity.periodic_runs(docs, key_column="doc_id", prepare=periodicity.planted))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_toxicity, op2_licences, op3_warc, op4_minhash, op5_packing, op6_sharding, op7_exact_dedup, op8_substring, op9_bpe, op10_quality,
+        op11_vectors, op12_conversations, op13_periodicity,
     )
     return {f.__name__: f for f in own}
 
@@ -76,5 +93,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_licences": licences.ORACLE, "op3_warc": warc.ORACLE, "op4_minhash": minhash.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE,
-        "op8_substring": substring.ORACLE, "op10_quality": quality.ORACLE,
+        "op8_substring": substring.ORACLE, "op10_quality": quality.ORACLE, "op11_vectors": embedding_links.ORACLE,
     }

@@ -1107,19 +1107,36 @@ SQL["snk4_export_supplements"] = "SELECT contract_id, " + ", ".join(
     f'{"CAST(NULL AS VARCHAR)" if n == "rate_plans" else n} AS "{h}"' for n, h in SUPPLEMENT_HEADERS.items()
 ) + f" FROM ({contract_supplements('supplements')})"
 SQL["snk5_export_raw_rows"] = f"SELECT contract_id, row_id AS \"Hotel Code\", room AS \"Room Name\", CAST(NULL AS VARCHAR) AS \"Bed Type\", {x.dbl('dbl')} AS \"Adult 2 (DBL)\" FROM rows"
-TEMPLATES = f"""{COLUMNS}, owned AS (SELECT *, {x.slug('supplier')} AS slug FROM rows WHERE supplier <> ''),
-template AS (
-  SELECT slug, 'room' AS kind, room AS value, min(ord) AS first_seen FROM owned WHERE room <> '' GROUP BY 1, 3
-  UNION ALL SELECT slug, 'period', start_date || '/' || end_date, min(ord) FROM owned WHERE start_date <> '' AND end_date <> '' GROUP BY 1, 3
-  UNION ALL SELECT slug, 'meal_plan', meal_plan, min(ord) FROM owned WHERE meal_plan <> '' GROUP BY 1, 3
-  UNION ALL SELECT slug, 'currency', v, 0 FROM (SELECT slug, arg_min_null(currency, ord) AS v FROM owned GROUP BY 1) WHERE v IS NOT NULL
-  UNION ALL SELECT slug, 'rate_type', v, 0 FROM (SELECT slug, arg_min_null(rate_type, ord) AS v FROM owned GROUP BY 1) WHERE v IS NOT NULL
-  UNION ALL SELECT o.slug, 'child_column', n.key, min(n.ord) FROM ncols n JOIN (SELECT DISTINCT contract_id, slug FROM owned) o USING (contract_id) GROUP BY 1, 3)"""
+
+
+def templates(name: str, rows: str) -> str:
+    owned = f"owned_{name}"
+    return f"""{owned} AS (SELECT *, {x.slug('supplier')} AS slug FROM {rows} WHERE supplier <> ''),
+{name} AS (
+  SELECT slug, 'room' AS kind, room AS value, min(ord) AS first_seen FROM {owned} WHERE room <> '' GROUP BY 1, 3
+  UNION ALL SELECT slug, 'period', start_date || '/' || end_date, min(ord) FROM {owned} WHERE start_date <> '' AND end_date <> '' GROUP BY 1, 3
+  UNION ALL SELECT slug, 'meal_plan', meal_plan, min(ord) FROM {owned} WHERE meal_plan <> '' GROUP BY 1, 3
+  UNION ALL SELECT slug, 'currency', v, 0 FROM (SELECT slug, arg_min_null(currency, ord) AS v FROM {owned} GROUP BY 1) WHERE v IS NOT NULL
+  UNION ALL SELECT slug, 'rate_type', v, 0 FROM (SELECT slug, arg_min_null(rate_type, ord) AS v FROM {owned} GROUP BY 1) WHERE v IS NOT NULL
+  UNION ALL SELECT o.slug, 'child_column', n.key, min(n.ord) FROM ncols n JOIN (SELECT DISTINCT contract_id, slug FROM {owned}) o USING (contract_id) GROUP BY 1, 3)"""
+
+
+TEMPLATES = f"{COLUMNS}, {templates('template', 'rows')}"
+SQL["snk6_template_versions"] = f"""
+WITH {COLUMNS}, fixed AS (SELECT r.* REPLACE (CASE WHEN i.c THEN coalesce(r.currency, 'EUR') ELSE r.currency END AS currency, coalesce(r.supplier, 'Unknown Supplier') AS supplier)
+  FROM rows r JOIN {FIXED} USING (contract_id, row_id) WHERE i.s),
+{templates('before', 'rows')}, {templates('after', 'fixed')},
+versions AS (SELECT 0 AS as_of, * FROM before UNION ALL SELECT 1, * FROM after
+  UNION ALL SELECT 1, * FROM before WHERE slug NOT IN (SELECT slug FROM after))
+SELECT CAST(as_of AS BIGINT) AS as_of, slug AS supplier_slug, kind, value, CAST(first_seen AS BIGINT) AS first_seen FROM versions"""
 SQL["snk6_supplier_template_save"] = f"WITH {TEMPLATES} SELECT slug AS supplier_slug, kind, value, CAST(first_seen AS BIGINT) AS first_seen FROM template"
 SQL["snk7_supplier_template_load"] = f"""
 WITH {TEMPLATES} SELECT o.contract_id, o.s AS supplier_slug, t.kind, t.value, CAST(t.first_seen AS BIGINT) AS first_seen
 FROM (SELECT contract_id, 'supplier-' || split_part(contract_id, '-', 2) AS s FROM options) o LEFT JOIN template t ON t.slug = o.s"""
 SQL["ss2_job_status"] = "SELECT job_id, arg_max(event, (\"at\", event)) AS status, max(\"at\") AS at, CAST(count(*) AS BIGINT) AS events FROM job_events GROUP BY 1"
+SQL["ss2_job_status_stream"] = SQL["ss2_job_status"]
+SQL["ss1_incremental_landing"] = """
+SELECT sha256(text) AS sha256, arg_min(path, (day, path)) AS path, min(day) AS day FROM arrivals GROUP BY 1"""
 SQL["ss2_job_event_counts"] = "SELECT job_id, event, CAST(count(*) AS BIGINT) AS events FROM job_events GROUP BY 1, 2"
 
 

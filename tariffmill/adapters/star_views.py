@@ -603,6 +603,11 @@ SELECT 'inbox/' || {text("doc_id")} || {pick("doc_id", quoted(".xlsx", ".docx",
   {pick("doc_id", quoted("25504446", "504B0304", "D0CF11E0", "89504E47", "FFD8FF", "49492A00", "4D4D002A", ""))} AS head_hex, text
 FROM documents"""
 
+# Every file arrives on one of three days, and all of them once more after a month.
+VIEWS["arrivals"] = """
+SELECT path, text, CAST(4 * (length(path) % 3) AS BIGINT) AS day FROM files
+UNION ALL SELECT 'again/' || path, text, CAST(30 AS BIGINT) FROM files"""
+
 VIEWS["model_texts"] = f"""
 SELECT event_id AS text_id, user_id, {pick("event_id", [
     "'```json\n{\"name\": \"' || event_type || '\", \"n\": ' || " + text("user_id") + " || '}\n```'",

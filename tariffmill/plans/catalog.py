@@ -15,6 +15,7 @@ from tariffmill.operators import (
     text_rows, validate,
 )
 from tariffmill.plans.pipelines import clean_contract, map_contract
+from tariffmill.session import shared_folder
 from tariffmill.sinks import export
 from tariffmill.sources import readers
 from tariffmill.streaming import jobs
@@ -641,7 +642,48 @@ QUERIES |= {
     ).select("contract_id", "supplier_slug", "kind", "value", "first_seen"),
 }
 
-# ---- batch twin of the job log stream --------------------------------------------------------------------------------
+
+
+@query("snk6_template_versions")
+def _(s: StarData) -> DataFrame:
+    """Two saves, the second of the rows whose supplier was set by a fix, and both versions as loaded afterwards."""
+    columns = child_columns.normalize_columns(s.child_columns)
+    set_by_fix = s.issues.where("quick_fix_type = 'set_default_supplier'").select("contract_id", "row_id").distinct()
+    fixed = review.quick_fixes(s.rows, s.issues).join(set_by_fix, ["contract_id", "row_id"], "left_semi")
+    store = export.template_store(s.spark, shared_folder(s.spark, "templates"))
+    first, second = (store.save(export.supplier_templates(rows, columns)) for rows in (s.rows, fixed))
+    return mapping.supplement_union(*[store.load(v).withColumn("as_of", F.lit(v)) for v in (first, second)])
+
+
+# ---- streams and their batch twins -----------------------------------------------------------------------------------
+ARRIVAL_DAYS = (0, 4, 8, 30)
+
+
+@query("ss1_incremental_landing")
+def _(s: StarData) -> DataFrame:
+    """Files of four days, each day's taken by a stream that starts where the last one ended."""
+    folder = shared_folder(s.spark, "landing")
+    arrivals = s.arrivals.select("path", "day", F.encode("text", "UTF-8").alias("content"))
+    for day in ARRIVAL_DAYS:
+        arrivals.where(F.col("day") == day).write.mode("append").parquet(f"{folder}/inbox")
+        inbox = s.spark.readStream.schema(arrivals.schema).parquet(f"{folder}/inbox")
+        jobs.land(readers.file_checksum(inbox), f"{folder}/landed", f"{folder}/checkpoint", ["day", "path"])
+    return jobs.landed(s.spark, f"{folder}/landed").select("sha256", "path", "day")
+
+
+@query("ss2_job_status_stream")
+def _(s: StarData) -> DataFrame:
+    """The job log in three parts out of order, and then all of it once more."""
+    folder = shared_folder(s.spark, "jobs")
+    events = s.job_events.select("job_id", "event", "at", "event_id")
+    part = F.pmod(F.xxhash64("event_id"), F.lit(3))
+    for again in (*[events.where(part == k) for k in (2, 0, 1)], events):
+        again.write.mode("append").parquet(f"{folder}/log")
+        log = s.spark.readStream.schema(events.schema).parquet(f"{folder}/log")
+        jobs.follow_jobs(log, f"{folder}/status", f"{folder}/checkpoint", compact_every=3)
+    return jobs.status_table(s.spark, f"{folder}/status").load()
+
+
 
 QUERIES |= {
     "ss2_job_status": lambda s: jobs.job_status(s.job_events),

@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +48,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A fresh folder for one run, below the checkpoint folder all machines share."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold inside the block only."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from the files.
 

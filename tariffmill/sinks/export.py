@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tariffmill.functions.base import blank
@@ -13,6 +13,7 @@ from tariffmill.schemas import (
     DROPPED_CHILD_HEADERS, HOTEL_HEADERS, NOTE_HEADERS, NUMERIC_FIELDS, STRICT_CHILD_KEYS, SUPP_HEADERS,
     SUPPLEMENT_HEADERS, SUPPLEMENT_TYPES,
 )
+from tariffmill.sinks.versions import VersionedTable
 
 UNKNOWN_HOTEL = "Unknown Hotel"
 
@@ -159,8 +160,21 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
+def template_store(spark: SparkSession, path: str) -> VersionedTable:
+    """SNK6 and SNK7: the stored templates by supplier; ``load`` gives the latest or an earlier version."""
+    return VersionedTable(spark, path, ["supplier_slug"])
+
+
+def save_supplier_templates(templates: DataFrame, path: str) -> int:
+    """SNK6: the templates replace the stored ones of the suppliers at hand, as a new version of the store.
+
+    All others stay, and until the version is committed, or where the save fails, readers see the version before it.
+    """
+    return template_store(templates.sparkSession, path).save(templates)
+
+
 def write_supplier_templates(templates: DataFrame, path: str) -> None:
-    """SNK6: replace the stored entries of the suppliers at hand and leave all others."""
+    """SNK6 as plain partitions, overwritten in place, for readers that know no versions."""
     writer = templates.hint("rebalance", "supplier_slug").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     )

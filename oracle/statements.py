@@ -586,9 +586,16 @@ bodies AS (SELECT {group}, line, width, string_agg(coalesce(v, ''), chr(9) ORDER
 rendered AS (SELECT {group}, line, width, CAST(line AS VARCHAR) || chr(9) || body AS text FROM bodies)"""
 
 
-def whole_text(name: str) -> str:
+CHUNK = 400
+
+
+def in_chunks(group: str, name: str) -> str:
+    """CTEs ``chunked(group, chunk, text)``: the rendered lines of each group under their headings, cut at line starts."""
     letters = "array_to_string(list_transform(range(max(width)), lambda i: chr(CAST(65 + i AS INT))), chr(9))"
-    return f"'=== Sheet: ' || regexp_replace({name}, '^Sheet:', '') || ' ===' || chr(10) || 'Row' || chr(9) || {letters} || chr(10) || string_agg(text, chr(10) ORDER BY line)"
+    return f"""headed AS (SELECT {group}, 0 AS line, '=== Sheet: ' || regexp_replace({name}, '^Sheet:', '') || ' ===' || chr(10) || 'Row' || chr(9) || {letters} AS text
+  FROM rendered GROUP BY {group} UNION ALL SELECT {group}, line, chr(10) || text FROM rendered),
+measured AS (SELECT *, (sum(length(text)) OVER (PARTITION BY {group} ORDER BY line) - length(text)) // {CHUNK} AS chunk FROM headed),
+chunked AS (SELECT {group}, CAST(chunk AS BIGINT) AS chunk, string_agg(text, '' ORDER BY line) AS text FROM measured GROUP BY {group}, chunk)"""
 
 
 DELTAS = """meal_cells AS (SELECT contract_id, hotel, room, season, meal, arg_max_null(coalesce(dbl, sgl), ord) AS amount, min(ord) AS ord FROM {rates} GROUP BY ALL),
@@ -919,14 +926,15 @@ SELECT contract_id, doc_id, hotel, category, note FROM trigger_note WHERE classi
 UNION ALL SELECT contract_id, doc_id, {DOC_HOTEL}, 'Source ambiguity', 'No date pairs detected on ' || doc_id || '. Review manually to find rate periods.' FROM text_docs
 WHERE classification <> 'index_reference' AND doc_id NOT IN (SELECT doc_id FROM date_pair)"""
 SQL["ex16_sheet_grid_lines"] = f"WITH {line_text('cells', GRAND, 'row_idx + 1')} SELECT doc_id, CAST(line AS BIGINT) AS line, text FROM rendered"
-SQL["ex16_sheet_grid_text"] = f"WITH {line_text('cells', GRAND, 'row_idx + 1')} SELECT contract_id, doc_id, {whole_text('doc_id')} AS text FROM rendered GROUP BY 1, 2"
+SQL["ex16_sheet_grid_text"] = f"WITH {line_text('cells', GRAND, 'row_idx + 1')}, {in_chunks(GRAND, 'doc_id')} SELECT contract_id, doc_id, chunk, text FROM chunked"
 _BLOCK_CELLS = "block_cells AS (SELECT b.contract_id, b.doc_id, b.block_idx, b.title, b.block_count, b.line, b.doc_id || coalesce(' | ' || b.title, '') AS block_doc_id, c.col_idx, c.value_str FROM block_row b JOIN cells c USING (contract_id, doc_id, row_idx))"
+_BLOCK = "contract_id, doc_id, block_idx, block_doc_id"
 SQL["ex17_block_documents"] = f"""
-WITH {SHEET_CLASS}, {block_rows("c.classification = 'hotel_contract'")}, {_BLOCK_CELLS}, {line_text('block_cells', 'contract_id, doc_id, block_idx, block_doc_id', 'line')},
+WITH {SHEET_CLASS}, {block_rows("c.classification = 'hotel_contract'")}, {_BLOCK_CELLS}, {line_text('block_cells', _BLOCK, 'line')},
 titles AS (SELECT contract_id, doc_id, block_idx, block_doc_id, max(title) AS block_title, max(block_count) AS block_count FROM block_cells GROUP BY 1, 2, 3, 4),
-texts AS (SELECT contract_id, doc_id, block_idx, block_doc_id, {whole_text('block_doc_id')} AS raw_excerpt FROM rendered GROUP BY 1, 2, 3, 4)
-SELECT t.contract_id, t.doc_id, c.classification, c.detected_hotel_name, CAST(t.block_idx AS BIGINT) AS block_idx, q.block_title, CAST(q.block_count AS BIGINT) AS block_count, t.block_doc_id, t.raw_excerpt
-FROM texts t JOIN titles q USING (contract_id, doc_id, block_idx, block_doc_id) JOIN classes c ON c.contract_id = t.contract_id AND c.doc_id = t.doc_id"""
+{in_chunks(_BLOCK, 'block_doc_id')}
+SELECT t.contract_id, t.doc_id, c.classification, c.detected_hotel_name, CAST(t.block_idx AS BIGINT) AS block_idx, q.block_title, CAST(q.block_count AS BIGINT) AS block_count, t.block_doc_id, t.chunk, t.text AS raw_excerpt
+FROM chunked t JOIN titles q USING (contract_id, doc_id, block_idx, block_doc_id) JOIN classes c ON c.contract_id = t.contract_id AND c.doc_id = t.doc_id"""
 SQL["ex18_period_column_rows"] = """
 SELECT l.ord, l.period, CAST(l.price AS DOUBLE) AS sgl, CAST(l.price AS DOUBLE) AS dbl, CASE WHEN r.max_pax >= 3 THEN CAST(l.price AS DOUBLE) END AS tpl,
   CASE WHEN r.max_pax >= 4 THEN CAST(l.price AS DOUBLE) END AS qdp, 'Room Only' AS meal_plan

@@ -5,7 +5,7 @@ Cells are in long form, one row per cell: ``contract_id, doc_id, row_idx, col_id
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tariffmill.functions.base import any_contains, blank, count_contained, is_blank, stripped
@@ -15,10 +15,14 @@ from tariffmill.functions.numbers import to_float, to_int
 from tariffmill.functions.pricing import child_key, money, reduced_price, single_price
 from tariffmill.functions.vocabulary import meal_from_treatment
 from tariffmill.operators.normalize import apply_meta, clear_child_values
-from tariffmill.operators.shaping import last_row
+from tariffmill.operators.shaping import carry_forward, group_product, last_row, text_chunks
 from tariffmill.schemas import CELL_META, MONEY
+from tariffmill.session import stage
 
 DOC = ["contract_id", "doc_id"]
+# Characters of one value of an assembled text, and sheet rows that are placed together.
+CHUNK_CHARACTERS = 1_000_000
+ROWS_PER_STRETCH = 1_024
 
 # Words that open a rate block, and words of column header rows.
 BLOCK_MARKERS = (
@@ -51,8 +55,8 @@ def rate_blocks(cells: DataFrame, sheets: DataFrame | None = None) -> DataFrame:
     """The rows of each rate block. Rows above the first block are repeated in every block of their sheet.
 
     ``line`` is the row's 1-based place in its block's own sheet. A sheet without block rows is one block, and so is
-    every sheet that ``sheets`` (the output of ``classify_sheets``) does not call a contract. The windows run over one
-    sheet, which its format bounds to 1,048,576 rows.
+    every sheet that ``sheets`` (the output of ``classify_sheets``) does not call a contract. Openings are carried forward
+    stretch by stretch (``carry_forward``), so a long sheet's rows are placed by many tasks.
     """
     rows = sheet_rows(cells)
     if sheets is not None:
@@ -60,27 +64,22 @@ def rate_blocks(cells: DataFrame, sheets: DataFrame | None = None) -> DataFrame:
             "opens_block", F.col("opens_block") & (F.col("classification") == "hotel_contract")
         )
     opens = F.col("opens_block")
-    whole = Window.partitionBy(*DOC)
-    so_far = whole.orderBy("row_idx").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumns({
-        "_block": F.sum(opens.cast("int")).over(so_far),
-        "title": F.last(F.when(opens, F.btrim("text")), ignorenulls=True).over(so_far),
-        "_start": F.last(F.when(opens, F.col("row_idx")), ignorenulls=True).over(so_far),
-        "_preamble": F.min(F.when(opens, F.col("row_idx"))).over(whole),
-        "_count": F.sum(opens.cast("int")).over(whole),
-    })
-    openings = placed.where(opens).select(*DOC, F.col("_block").alias("_b"), F.col("title").alias("_t"))
-    above = placed.where((F.col("_block") == 0) & (F.col("_count") > 0)).join(openings, DOC).withColumns({
-        "_block": F.col("_b"), "title": F.col("_t"), "is_preamble": F.lit(True), "line": F.col("row_idx") + 1,
+    placed = stage(carry_forward(
+        rows, DOC, "row_idx", F.when(opens, F.struct(F.col("row_idx").alias("start"), F.btrim("text").alias("title"))), "_block"
+    ).drop("text", "numbers", "filled").withColumn("title", F.col("_block.title")))
+    openings = placed.where(opens).select(*DOC, F.col("_block_no").alias("_b"), F.col("title").alias("_t"))
+    is_above = (F.col("_block_no") == 0) & (F.col("_block_count") > 0)
+    above = group_product(placed.where(is_above), openings, DOC, ["row_idx"]).withColumns({
+        "_block_no": F.col("_b"), "title": F.col("_t"), "is_preamble": F.lit(True), "line": F.col("row_idx") + 1,
     }).drop("_b", "_t")
-    own = placed.where((F.col("_block") > 0) | (F.col("_count") == 0)).withColumns({
+    own = placed.where(~is_above).withColumns({
         "is_preamble": F.lit(False),
-        "line": F.coalesce(F.col("_preamble") + F.col("row_idx") - F.col("_start"), F.col("row_idx")) + 1,
+        "line": F.coalesce(F.col("_block_first.start") + F.col("row_idx") - F.col("_block.start"), F.col("row_idx")) + 1,
     })
     kept = ["classification", "detected_hotel_name"] if sheets is not None else []
     return own.unionByName(above).select(
-        *DOC, *kept, "row_idx", F.greatest(F.col("_block") - 1, F.lit(0)).alias("block_idx"), "title", "is_preamble",
-        "line", F.nullif("_count", F.lit(0)).alias("block_count"), "cells",
+        *DOC, *kept, "row_idx", F.greatest(F.col("_block_no") - 1, F.lit(0)).alias("block_idx"), "title", "is_preamble",
+        "line", F.nullif("_block_count", F.lit(0)).alias("block_count"), "cells",
     )
 
 
@@ -123,38 +122,38 @@ def _with_shown(rows: DataFrame) -> DataFrame:
     )
 
 
-def grid_lines(cells: DataFrame) -> DataFrame:
-    """EX16's lines: each non-blank row as its number and its cells, tab separated, up to the sheet's last used column.
+def _grid_lines(rows: DataFrame, group: list[str]) -> DataFrame:
+    """Each non-blank row of ``rows`` (with ``cells`` and ``line``) rendered up to the last used column of its group.
 
-    The window runs over one sheet, bounded by its format.
+    The width comes by join from an aggregate, so no task holds a whole group for it.
     """
-    rows = _with_shown(sheet_rows(cells)).withColumn("width", F.max("width").over(Window.partitionBy(*DOC)))
-    return rows.select(
-        *DOC, (F.col("row_idx") + 1).alias("line"), "width",
-        _line(F.col("row_idx") + 1, F.col("_shown"), F.col("width")).alias("text"),
-    )
+    shown = _with_shown(rows).withColumnRenamed("width", "_own")
+    widths = shown.groupBy(*group).agg(F.max("_own").alias("width"))
+    return shown.join(widths, group).withColumn("text", _line(F.col("line"), F.col("_shown"), F.col("width")))
+
+
+def grid_lines(cells: DataFrame) -> DataFrame:
+    """EX16's lines: each non-blank row as its number and its cells, tab separated, up to the sheet's last used column."""
+    rows = sheet_rows(cells).withColumn("line", F.col("row_idx") + 1)
+    return _grid_lines(rows, DOC).select(*DOC, "line", "width", "text")
 
 
-def grid_text(rows: DataFrame, group: list[str] | None = None) -> DataFrame:
-    """EX16: a sheet as one text, from rows with ``cells`` and their ``line`` number.
+def grid_text(lines: DataFrame, group: list[str], name: str, characters: int = CHUNK_CHARACTERS) -> DataFrame:
+    """EX16: rendered lines as texts in chunks of about ``characters``: ``group``, chunk from 0, text.
 
-    One grouping gathers a sheet's rows, which its format bounds to 1,048,576; the text is rendered from the group.
+    The chunks of a group, one after the other, are its whole text, headings first. No value grows with a sheet.
     """
-    group = group or DOC
-    gathered = _with_shown(rows).groupBy(*group).agg(
-        F.array_sort(F.collect_list(F.struct("line", F.col("_shown").alias("shown")))).alias("_rows"),
-        F.max("width").alias("_width"),
-    )
-    letters = F.array_join(F.transform(F.sequence(F.lit(0), F.col("_width") - 1), column_letter), "\t")
-    body = F.array_join(F.transform("_rows", lambda r: _line(r["line"], r["shown"], F.col("_width"))), "\n")
-    name = F.regexp_replace(F.col(group[-1]), "^Sheet:", "")
-    text = F.concat(F.lit("=== Sheet: "), name, F.lit(" ===\nRow\t"), letters, F.lit("\n"), body)
-    return gathered.select(*group, text.alias("text"))
+    letters = F.array_join(F.transform(F.sequence(F.lit(0), F.max("width") - 1), column_letter), "\t")
+    heading = F.concat(F.lit("=== Sheet: "), F.regexp_replace(name, "^Sheet:", ""), F.lit(" ===\nRow\t"))
+    headings = lines.groupBy(*group).agg(letters.alias("_letters")).select(
+        *group, F.lit(0).cast("bigint").alias("line"), F.concat(heading, "_letters").alias("text"))
+    every = headings.unionByName(lines.select(*group, F.col("line").cast("bigint").alias("line"), F.concat(F.lit("\n"), "text").alias("text")))
+    return text_chunks(every, group, "line", characters)
 
 
-def sheet_text(cells: DataFrame) -> DataFrame:
-    """EX16 for whole sheets, each as one value; ``grid_lines`` has no such limit."""
-    return grid_text(sheet_rows(cells).withColumn("line", F.col("row_idx") + 1))
+def sheet_text(cells: DataFrame, characters: int = CHUNK_CHARACTERS) -> DataFrame:
+    """EX16 for whole sheets, in chunks."""
+    return grid_text(stage(grid_lines(cells)), DOC, "doc_id", characters)
 
 
 def _block_rows(cells: DataFrame, sheets: DataFrame) -> DataFrame:
@@ -164,32 +163,26 @@ def _block_rows(cells: DataFrame, sheets: DataFrame) -> DataFrame:
     return rate_blocks(cells, sheets).withColumn("block_doc_id", name)
 
 
-def block_lines(cells: DataFrame, sheets: DataFrame) -> DataFrame:
-    """EX17 in long form: the lines of each block's document, keyed by document, block and ``line``; no text is gathered.
+BLOCK = [*DOC, "block_idx", "block_doc_id"]
 
-    A block's width comes by join from an aggregate, so no task holds a whole block for it.
-    """
-    block = [*DOC, "block_idx", "block_doc_id"]
-    rows = _with_shown(_block_rows(cells, sheets)).withColumnRenamed("width", "_own")
-    widths = rows.groupBy(*block).agg(F.max("_own").alias("width"))
-    return rows.join(widths, block).select(
-        *block, "classification", "detected_hotel_name", F.col("title").alias("block_title"), "block_count", "line", "width",
-        _line(F.col("line"), F.col("_shown"), F.col("width")).alias("text"),
+
+def block_lines(cells: DataFrame, sheets: DataFrame) -> DataFrame:
+    """EX17's lines, keyed by document, block and ``line``."""
+    return _grid_lines(_block_rows(cells, sheets), BLOCK).select(
+        *BLOCK, "classification", "detected_hotel_name", F.col("title").alias("block_title"), "block_count", "line", "width", "text",
     )
 
 
-def block_documents(cells: DataFrame, sheets: DataFrame) -> DataFrame:
-    """EX17: one document per rate block of contract sheets, one per sheet otherwise.
+def block_documents(cells: DataFrame, sheets: DataFrame, characters: int = CHUNK_CHARACTERS) -> DataFrame:
+    """EX17: one document per rate block of contract sheets, one per sheet otherwise, each in chunks.
 
-    Each document is one value; ``block_lines`` has no such limit. ``sheets`` is the output of ``classify_sheets``. Rows keep their cells through the cut into blocks, so the cells are
+    ``sheets`` is the output of ``classify_sheets``. Rows keep their cells through the cut into blocks, so the cells are
     grouped once and never joined back.
     """
-    group = [
-        *DOC, "classification", "detected_hotel_name", "block_idx", "title", "block_count", "block_doc_id",
-    ]
-    return grid_text(_block_rows(cells, sheets), group).withColumnsRenamed(
-        {"title": "block_title", "text": "raw_excerpt"}
-    )
+    facts = ["classification", "detected_hotel_name", "block_title", "block_count"]
+    lines = stage(block_lines(cells, sheets))
+    told = lines.groupBy(*BLOCK).agg(*[F.max(c).alias(c) for c in facts])
+    return grid_text(lines, BLOCK, "block_doc_id", characters).withColumnRenamed("text", "raw_excerpt").join(told, BLOCK)
 
 
 def narrow_child_ages(block_columns: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -266,11 +259,32 @@ def block_child_columns(block_columns: DataFrame, overrides: DataFrame) -> DataF
     )
 
 
-def grid_rows(cells: DataFrame, blocks: DataFrame, block_columns: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Each data row of a block with its cells under their roles: one join and one grouping over the cells."""
+def _roles_by_stretch(cells: DataFrame, blocks: DataFrame, keyed: DataFrame, width: int) -> DataFrame:
+    """The roles of each block's columns, once for every stretch of ``width`` rows in which the block has cells to read.
+
+    Stretches are those the sheet has, so an open end costs nothing; a block meets a sheet's stretches, never its cells.
+    """
+    stretches = cells.select(*DOC, F.floor(F.col("row_idx") / width).alias("_stretch")).distinct()
+    first, last = (F.floor(F.col(c) / width) for c in ("first_data_row_idx", "last_data_row_idx"))
+    there = blocks.select(*DOC, "block_idx", "first_data_row_idx", "last_data_row_idx").join(stretches, DOC).where(
+        F.col("_stretch").between(first, last)
+    )
+    return keyed.join(there, [*DOC, "block_idx"])
+
+
+def grid_rows(
+    cells: DataFrame, blocks: DataFrame, block_columns: DataFrame, overrides: DataFrame, width: int = ROWS_PER_STRETCH,
+) -> DataFrame:
+    """Each data row of a block with its cells under their roles: one join and one grouping over the cells.
+
+    Cells meet roles by sheet, stretch of rows and column, so a cell meets only the few blocks that touch its stretch, and
+    the cells of a long sheet are spread over tasks. The row range decides inside the stretch; blocks may overlap.
+    """
     keyed = _keyed_columns(block_columns, overrides)
-    roles = keyed.join(blocks.select(*DOC, "block_idx", "first_data_row_idx", "last_data_row_idx"), [*DOC, "block_idx"])
-    placed = cells.select(*DOC, "row_idx", "col_idx", "value_str").join(roles, [*DOC, "col_idx"]).where(
+    roles = _roles_by_stretch(cells, blocks, keyed, width)
+    placed = cells.select(*DOC, "row_idx", "col_idx", "value_str", F.floor(F.col("row_idx") / width).alias("_stretch")).join(
+        roles, [*DOC, "_stretch", "col_idx"]
+    ).where(
         F.col("row_idx").between(F.col("first_data_row_idx"), F.col("last_data_row_idx"))
     ).withColumn("_num", to_float("value_str"))
 

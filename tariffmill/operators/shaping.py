@@ -56,11 +56,60 @@ def prefix_sum(
     )
 
 
+def text_chunks(lines: DataFrame, keys: Sequence[str], order: str, characters: int) -> DataFrame:
+    """Texts put together from ``text`` lines in the order of an integer column, in chunks: keys, chunk from 0, text.
+
+    A line belongs to the chunk in which it begins, so a chunk has at most ``characters`` and its last line; the chunks one
+    after the other are the whole text, and a very long line leaves the numbers of the chunks it covers out. Only one
+    chunk's lines are ever gathered.
+    """
+    sized = prefix_sum(lines.select(*keys, order, "text"), keys, order, F.length("text"), "_end")
+    return sized.groupBy(*keys, F.floor((F.col("_end") - F.length("text")) / characters).alias("chunk")).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct(order, "text"))), lambda line: line["text"]), "").alias("text"))
+
+
 def group_rank(df: DataFrame, keys: Sequence[str], order: str, out: str, width: int = 65_536) -> DataFrame:
     """1-based position of each row in its group by a distinct integer ordinal; see ``prefix_sum``."""
     return prefix_sum(df, keys, order, F.lit(1), out, width)
 
 
+def carry_forward(
+    df: DataFrame, keys: Sequence[str], order: str, mark: Column, out: str, width: int = 8_192,
+) -> DataFrame:
+    """The last mark at or before each row, by the integer column ``order`` inside each group.
+
+    ``mark`` is a struct, null where a row opens nothing. New columns: ``out`` (the carried mark or null), ``{out}_no`` (how
+    many marks so far), ``{out}_first`` and ``{out}_count`` (first mark and number of the whole group). A segmented scan: each stretch of ``width``
+    ordinals is summed up in one short row (its marks' number and last one), these rows of a group, ordered in one array,
+    give what is carried over each stretch's end, and only a stretch is ever sorted. Keys must not be null.
+    """
+    cut = df.withColumn("_stretch", F.floor(F.col(order) / width)).withColumn("_mark", mark)
+    marked = F.col("_mark").isNotNull()
+    sums = cut.groupBy(*keys, "_stretch").agg(
+        F.count_if(marked).alias("n"), F.max_by("_mark", F.when(marked, F.col(order))).alias("last"),
+        F.min_by("_mark", F.when(marked, F.col(order))).alias("first"),
+    )
+    stretches = F.array_sort(F.collect_list(F.struct(F.col("_stretch").alias("stretch"), "n", "last")))
+
+    def carried(s: Column, i: Column) -> Column:
+        before = F.slice("_all", F.lit(1), i)
+        return F.struct(
+            s["stretch"].alias("_stretch"), F.aggregate(before, F.lit(0).cast("bigint"), lambda t, e: t + e["n"]).alias("_no"),
+            F.get(F.reverse(F.filter(before, lambda e: e["n"] > 0)), F.lit(0))["last"].alias("_last"),
+            F.col("_count"), F.col("_first"),
+        )
+
+    whole = sums.groupBy(*keys).agg(
+        stretches.alias("_all"), F.sum("n").alias("_count"), F.min_by("first", F.when(F.col("n") > 0, F.col("_stretch"))).alias("_first")
+    )
+    over = whole.select(*keys, F.inline(F.transform("_all", carried)))
+    inside = Window.partitionBy(*keys, "_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return cut.join(over, [*keys, "_stretch"]).withColumns({
+        out: F.coalesce(F.last("_mark", ignorenulls=True).over(inside), F.col("_last")),
+        f"{out}_no": F.col("_no") + F.sum(marked.cast("bigint")).over(inside),
+    }).withColumnsRenamed({"_count": f"{out}_count", "_first": f"{out}_first"}).drop("_stretch", "_mark", "_no", "_last")
+
+
 def group_product(left: DataFrame, right: DataFrame, keys: Sequence[str], spread_by: Sequence[str]) -> DataFrame:
     """Every left row with every right row of its group: an equi join whose large groups are cut into slices.
 

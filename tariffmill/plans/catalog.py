@@ -459,6 +459,10 @@ def _expanded(s: StarData) -> DataFrame:
     )
 
 
+#: Characters of a chunk of text: few, so that the small sheets of this schema have several chunks, too.
+SHORT_CHUNK = 400
+
+
 def _child(key: str) -> Column:
     return F.try_element_at("child_values", F.lit(key))
 
@@ -502,8 +506,8 @@ QUERIES |= {
     "ex15_text_rows": lambda s: text_rows.text_rows(s.text_docs, s.text_options).drop("source_refs", "warnings"),
     "ex15_text_notes": lambda s: text_rows.text_notes(s.text_docs).select("contract_id", "doc_id", "hotel", "category", "note"),
     "ex16_sheet_grid_lines": lambda s: blocks.grid_lines(s.cells).select("doc_id", "line", "text"),
-    "ex16_sheet_grid_text": lambda s: blocks.sheet_text(s.cells),
-    "ex17_block_documents": lambda s: blocks.block_documents(s.cells, classify.classify_sheets(s.cells)),
+    "ex16_sheet_grid_text": lambda s: blocks.sheet_text(s.cells, SHORT_CHUNK),
+    "ex17_block_documents": lambda s: blocks.block_documents(s.cells, classify.classify_sheets(s.cells), SHORT_CHUNK),
     "ex19_stacked_period_split": lambda s: blocks.split_stacked_periods(s.source_cells.where("col_name = 'Period'")).select(
         "contract_id", "doc_id", "row_idx", "price_group", "period_idx", "period"
     ),

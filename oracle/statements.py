@@ -342,11 +342,8 @@ band_rooms AS (
 
 
 SQL["j17_room_scope_filter"] = f"WITH {bands_per_room('child_bands')} SELECT contract_id, hotel, ord, room FROM band_rooms"
-OPENING = """blocks_of AS (SELECT *, '[' || doc_id || ']' || chr(10) || coalesce(raw_excerpt, '') AS block FROM text_docs),
-opening AS (SELECT * FROM (SELECT *, coalesce(sum(length(block) + 2) OVER (PARTITION BY contract_id ORDER BY ord ROWS BETWEEN UNBOUNDED
-  PRECEDING AND 1 PRECEDING), 0) AS before FROM blocks_of) WHERE before < 8000)"""
-SQL["j18_source_ref_lookup"] = rf"""
-WITH {OPENING}, asked AS (SELECT DISTINCT contract_id, source_ref FROM doc_refs),
+_LINKS = r"""
+asked AS (SELECT DISTINCT contract_id, source_ref FROM doc_refs),
 exact AS (SELECT a.contract_id, a.source_ref, arg_min(d.doc_id, d.ord) AS doc_id FROM asked a JOIN text_docs d ON d.contract_id = a.contract_id
   AND (d.source_ref = a.source_ref OR d.doc_id = a.source_ref) GROUP BY 1, 2),
 numbered AS (SELECT contract_id, source_ref, list_transform(regexp_extract_all(regexp_replace(source_ref, '^[^|]*\|', ''), '\d+'),
@@ -357,12 +354,17 @@ paged AS (SELECT DISTINCT p.contract_id, p.source_ref, d.doc_id FROM numbered p
   AND d.kind = 'pdf_page' AND list_contains(p.n, d.page_number)),
 ranged AS (SELECT p.contract_id, p.source_ref, d.doc_id FROM (SELECT * FROM numbered ANTI JOIN paged USING (contract_id, source_ref)) p
   JOIN text_docs d ON d.contract_id = p.contract_id AND d.kind = 'pdf_page' AND d.page_number BETWEEN list_min(p.n) AND list_max(p.n)),
-found AS (SELECT *, 'exact' AS tier FROM exact UNION ALL SELECT *, 'sheet' FROM sheeted UNION ALL SELECT *, 'pages' FROM paged UNION ALL SELECT *, 'range' FROM ranged)
-SELECT contract_id, source_ref, doc_id, tier FROM found
-UNION ALL
-SELECT a.contract_id, a.source_ref, o.doc_id, 'approximate' FROM (SELECT * FROM asked ANTI JOIN found USING (contract_id, source_ref)) a
-JOIN opening o USING (contract_id)"""
-SQL["j18_opening_text"] = f"WITH {OPENING} SELECT contract_id, substr({x.strip('string_agg(block, chr(10) || chr(10) ORDER BY ord)')}, 1, 8000) AS text FROM opening GROUP BY 1"
+found AS (SELECT *, 'exact' AS tier FROM exact UNION ALL SELECT *, 'sheet' FROM sheeted UNION ALL SELECT *, 'pages' FROM paged UNION ALL SELECT *, 'range' FROM ranged),
+links AS (SELECT contract_id, source_ref, doc_id, tier FROM found
+UNION ALL SELECT contract_id, source_ref, NULL, 'approximate' FROM asked ANTI JOIN found USING (contract_id, source_ref))"""
+SQL["j18_source_ref_lookup"] = f"WITH {_LINKS} SELECT * FROM links"
+SQL["j18_lost_documents"] = f"WITH {_LINKS} SELECT contract_id, doc_id FROM text_docs WHERE contract_id IN (SELECT contract_id FROM links WHERE tier = 'approximate')"
+CHUNK = 400
+SQL["j18_opening_text"] = f"""
+SELECT contract_id, CAST(chunk AS BIGINT) AS chunk, string_agg(block, '' ORDER BY ord) AS text FROM (
+  SELECT contract_id, ord, block, (sum(length(block)) OVER (PARTITION BY contract_id ORDER BY ord) - length(block)) // {CHUNK} AS chunk
+  FROM (SELECT contract_id, ord, '[' || doc_id || ']' || chr(10) || coalesce(raw_excerpt, '') || chr(10) || chr(10) AS block FROM text_docs))
+GROUP BY 1, 2"""
 COUNTED = "(SELECT contract_id, row_id, count(*) FILTER (severity = 'error') AS e, count(*) FILTER (severity = 'warning') AS w FROM issues GROUP BY 1, 2) i"
 SQL["j19_row_issue_counts"] = f"SELECT r.row_id, CAST(coalesce(i.e, 0) AS BIGINT) AS errors, CAST(coalesce(i.w, 0) AS BIGINT) AS warnings_count FROM rows r LEFT JOIN {COUNTED} USING (contract_id, row_id)"
 SQL["j20_uncovered_rooms"] = f"""
@@ -586,9 +588,6 @@ bodies AS (SELECT {group}, line, width, string_agg(coalesce(v, ''), chr(9) ORDER
 rendered AS (SELECT {group}, line, width, CAST(line AS VARCHAR) || chr(9) || body AS text FROM bodies)"""
 
 
-CHUNK = 400
-
-
 def in_chunks(group: str, name: str) -> str:
     """CTEs ``chunked(group, chunk, text)``: the rendered lines of each group under their headings, cut at line starts."""
     letters = "array_to_string(list_transform(range(max(width)), lambda i: chr(CAST(65 + i AS INT))), chr(9))"

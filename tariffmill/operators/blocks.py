@@ -8,20 +8,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tariffmill.functions.base import any_contains, blank, count_contained, is_blank, stripped
+from tariffmill.functions.base import any_contains, blank, count_contained, fold, is_blank, stripped
 from tariffmill.functions.dates import ALL_WEEK, normalize_iso_date
-from tariffmill.functions.names import room_match_score
+from tariffmill.functions.names import room_match_score, room_tokens
 from tariffmill.functions.numbers import to_float, to_int
 from tariffmill.functions.pricing import child_key, money, reduced_price, single_price
 from tariffmill.functions.vocabulary import meal_from_treatment
 from tariffmill.operators.normalize import apply_meta, clear_child_values
-from tariffmill.operators.shaping import carry_forward, group_product, last_row, text_chunks
+from tariffmill.operators.containment import contained_pairs, strictly_inside
+from tariffmill.operators.shaping import CHUNK_CHARACTERS, carry_forward, group_product, last_row, text_chunks
 from tariffmill.schemas import CELL_META, MONEY
 from tariffmill.session import stage
 
 DOC = ["contract_id", "doc_id"]
-# Characters of one value of an assembled text, and sheet rows that are placed together.
-CHUNK_CHARACTERS = 1_000_000
+# Sheet rows that are placed together.
 ROWS_PER_STRETCH = 1_024
 
 # Words that open a rate block, and words of column header rows.
@@ -186,14 +186,25 @@ def block_documents(cells: DataFrame, sheets: DataFrame, characters: int = CHUNK
 
 
 def narrow_child_ages(block_columns: DataFrame, overrides: DataFrame) -> DataFrame:
-    """A child column takes the narrowest override of its position that lies inside its ages."""
-    known = overrides.where(F.col("age_from").isNotNull() & F.col("age_to").isNotNull()).select(
-        *DOC, "position", F.col("age_from").alias("_from"), F.col("age_to").alias("_to"), F.col("ord").alias("_ord")
+    """A child column takes the narrowest override of its position that lies inside its ages.
+
+    An override with another one inside it is never the narrowest, so only the innermost spans, found by a sweep, are
+    compared; no two of them share a start, which bounds them by the ages there are.
+    """
+    position = [*DOC, "position"]
+    known = overrides.where(F.col("age_from").isNotNull() & F.col("age_to").isNotNull()).groupBy(*position, "age_from", "age_to").agg(
+        F.min("ord").alias("_ord")
+    )
+    # With the signs of both ends turned, a span that holds another one lies inside it.
+    turned = known.select(*position, (-F.col("age_from")).alias("_from"), (-F.col("age_to")).alias("_to"), "_ord")
+    holding = strictly_inside(turned, position, "_from", "_to", F.floor("_from"))
+    inner = turned.join(holding, [*position, "_from", "_to"], "left_anti").select(
+        *position, (-F.col("_from")).alias("_from"), (-F.col("_to")).alias("_to"), "_ord"
     )
     child = F.col("role") == "child"
-    ages = [*DOC, "position", "age_from", "age_to"]
+    ages = [*position, "age_from", "age_to"]
     bands = block_columns.where(child & F.col("age_from").isNotNull() & F.col("age_to").isNotNull()).select(*ages).distinct()
-    inside = bands.join(known, [*DOC, "position"]).where(
+    inside = bands.join(inner, position).where(
         (F.col("_from") >= F.col("age_from")) & (F.col("_to") <= F.col("age_to"))
         & (F.col("_to") - F.col("_from") < F.col("age_to") - F.col("age_from"))
     )
@@ -209,17 +220,39 @@ def match_rooms(rows: DataFrame, occupancy: DataFrame, names: DataFrame | None =
     """J6's join: the best occupancy entry of each distinct room name of a document; the first entry on a tie.
 
     Names are matched once per document and name, however many rows carry them. ``names`` (document and room, at least
-    those of ``rows``) spares the work of making the rows twice.
+    those of ``rows``) spares the work of making the rows twice. Equal names are an equi join and end the search.
+    Contained names come from a gram index. Shared words come from a word index: an entry met under a name's rarest word,
+    or one contained, bounds the score to beat, and an entry that reaches it shares one of the name's rarest words, as
+    many as the bound leaves open, so only these words are asked for. No pair is made for sharing a sheet alone.
     """
     names = (rows if names is None else names).select(*DOC, "room").where(~is_blank("room")).distinct()
-    listed = occupancy.where(F.btrim(F.coalesce("room_name", F.lit(""))) != "")
-    scored = names.join(listed, DOC).withColumn("_score", room_match_score("room", "room_name")).where(
-        F.col("_score") > 0
+    entry = F.struct("ord", "room_name", "min_adult", "max_adult", "max_pax", "max_child")
+    listed = occupancy.where(fold("room_name") != "").groupBy(*DOC, fold("room_name").alias("_listed")).agg(F.min(entry).alias("_entry"))
+    keyed = names.withColumn("_name", fold("room")).where(F.col("_name") != "")
+    asked = keyed.select(*DOC, "_name").distinct()
+    equal = asked.join(listed, (asked["_name"] == listed["_listed"]) & (asked["contract_id"] == listed["contract_id"]) & (asked["doc_id"] == listed["doc_id"])).select(
+        asked["contract_id"], asked["doc_id"], "_name", "_entry")
+    left = asked.join(equal.select(*DOC, "_name"), [*DOC, "_name"], "left_anti").withColumn("_words", room_tokens("_name"))
+
+    ours, theirs = (df.select(*DOC, F.col(c).alias("needle"), F.col(c).alias("text")) for df, c in ((left, "_name"), (listed, "_listed")))
+    contained = contained_pairs(ours, theirs, DOC).toDF(*DOC, "_name", "_listed").union(
+        contained_pairs(theirs, ours, DOC).select(*DOC, "text", "needle")
     )
-    entry = F.struct("room_name", "min_adult", "max_adult", "max_pax", "max_child")
-    return scored.groupBy(*DOC, "room").agg(
-        F.min_by(entry, F.struct(-F.col("_score"), F.col("ord"))).alias("_entry")
+    index = listed.select(*DOC, "_listed", F.explode(room_tokens("_listed")).alias("word"))
+    held = index.groupBy(*DOC, "word").agg(F.count(F.lit(1)).alias("_entries"))
+    ranked = left.select(*DOC, "_name", "_words", F.explode("_words").alias("word")).join(held, [*DOC, "word"]).groupBy(*DOC, "_name").agg(
+        F.array_sort(F.collect_list(F.struct("_entries", "word"))).alias("_ranked"), F.first("_words").alias("_words")
     )
+    rarest = ranked.withColumn("word", F.get("_ranked", F.lit(0))["word"]).join(index, [*DOC, "word"])
+    bound = rarest.groupBy(*DOC, "_name").agg(F.max(F.size(F.array_intersect("_words", room_tokens("_listed")))).alias("_least"))
+    sure = contained.select(*DOC, "_name").distinct().withColumn("_sure", F.lit(10))
+    asking = ranked.join(bound, [*DOC, "_name"]).join(sure, [*DOC, "_name"], "left").select(*DOC, "_name", F.inline(F.slice(
+        "_ranked", F.lit(1), F.greatest(F.size("_ranked") - F.greatest("_least", F.coalesce("_sure", F.lit(1))) + 1, F.lit(0))
+    ))).drop("_entries")
+    near = asking.join(index, [*DOC, "word"]).select(*DOC, "_name", "_listed").union(contained).distinct()
+    scored = near.withColumn("_score", room_match_score("_name", "_listed")).where(F.col("_score") > 0).join(listed, [*DOC, "_listed"])
+    found = equal.union(scored.groupBy(*DOC, "_name").agg(F.min_by("_entry", F.struct(-F.col("_score"), "_entry")).alias("_entry")))
+    return keyed.join(found, [*DOC, "_name"]).select(*DOC, "room", "_entry")
 
 
 def apply_occupancy(rows: DataFrame, occupancy: DataFrame, names: DataFrame | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tariffmill.functions.base import fold, is_blank, norm_label
+from tariffmill.operators.containment import contained_pairs, strictly_inside
 from tariffmill.operators.grid import CELL, HOTEL
 from tariffmill.operators.shaping import keep_first, keep_top, null_safe
 from tariffmill.schemas import OCCUPANCY_PRICES
@@ -26,23 +27,17 @@ def dedup_rates(rates: DataFrame) -> DataFrame:
 def drop_contained_seasons(seasons: DataFrame) -> DataFrame:
     """Drop a season whose dates lie inside another's, strictly at one end, and whose label is part of its label.
 
-    Dates are compared as ISO text. The join is keyed by hotel and only distinct spans are compared.
+    Dates are compared as ISO text. Labels that hold another label of their hotel come from a gram index; the spans of all
+    labels that hold a label are then swept once for it, so spans are never compared in pairs.
     """
     label, start, end = norm_label("label"), F.substring("start_date", 1, 10), F.substring("end_date", 1, 10)
     dated = (F.length("start_date") >= 10) & (F.length("end_date") >= 10)
-    wider = seasons.where(dated).select(
-        *HOTEL, label.alias("_label"), start.alias("_from"), end.alias("_to")
-    ).distinct().alias("r")
-    marked = seasons.withColumn("_label", label).withColumn("_from", F.when(dated, start)).withColumn(
-        "_to", F.when(dated, end)
-    ).alias("l")
-    inside = (
-        (F.col("l.contract_id") == F.col("r.contract_id")) & (F.col("l.hotel") == F.col("r.hotel"))
-        & (F.col("r._from") <= F.col("l._from")) & (F.col("l._to") <= F.col("r._to"))
-        & ((F.col("r._from") < F.col("l._from")) | (F.col("l._to") < F.col("r._to")))
-        & (F.col("l._label") != "") & F.col("r._label").contains(F.col("l._label"))
-    )
-    return marked.join(wider, inside, "left_anti").drop("_label", "_from", "_to")
+    marked = seasons.withColumns({"_label": label, "_from": F.when(dated, start), "_to": F.when(dated, end)})
+    spans = marked.where(dated).select(*HOTEL, "_label", "_from", "_to").distinct()
+    labels = spans.select(*HOTEL, F.col("_label").alias("needle"), F.col("_label").alias("text")).distinct()
+    held = contained_pairs(labels, labels, HOTEL).withColumnRenamed("text", "_label").join(spans, [*HOTEL, "_label"]).drop("_label")
+    inside = strictly_inside(held, [*HOTEL, "needle"], "_from", "_to", F.substring("_from", 1, 7)).withColumnRenamed("needle", "_label")
+    return marked.join(inside, [*HOTEL, "_label", "_from", "_to"], "left_anti").select(*seasons.columns)
 
 
 def dedup_seasons(seasons: DataFrame) -> DataFrame:

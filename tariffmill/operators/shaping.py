@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # Left rows of one slice of a per-group product.
 LEFT_ROWS_PER_SLICE = 1_000
+# Characters of one value of an assembled text.
+CHUNK_CHARACTERS = 1_000_000
 
 
 def keep_top(

@@ -20,6 +20,9 @@ from tariffmill.sinks import export
 from tariffmill.sources import readers
 from tariffmill.streaming import jobs
 
+#: Characters of a chunk of text: few, so that the small sheets of this schema have several chunks, too.
+SHORT_CHUNK = 400
+
 Query = Callable[[StarData], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -294,8 +297,9 @@ QUERIES |= {
     ).select("contract_id", "hotel", "ord"),
     "j16_sheet_match": lambda s: references.match_sheets(s.sheet_hotels, s.sheets).select("ord", "hotel", "sheet", "matched_by"),
     "j17_room_scope_filter": lambda s: mapping.bands_per_room(s.child_bands, s.rooms).select("contract_id", "hotel", "ord", "room"),
-    "j18_source_ref_lookup": lambda s: references.resolve_references(s.doc_refs, s.text_docs, references.SHOWN_CHARACTERS),
-    "j18_opening_text": lambda s: references.opening_text(s.text_docs, references.SHOWN_CHARACTERS),
+    "j18_source_ref_lookup": lambda s: references.reference_links(s.doc_refs, s.text_docs),
+    "j18_lost_documents": lambda s: references.lost_documents(references.reference_links(s.doc_refs, s.text_docs), s.text_docs),
+    "j18_opening_text": lambda s: references.opening_text(s.text_docs, characters=SHORT_CHUNK),
     "j19_row_issue_counts": lambda s: review.join_issue_counts(s.rows, s.issues).select("row_id", "errors", "warnings_count"),
     "j20_uncovered_rooms": lambda s: enrich.uncovered_rooms(s.skeleton_rooms, s.rows).select(
         "contract_id", "batch_id", "room"
@@ -459,10 +463,6 @@ def _expanded(s: StarData) -> DataFrame:
     )
 
 
-#: Characters of a chunk of text: few, so that the small sheets of this schema have several chunks, too.
-SHORT_CHUNK = 400
-
-
 def _child(key: str) -> Column:
     return F.try_element_at("child_values", F.lit(key))
 

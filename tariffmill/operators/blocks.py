@@ -227,12 +227,12 @@ def match_rooms(rows: DataFrame, occupancy: DataFrame, names: DataFrame | None =
     """
     names = (rows if names is None else names).select(*DOC, "room").where(~is_blank("room")).distinct()
     entry = F.struct("ord", "room_name", "min_adult", "max_adult", "max_pax", "max_child")
-    listed = occupancy.where(fold("room_name") != "").groupBy(*DOC, fold("room_name").alias("_listed")).agg(F.min(entry).alias("_entry"))
+    listed = stage(occupancy.where(fold("room_name") != "").groupBy(*DOC, fold("room_name").alias("_listed")).agg(F.min(entry).alias("_entry")))
     keyed = names.withColumn("_name", fold("room")).where(F.col("_name") != "")
-    asked = keyed.select(*DOC, "_name").distinct()
-    equal = asked.join(listed, (asked["_name"] == listed["_listed"]) & (asked["contract_id"] == listed["contract_id"]) & (asked["doc_id"] == listed["doc_id"])).select(
-        asked["contract_id"], asked["doc_id"], "_name", "_entry")
-    left = asked.join(equal.select(*DOC, "_name"), [*DOC, "_name"], "left_anti").withColumn("_words", room_tokens("_name"))
+    asked = stage(keyed.select(*DOC, "_name").distinct().join(
+        listed.withColumn("_name", F.col("_listed")).withColumnRenamed("_entry", "_equal").drop("_listed"), [*DOC, "_name"], "left"))
+    equal = asked.where(F.col("_equal").isNotNull()).select(*DOC, "_name", F.col("_equal").alias("_entry"))
+    left = asked.where(F.col("_equal").isNull()).select(*DOC, "_name", room_tokens("_name").alias("_words"))
 
     ours, theirs = (df.select(*DOC, F.col(c).alias("needle"), F.col(c).alias("text")) for df, c in ((left, "_name"), (listed, "_listed")))
     contained = contained_pairs(ours, theirs, DOC).toDF(*DOC, "_name", "_listed").union(

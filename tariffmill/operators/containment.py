@@ -24,21 +24,26 @@ def contained_pairs(needles: DataFrame, texts: DataFrame, keys: Sequence[str]) -
     """(keys, needle, text) for all distinct pairs of a group whose text contains the needle; empty needles have none.
 
     An inverted index: texts are listed under their grams, and a needle asks under the one of its grams that fewest texts
-    of its group have, so only texts that share it are compared. Needles shorter than a gram are looked up as whole
-    shorter grams. No join is keyed by the group alone, so one that holds most rows is spread over its grams.
+    of its group have, so only texts that share it are compared. A needle shorter than a gram is itself looked up among
+    the shorter grams, which only groups with such needles list. No join is keyed by the group alone, so one that holds
+    most rows is spread over its grams.
     """
     asked = needles.select(*keys, "needle").where(F.length("needle") > 0).distinct()
     listed = texts.select(*keys, "text").where(F.length("text") > 0).distinct()
-    postings = listed.select(*keys, "text", F.explode(F.concat(*[grams(F.col("text"), n) for n in range(1, GRAM + 1)])).alias("gram"))
+    postings = listed.select(*keys, "text", F.explode(grams(F.col("text"), GRAM)).alias("gram"))
     held = postings.groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("_texts"))
-    own = asked.withColumn("_grams", grams(F.col("needle"), F.least(F.length("needle"), F.lit(GRAM))))
+    own = asked.withColumn("_grams", grams(F.col("needle"), GRAM))
     rarest = (
         own.select(*keys, "needle", F.size("_grams").alias("_of"), F.explode("_grams").alias("gram")).join(held, [*keys, "gram"])
         .groupBy(*keys, "needle").agg(
             F.min(F.struct("_texts", "gram"))["gram"].alias("gram"), F.count(F.lit(1)).alias("_found"), F.first("_of").alias("_of"),
         ).where(F.col("_found") == F.col("_of")).select(*keys, "needle", "gram")
     )
-    return rarest.join(postings, [*keys, "gram"]).where(F.col("text").contains(F.col("needle"))).select(*keys, "needle", "text")
+    long = rarest.join(postings, [*keys, "gram"]).where(F.col("text").contains(F.col("needle"))).select(*keys, "needle", "text")
+    short = asked.where(F.length("needle") < GRAM)
+    shorter = F.concat(*[grams(F.col("text"), n) for n in range(1, GRAM)])
+    among = listed.join(short.select(*keys).distinct(), list(keys), "left_semi").select(*keys, "text", F.explode(shorter).alias("needle"))
+    return long.union(short.join(among, [*keys, "needle"]).select(*keys, "needle", "text"))
 
 
 def bins_of(number: Column) -> Column:

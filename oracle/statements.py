@@ -178,8 +178,13 @@ SQL |= {
         f"CASE WHEN {x.has_ai(f)} THEN '{h}' END" for f, h in [("address_line_1", "Address Line 1"), ("address_line_4", "Address Line 4"), ("county_state_province", "County / State / Province"), ("email", "Email Address")]
     ], "CASE WHEN latitude IS NOT NULL THEN 'Latitude' END", "CASE WHEN longitude IS NOT NULL THEN 'Longitude' END") + " AS ai_fields FROM hotels",
     "pf11_field_state": "SELECT row_id, CASE WHEN city_mark = 'ai' THEN 'enriched' WHEN city_mark = 'user' THEN 'edited' WHEN warning IS NOT NULL OR confidence < 0.4 THEN 'verify' ELSE 'none' END AS field_state FROM rows",
-    "pf12_trim_documents": "SELECT contract_id, doc_id, raw_excerpt FROM text_docs",
-    "pf12_trim_cells": "SELECT contract_id, doc_id, row_idx, col_idx, value_str FROM cells",
+    "pf12_trim_documents": """
+SELECT contract_id, doc_id, CASE WHEN length(raw_excerpt) > shown THEN substr(raw_excerpt, 1, shown) || chr(10) || '...[truncated]' ELSE raw_excerpt END AS raw_excerpt
+FROM (SELECT *, CASE lower(input_format) WHEN 'xlsx' THEN 60000 WHEN 'pdf' THEN 10000 WHEN 'docx' THEN 12000 ELSE 8000 END AS shown FROM text_docs
+  QUALIFY row_number() OVER (PARTITION BY contract_id ORDER BY CASE classification WHEN 'hotel_contract' THEN 0 WHEN 'index_reference' THEN 1 ELSE 2 END, ord) <= 40)""",
+    "pf12_trim_cells": """
+SELECT contract_id, doc_id, row_idx, col_idx, value_str FROM cells JOIN (SELECT contract_id, doc_id FROM sheets
+  QUALIFY row_number() OVER (PARTITION BY contract_id ORDER BY ord) <= 40) USING (contract_id, doc_id) WHERE row_idx < 120 AND col_idx < 40""",
     "pf13_clear_child_values": "SELECT row_id, CASE WHEN max_rollaways > 0 OR room IS NULL THEN CAST(chd1 AS DOUBLE) END AS chd1, CASE WHEN max_rollaways > 0 OR room IS NULL THEN CAST(chd2 AS DOUBLE) END AS chd2, CASE WHEN warning IS NULL THEN 0 ELSE 1 END + CASE WHEN max_rollaways > 0 OR room IS NULL THEN 0 ELSE 1 END AS n_warnings FROM rows",
 }
 VIEW_NAME = " OR ".join(f"contains(lower(name), '{w}')" for w in ("supp.", "view supp", "pool view", "sea view", "sea side view", "garden view", "beach front", "swim up", "swim-up"))
@@ -414,7 +419,9 @@ SELECT contract_id, detected_rate_type, votes FROM votes QUALIFY row_number() OV
     "ag3_aggregate_contract": f"""
 WITH firsts AS (SELECT * FROM part_hotels WHERE {x.fold('hotel')} <> ''
   QUALIFY row_number() OVER (PARTITION BY contract_id, {x.fold('hotel')} ORDER BY part_idx, ord) = 1)
-SELECT contract_id, hotel, part_idx, ord, count(*) OVER (PARTITION BY contract_id) > 1 AS is_multi_hotel FROM firsts""",
+SELECT 'hotels' AS part, contract_id, hotel, ord, count(*) OVER (PARTITION BY contract_id) > 1 AS is_multi_hotel, NULL AS room, NULL AS season, NULL AS meal, NULL AS position FROM firsts
+UNION ALL SELECT 'rates', contract_id, hotel, ord, NULL, room, season, meal, NULL FROM rates
+UNION ALL SELECT 'child_bands', contract_id, hotel, ord, NULL, NULL, NULL, NULL, position FROM child_bands""",
     "ag4_room_base_rate": f"WITH {BASE_RATES.format(rates='rates')} SELECT contract_id, hotel, room, {x.dbl('base_rate')} AS base_rate, {x.dbl('fallback')} AS fallback FROM room_base",
     "ag5_child_column_type_detect": f"WITH {COLUMNS}, {typed_columns(ROW_VALUES)} SELECT contract_id, key, value_type FROM tcols",
     "ag6_band_assignment": f"WITH {BAND_KEYS} SELECT contract_id, band, {x.dbl('age_from')} AS age_from, {x.dbl('age_to')} AS age_to, primary_key AS \"primary\", secondary_key AS secondary FROM bands",
@@ -429,8 +436,11 @@ LEFT JOIN (SELECT contract_id, count(*) AS n FROM unmapped GROUP BY 1) u USING (
     "ag8_unmapped_notes": f"""
 WITH {UNMAPPED}
 SELECT contract_id, doc_id AS page, 'Rate anomaly' AS category, 'Source table on ' || doc_id || ' column ''' || col_name || ''' contained ' ||
-  CAST(count(*) AS VARCHAR) || ' numeric value(s) that no Hotel row used. Cross-check the rate table and add or correct the rows manually if needed.' AS note, CAST(0.3 AS DOUBLE) AS confidence
-FROM unmapped GROUP BY contract_id, doc_id, col_name""",
+  CAST(max(n) AS VARCHAR) || ' numeric value(s) that no Hotel row used: ' || string_agg('''' || raw || '''', ', ' ORDER BY place) ||
+  CASE WHEN max(n) > 8 THEN ' (+' || (max(n) - 8) || ' more)' ELSE '' END || '. Cross-check the rate table and add or correct the rows manually if needed.' AS note, CAST(0.3 AS DOUBLE) AS confidence
+FROM (SELECT *, count(*) OVER (PARTITION BY contract_id, doc_id, col_name) AS n,
+  row_number() OVER (PARTITION BY contract_id, doc_id, col_name ORDER BY table_idx, row_idx) AS place FROM unmapped)
+WHERE place <= 8 GROUP BY contract_id, doc_id, col_name""",
 }
 DIMENSIONS = r"""dims AS (
   SELECT contract_id, doc_id, table_idx, count(DISTINCT col_name) FILTER (col_name IN ('Double room', 'Single')) AS rooms,
@@ -454,9 +464,12 @@ SQL |= {
     "ag11_merge_summary": "SELECT contract_id, coalesce(round(CAST(sum(CAST(confidence AS DECIMAL(18,6))) AS DOUBLE) / count(confidence), 3), 0.5) AS overall_confidence, arg_min(source_file, part_idx) FILTER (source_file <> '') AS source_file, arg_min(input_format, part_idx) FILTER (input_format <> '') AS input_format FROM parts GROUP BY 1",
     "ag11_merged_sheet_lists": "SELECT contract_id, 'sheets' AS list, sheet AS entry, min(ord) AS first_ord FROM rows GROUP BY 1, 3",
     "ag12_merge_hotels": """
-SELECT contract_id, coalesce(nullif(hotel, ''), 'Unknown Hotel') AS hotel, arg_min(city_area, (part_idx, ord)) FILTER (city_area <> '') AS city_area,
-  arg_min(phone, (part_idx, ord)) FILTER (phone <> '') AS phone, min(part_idx) AS first_part, arg_min(ord, (part_idx, ord)) AS first_ord
-FROM part_hotels GROUP BY 1, 2""",
+SELECT 'hotels' AS part, contract_id, coalesce(nullif(hotel, ''), 'Unknown Hotel') AS hotel, arg_min(city_area, (part_idx, ord)) FILTER (city_area <> '') AS city_area,
+  arg_min(phone, (part_idx, ord)) FILTER (phone <> '') AS phone, min(part_idx) AS first_part, arg_min(ord, (part_idx, ord)) AS first_ord, NULL AS entry, NULL AS ord
+FROM part_hotels GROUP BY 1, 2, 3
+UNION ALL SELECT 'rate_blocks', contract_id, coalesce(nullif(hotel, ''), 'Unknown Hotel'), NULL, NULL, NULL, NULL, room || '/' || season || '/' || meal, ord FROM rates
+UNION ALL SELECT 'rooms', contract_id, coalesce(nullif(hotel, ''), 'Unknown Hotel'), NULL, NULL, NULL, NULL, room, ord FROM rooms
+UNION ALL SELECT 'child_policies', contract_id, coalesce(nullif(hotel, ''), 'Unknown Hotel'), NULL, NULL, NULL, NULL, position, ord FROM child_bands""",
     "ag13_usage_totals": "SELECT contract_id, counter, CAST(sum(n) AS BIGINT) AS total FROM (SELECT contract_id, 'prompt_tokens' AS counter, prompt_tokens AS n FROM usage UNION ALL SELECT contract_id, 'completion_tokens', completion_tokens FROM usage) WHERE n IS NOT NULL GROUP BY 1, 2",
     "ag14_sheet_summary": """
 SELECT d.contract_id, d.doc_id, CASE WHEN d.classification IN ('hotel_contract', 'index_reference') THEN d.classification ELSE 'other' END AS classification,
@@ -472,6 +485,8 @@ JOIN (SELECT contract_id, count(*) AS n, round(CAST(sum(CAST(confidence AS DECIM
 JOIN (SELECT contract_id, count(*) AS n FROM child_columns GROUP BY 1) c USING (contract_id)
 JOIN (SELECT contract_id, count(*) AS n FROM source_cells GROUP BY 1) s USING (contract_id)
 LEFT JOIN (SELECT contract_id, count(*) FILTER (severity = 'error') AS e, count(*) FILTER (severity = 'warning') AS w FROM issues GROUP BY 1) q USING (contract_id)""",
+    "ag16_grouped_issues": "SELECT contract_id, CAST(CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END AS BIGINT) AS group_rank, severity, row_id, hotel, sheet, message, field FROM issues WHERE severity IN ('error', 'warning', 'info')",
+    "ag22_failed_chunks": "SELECT contract_id, chunk_idx, CAST(0 AS BIGINT) AS place, error FROM usage WHERE error IS NOT NULL",
     "ag16_issues_by_severity": "SELECT contract_id, severity, CAST(count(*) AS BIGINT) AS issues FROM issues GROUP BY 1, 2",
     "ag17_season_agg": """
 SELECT contract_id, coalesce(start_date, '') AS start_date, coalesce(end_date, '') AS end_date, coalesce(nullif(season, ''), nullif(rate_plan, ''), '') AS name,
@@ -638,14 +653,20 @@ UNION ALL SELECT contract_id, CAST(CASE WHEN classification = 'unknown' THEN 0 E
   SELECT d.*, unnest(CASE WHEN d.classification = 'unknown' THEN [0] ELSE range(coalesce(n.m, 0) + 1) END) AS c FROM text_docs d LEFT JOIN n USING (contract_id)
   WHERE d.classification <> 'hotel_contract')""",
     "w12_date_pairs": f"WITH {DATE_LIST} SELECT contract_id, doc_id, pair_ord, start_date, end_date FROM date_pair",
-    "w13_first_three_periods": f"WITH {DATE_LIST} SELECT contract_id, doc_id, pair_ord, start_date, end_date FROM date_pair",
+    "w13_first_three_periods": f"WITH {DATE_LIST} SELECT contract_id, doc_id, pair_ord, start_date, end_date FROM date_pair WHERE pair_ord < 3",
     "w15_first_seen_order": "SELECT contract_id, coalesce(nullif(hotel, ''), 'Unknown Hotel') AS hotel, min(ord) AS first_ord FROM rows GROUP BY 1, 2",
     "w16_detected_hotel_name": f"WITH {SHEET_CLASS} SELECT contract_id, doc_id, hotel AS detected_hotel_name FROM names",
     "w17_note_first_match": f"WITH {TRIGGER_NOTES} SELECT contract_id, doc_id, category, note, hotel FROM trigger_note",
     "st1_sort_child_columns": f"SELECT contract_id, key, label, {x.dbl('age_from')} AS age_from, row_number() OVER (PARTITION BY contract_id ORDER BY age_from NULLS LAST, age_to NULLS LAST, {POSITION_ORDER}, coalesce(nullif(label, ''), nullif(key, ''), ''), ord) AS ord FROM child_columns",
-    "st2_missing_preview": f"WITH {MISSING} SELECT contract_id, hotel, room_ord, season_ord, meal_ord, '(''' || room || ''', ''' || season || ''', ''' || meal || ''')' AS triple FROM missing",
-    "st3_sample_8": "SELECT contract_id, doc_id, col_name, table_idx, row_idx, raw FROM source_cells",
-    "st4_doc_priority": f"SELECT contract_id, doc_id, CAST({PRIORITY} AS BIGINT) AS priority FROM text_docs",
+    "st2_missing_preview": f"""
+WITH {MISSING}, placed AS (SELECT *, count(*) OVER (PARTITION BY contract_id, hotel) AS n,
+  row_number() OVER (PARTITION BY contract_id, hotel ORDER BY room_ord, season_ord, meal_ord, room, season, meal) AS place FROM missing)
+SELECT contract_id, hotel, CAST(max(n) AS BIGINT) AS missing, string_agg('(''' || room || ''', ''' || season || ''', ''' || meal || ''')', '; ' ORDER BY place) || '.' ||
+  CASE WHEN max(n) > 60 THEN ' Plus ' || (max(n) - 60) || ' more (room, season, meal_code) combinations following the same pattern.' ELSE '' END AS text
+FROM placed WHERE place <= 60 GROUP BY 1, 2""",
+    "st2_retry_triples": f"WITH {MISSING} SELECT contract_id, hotel, room_ord, season_ord, meal_ord, '(''' || room || ''', ''' || season || ''', ''' || meal || ''')' AS triple FROM missing",
+    "st3_sample_8": "SELECT contract_id, doc_id, col_name, table_idx, row_idx, raw FROM source_cells QUALIFY row_number() OVER (PARTITION BY contract_id, doc_id, col_name ORDER BY table_idx, row_idx) <= 8",
+    "st4_doc_priority": f"SELECT contract_id, doc_id, CAST({PRIORITY} AS BIGINT) AS priority FROM text_docs QUALIFY row_number() OVER (PARTITION BY contract_id ORDER BY {PRIORITY}, ord) <= 12",
 }
 
 # ---- supplement sheets -----------------------------------------------------------------------------------------------
@@ -734,6 +755,7 @@ SELECT * EXCLUDE (ai_fields) FROM ({contract_supplements('best_supplements')} UN
 
 # ---- set operations --------------------------------------------------------------------------------------------------
 
+FIXED = "(SELECT contract_id, row_id, " + ", ".join(f"bool_or(quick_fix_type = '{f}') AS {a}" for f, a in (("set_default_currency", "c"), ("copy_currency_to_customer", "k"), ("set_default_supplier", "s"), ("set_all_weekdays", "w"))) + " FROM issues GROUP BY 1, 2) i"
 EDITED_FIELDS = ("city_area", "status")
 
 
@@ -778,11 +800,11 @@ RULES = {
 }
 
 
-def rule_rows(names: list[str]) -> str:
+def rule_rows(names: list[str], rows: str = "rows") -> str:
     def lit(v: str | None) -> str:
         return "CAST(NULL AS VARCHAR)" if v is None else f"'{v}'"
     return " UNION ALL ".join(
-        f"SELECT contract_id, row_id, hotel, sheet, '{sev}' AS severity, {msg} AS message, {lit(field)} AS field, {lit(fix)} AS quick_fix_type, max_rollaways FROM rows WHERE {test}"
+        f"SELECT contract_id, row_id, hotel, sheet, '{sev}' AS severity, {msg} AS message, {lit(field)} AS field, {lit(fix)} AS quick_fix_type, max_rollaways FROM {rows} WHERE {test}"
         for n in names for sev, msg, field, fix, test in RULES[n]
     )
 
@@ -790,9 +812,21 @@ def rule_rows(names: list[str]) -> str:
 SQL |= {n: f"SELECT * EXCLUDE (max_rollaways) FROM ({rule_rows([n])})" for n in RULES}
 SQL |= {
     "so1_merge_chunks": f"""
-SELECT contract_id, 'rows' AS part, CAST(count(*) AS BIGINT) AS n FROM rows GROUP BY 1 UNION ALL SELECT contract_id, 'issues', count(*) FROM issues GROUP BY 1
-UNION ALL SELECT contract_id, 'notes', count(*) FROM (SELECT DISTINCT contract_id, coalesce(source_file, ''), coalesce(page, ''), coalesce(category, ''), {x.fold('note')} FROM notes) GROUP BY 1
-UNION ALL SELECT contract_id, 'child_columns', count(DISTINCT coalesce(nullif(key, ''), nullif(label, ''))) FROM child_columns GROUP BY 1""",
+WITH merged_notes AS (SELECT contract_id, coalesce(source_file, '') || '|' || coalesce(page, '') || '|' || coalesce(category, '') || '|' || {x.fold('note')} AS key, * EXCLUDE (contract_id)
+  FROM notes QUALIFY row_number() OVER (PARTITION BY contract_id, coalesce(source_file, ''), coalesce(page, ''), coalesce(category, ''), {x.fold('note')} ORDER BY ord) = 1),
+merged_columns AS (SELECT *, coalesce(nullif(key, ''), nullif(label, '')) AS k FROM child_columns WHERE k IS NOT NULL QUALIFY row_number() OVER (PARTITION BY contract_id, k ORDER BY ord) = 1),
+merged_hotels AS (SELECT contract_id, coalesce(nullif(hotel, ''), 'Unknown Hotel') AS key, arg_min(city_area, (part_idx, ord)) FILTER (city_area <> '') AS city_area,
+  arg_min(phone, (part_idx, ord)) FILTER (phone <> '') AS phone FROM part_hotels GROUP BY 1, 2),
+merged_summary AS (SELECT contract_id, arg_min(source_file, part_idx) FILTER (source_file <> '') AS source_file, arg_min(input_format, part_idx) FILTER (input_format <> '') AS input_format,
+  coalesce(round(avg(CAST(confidence AS DECIMAL(18,6))), 3), 0.5) AS overall_confidence FROM parts GROUP BY 1)
+""" + " UNION ALL ".join(
+        f"SELECT '{part}' AS part, contract_id, {key} AS key, '{f}' AS field, CAST({f} AS VARCHAR) AS value FROM {source}" + (f" WHERE {f} IS NOT NULL" if part in ("hotels", "summary") else "")
+        for part, key, source, names in [
+            ("rows", "row_id", "rows", ("hotel", "room", "start_date", "end_date", "meal_plan")), ("issues", "row_id", "issues", ("hotel", "severity", "message", "field")),
+            ("notes", "key", "merged_notes", ("note_id", "category", "page", "note")), ("child_columns", "k", "merged_columns", ("key", "label", "position", "value_type")),
+            ("hotels", "key", "merged_hotels", ("city_area", "phone")), ("summary", "''", "merged_summary", ("source_file", "input_format")),
+        ] for f in names
+    ) + " UNION ALL SELECT 'summary', contract_id, '', 'overall_confidence', printf('%.3f', overall_confidence) FROM merged_summary",
     "so2_union_list": "SELECT contract_id, room, min(ord) AS first_ord FROM rows WHERE room IS NOT NULL GROUP BY 1, 2",
     "so3_missing_supplement_names": "SELECT contract_id, hotel, trim(missing_supplement_name) AS name, ord FROM findings WHERE finding_kind = 'MISSING_SUPPLEMENT' AND trim(missing_supplement_name) <> '' QUALIFY row_number() OVER (PARTITION BY contract_id, hotel, lower(trim(missing_supplement_name)) ORDER BY ord) = 1",
     "so4_unmapped_strict_children": "SELECT row_id AS linked_row_id, sheet AS page, 'Child policy' AS category, 'Strict template export dropped child column ''' || key || ''' (value: ' || CAST(v AS VARCHAR) || ') for hotel ' || coalesce(hotel, 'None') || ' / ' || coalesce(room, 'None') || ' ' || coalesce(start_date, 'None') || ' – ' || coalesce(end_date, 'None') AS note, confidence FROM (" + spread(
@@ -805,8 +839,13 @@ WITH {PATCHED} SELECT *, CAST(sum(sign) AS BIGINT) AS surplus FROM (
   UNION ALL SELECT contract_id, hotel, room, start_date, city_area, status, -1 FROM patched)
 GROUP BY ALL HAVING sum(sign) <> 0""".replace("SELECT *, CAST(sum", "SELECT contract_id, hotel, room, start_date, city_area, status, CAST(sum"),
     "so7_issue_diff": f"""
-SELECT contract_id, severity, coalesce(field, '') AS field, coalesce(hotel, '') AS hotel, CAST(count(*) AS BIGINT) AS surplus
-FROM ({rule_rows(list(RULES))}) WHERE max_rollaways = 0 GROUP BY 1, 2, 3, 4""",
+WITH fixed AS (SELECT r.* REPLACE (CASE WHEN i.c THEN coalesce(r.currency, 'EUR') ELSE r.currency END AS currency,
+  CASE WHEN i.k THEN (CASE WHEN i.c THEN coalesce(r.currency, 'EUR') ELSE r.currency END) ELSE r.customer_currency END AS customer_currency,
+  CASE WHEN i.s THEN coalesce(r.supplier, 'Unknown Supplier') ELSE r.supplier END AS supplier, CASE WHEN i.w THEN '0,1,2,3,4,5,6' ELSE r.days END AS days)
+  FROM rows r LEFT JOIN {FIXED} USING (contract_id, row_id))
+SELECT contract_id, severity, coalesce(field, '') AS field, coalesce(hotel, '') AS hotel, CAST(sum(sign) AS BIGINT) AS surplus FROM (
+  SELECT *, 1 AS sign FROM ({rule_rows(list(RULES))}) UNION ALL SELECT *, -1 FROM ({rule_rows(list(RULES), 'fixed')}))
+GROUP BY 1, 2, 3, 4 HAVING sum(sign) <> 0""",
 }
 
 # ---- expansion and reshaping -----------------------------------------------------------------------------------------
@@ -1043,14 +1082,13 @@ SQL["n10_patch_fields"] = f"WITH {PATCHED} SELECT row_id, city_area, status, CAS
 SQL["n11_delete_rows"] = """
 SELECT row_id FROM rows r WHERE NOT EXISTS (SELECT 1 FROM deletes d WHERE d.contract_id = r.contract_id AND ((d.kind = 'season' AND d.start_date = r.start_date AND d.end_date = r.end_date)
   OR (d.kind = 'room' AND d.value = r.room) OR (d.kind = 'meal' AND d.value = r.meal_plan)))"""
-FIXED = "(SELECT contract_id, row_id, " + ", ".join(f"bool_or(quick_fix_type = '{f}') AS {a}" for f, a in (("set_default_currency", "c"), ("copy_currency_to_customer", "k"), ("set_default_supplier", "s"), ("set_all_weekdays", "w"))) + " FROM issues GROUP BY 1, 2) i"
 SQL["n12_quick_fixes"] = f"""
 SELECT r.row_id, CASE WHEN i.c THEN coalesce(r.currency, 'EUR') ELSE r.currency END AS currency, CASE WHEN i.k THEN r.currency ELSE r.customer_currency END AS customer_currency,
   CASE WHEN i.s THEN coalesce(r.supplier, 'Unknown Supplier') ELSE r.supplier END AS supplier, CASE WHEN i.w THEN '0,1,2,3,4,5,6' ELSE r.days END AS days
 FROM rows r LEFT JOIN {FIXED} USING (contract_id, row_id)"""
-SQL["n13_active_result"] = """
-WITH e AS (SELECT contract_id, row_id FROM rows WHERE nation % 2 = 0 AND max_rollaways = 1)
-SELECT row_id FROM e UNION ALL SELECT row_id FROM rows WHERE contract_id NOT IN (SELECT contract_id FROM e)"""
+SQL["n13_active_result"] = f"""
+WITH {PATCHED} SELECT row_id, city_area, status FROM patched WHERE contract_id IN (SELECT contract_id FROM edits)
+UNION ALL SELECT row_id, city_area, status FROM rows WHERE contract_id NOT IN (SELECT contract_id FROM edits)"""
 
 # ---- validation and classification -----------------------------------------------------------------------------------
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tariffmill.functions.base import blank, first_filled, fold
@@ -113,6 +113,11 @@ def usage_totals(usage: DataFrame) -> DataFrame:
     ).groupBy("contract_id", "counter").agg(F.sum("n").alias("total"))
 
 
+def failed_chunks(chunks: DataFrame) -> DataFrame:
+    """AG22 in long form: each error of each failed chunk, with its place in the chunk."""
+    return chunks.select("contract_id", "chunk_idx", F.posexplode("errors").alias("place", "error"))
+
+
 def chunk_failure_notes(chunks: DataFrame) -> DataFrame:
     """AG22: one note per contract on its failed chunks: how many, and each failure in long form beside it.
 
@@ -152,6 +157,70 @@ def merge_chunks(
     return merged | hotel_lists(lists or {})
 
 
+FRAME = ("part", "contract_id", "key", "field", "value")
+
+
+def long_form(part: str, df: DataFrame, key: Column, fields: list[str], at: Column | None = None, filled: bool = False) -> DataFrame:
+    """A table's rows as tagged values: part, contract, key of the entity, field, value as text and the value's place ``at``.
+
+    With ``filled`` only fields that hold something come along, so that each field is taken from the first part that
+    fills it; otherwise all do, and an entity's fields all come from its first row.
+    """
+    values = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])
+    if filled:
+        values = F.filter(values, lambda v: blank(v["value"]).isNotNull())
+    place = _place(F.lit(0), F.col("ord")) if at is None else at
+    return df.select(F.lit(part).alias("part"), "contract_id", key.cast("string").alias("key"), place.alias("at"), F.inline(values))
+
+
+def _place(part: Column, order: Column) -> Column:
+    return F.struct(part.cast("bigint").alias("part_idx"), order.cast("bigint").alias("ord"))
+
+
+def first_values(*frames: DataFrame) -> DataFrame:
+    """Any number of tagged tables merged by one grouping: of each entity and field the first value."""
+    return unite_parts(*frames).groupBy(*FRAME[:-1]).agg(F.min_by("value", "at").alias("value"))
+
+
+def take_apart(frame: DataFrame, part: str, fields: list[str]) -> DataFrame:
+    """One table of a tagged frame as columns again."""
+    own = frame.where(F.col("part") == part)
+    return own.groupBy("contract_id", "key").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in fields])
+
+
+#: Fields that make up each table of a merged contract in its long form.
+MERGED_FIELDS = {
+    "rows": ["hotel", "room", "start_date", "end_date", "meal_plan"], "issues": ["hotel", "severity", "message", "field"],
+    "notes": ["note_id", "category", "page", "note"], "child_columns": ["key", "label", "position", "value_type"],
+    "hotels": ["city_area", "phone"], "summary": ["source_file", "input_format"],
+}
+
+
+def merged_contract(
+    rows: DataFrame, notes: DataFrame, columns: DataFrame, issues: DataFrame, summaries: DataFrame, hotels: DataFrame,
+) -> DataFrame:
+    """SO1 as one long frame: what all chunks of a contract hold, with its AG11 summary and AG12 hotels.
+
+    Rows and issues stay as they are and move nowhere. Notes and child columns by their first row, hotels and the summary
+    field by field are merged in one grouping over tagged values; the mean confidence is its own.
+    """
+    note_key = F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in ("source_file", "page", "category")], fold("note"))
+    named = columns.withColumn("_key", F.coalesce(blank("key"), blank("label"))).where(F.col("_key").isNotNull())
+    merged = first_values(
+        long_form("notes", notes, note_key, MERGED_FIELDS["notes"]), long_form("child_columns", named, F.col("_key"), MERGED_FIELDS["child_columns"]),
+        long_form("hotels", hotels, first_filled("hotel", F.lit("Unknown Hotel")), MERGED_FIELDS["hotels"], _place(F.col("part_idx"), F.col("ord")), filled=True),
+        long_form("summary", summaries, F.lit(""), MERGED_FIELDS["summary"], _place(F.col("part_idx"), F.lit(0)), filled=True),
+    )
+    kept = [
+        long_form(n, df, F.col("row_id"), MERGED_FIELDS[n], _place(F.lit(0), F.lit(0))).select(*FRAME) for n, df in (("rows", rows), ("issues", issues))
+    ]
+    confidence = merge_summary(summaries).select(
+        F.lit("summary").alias("part"), "contract_id", F.lit("").alias("key"), F.lit("overall_confidence").alias("field"),
+        F.col("overall_confidence").cast("decimal(18,3)").cast("string").alias("value"),
+    )
+    return unite_parts(merged.select(*FRAME), *kept, confidence)
+
+
 def missing_supplement_names(findings: DataFrame) -> DataFrame:
     """SO3: names the audit found missing, once per spelling-insensitive name, in the first spelling."""
     named = findings.where(F.col("finding_kind") == "MISSING_SUPPLEMENT").withColumn(
@@ -166,29 +235,38 @@ UNSTABLE = ("row_id", "source_refs", "confidence", "warnings", "cell_meta", "rev
 SIGNATURE = ("hotel", "room", "start_date", "end_date", "meal_plan")
 
 
-def golden_diff(actual: DataFrame, expected: DataFrame) -> DataFrame:
-    """SO7: rows one result has and the other lacks, as a multiset, ignoring ids, references, confidence and marks.
+def _surplus(actual: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
+    """Multiset difference of the rows of both sides by ``keys``, contract by contract.
 
-    Both sides are counted per distinct row with opposite signs in one grouping; what does not cancel out differs.
+    A contract's rows add up to a fingerprint: two sums of 64-bit hashes and a count, one side's taken from the other's.
+    Where all three are zero both sides hold the same rows, so only the rows of other contracts are exchanged for the
+    difference in detail, where both sides are counted with opposite signs.
     """
+    both = actual.select(*keys, F.lit(1).alias("_sign")).unionByName(expected.select(*keys, F.lit(-1).alias("_sign")))
+
+    def differs(value: Column) -> Column:
+        return F.sum(value.cast("decimal(20,0)") * F.col("_sign")) != 0
+
+    prints = both.groupBy("contract_id").agg(
+        differs(F.lit(1)).alias("_count"), differs(F.xxhash64(*keys)).alias("_one"), differs(F.xxhash64(F.lit(17), *keys[::-1])).alias("_two"),
+    ).where(F.col("_count") | F.col("_one") | F.col("_two")).select("contract_id").alias("d")
+    differing = both.alias("b").join(prints, F.col("b.contract_id").eqNullSafe(F.col("d.contract_id")), "left_semi")
+    return differing.groupBy(*keys).agg(F.sum("_sign").alias("surplus")).where(F.col("surplus") != 0)
+
+
+def golden_diff(actual: DataFrame, expected: DataFrame) -> DataFrame:
+    """SO7: rows one result has and the other lacks, as a multiset, ignoring ids, references, confidence and marks."""
     stable = [c for c in actual.columns if c not in UNSTABLE]
-    def signed(df: DataFrame, sign: int) -> DataFrame:
-        flat = [
-            F.to_json(F.array_sort(F.map_entries(c))).alias(c) if df.schema[c].dataType.typeName() == "map" else F.col(c)
-            for c in stable
-        ]
-        return df.select(*flat, F.lit(sign).alias("_sign"))
 
-    both = signed(actual, 1).unionByName(signed(expected, -1))
-    return both.groupBy(*stable).agg(F.sum("_sign").alias("surplus")).where(F.col("surplus") != 0)
+    def flat(df: DataFrame) -> DataFrame:
+        return df.select(*[
+            F.to_json(F.array_sort(F.map_entries(c))).alias(c) if df.schema[c].dataType.typeName() == "map" else F.col(c) for c in stable
+        ])
+
+    return _surplus(flat(actual), flat(expected), stable)
 
 
 def issue_diff(actual: DataFrame, expected: DataFrame) -> DataFrame:
     """SO7's issue part: multiset difference of (severity, field, hotel)."""
     keys = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("severity", "field", "hotel")]
-    both = actual.select("contract_id", *keys, F.lit(1).alias("_sign")).unionByName(
-        expected.select("contract_id", *keys, F.lit(-1).alias("_sign"))
-    )
-    return both.groupBy("contract_id", "severity", "field", "hotel").agg(F.sum("_sign").alias("surplus")).where(
-        F.col("surplus") != 0
-    )
+    return _surplus(actual.select("contract_id", *keys), expected.select("contract_id", *keys), ["contract_id", "severity", "field", "hotel"])

@@ -23,6 +23,9 @@ from tariffmill.streaming import jobs
 #: Characters of a chunk of text: few, so that the small sheets of this schema have several chunks, too.
 SHORT_CHUNK = 400
 
+#: What a retry or a note shows: missing cells of a hotel, samples of a column; and a request smaller than any contract here.
+PREVIEWED_CELLS, SAMPLED_CELLS, FEW_DOCUMENTS = 60, 8, 12
+
 Query = Callable[[StarData], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -240,10 +243,11 @@ QUERIES |= {
         "hotel", "address_line_1", "address_line_4", "county_state_province", "email", "ai_fields"
     ),
     "pf11_field_state": lambda s: review.field_state(s.rows, "city_area").select("row_id", "field_state"),
-    "pf12_trim_documents": lambda s: classify.trim_for_budget(s.text_docs, s.cells)[0].select("contract_id", "doc_id", "raw_excerpt"),
+    "pf12_trim_documents": lambda s: classify.trim_for_budget(s.text_docs, s.cells, classify.REQUEST_DOCUMENTS, classify.FORMAT_CAPS)[0].select("contract_id", "doc_id", "raw_excerpt"),
     "pf12_trim_cells": lambda s: classify.trim_for_budget(
         s.sheets.select("contract_id", "doc_id", "ord", F.lit("").alias("raw_excerpt"), F.lit("pdf").alias("input_format"),
                         F.lit("hotel_contract").alias("classification")), s.cells,
+        classify.REQUEST_DOCUMENTS, classify.FORMAT_CAPS,
     )[1].select("contract_id", "doc_id", "row_idx", "col_idx", "value_str"),
     "pf13_clear_child_values": lambda s: children(normalize.clear_child_values(
         s.rows, F.col("max_rollaways")
@@ -325,16 +329,13 @@ def _expanded_rooms(s: StarData) -> DataFrame:
 QUERIES |= {
     "ag1_dominant_rate_type": lambda s: layouts.dominant_layout(s.rows),
     "ag2_weighted_rate_type_vote": lambda s: merge.rate_type_vote(s.parts, s.rates),
-    "ag3_aggregate_contract": lambda s: merge.aggregate_hotels(s.part_hotels).select(
-        "contract_id", "hotel", "part_idx", "ord", "is_multi_hotel"
-    ),
     "ag4_room_base_rate": lambda s: mapping.room_base_rate(s.rooms, s.rates),
     "ag5_child_column_type_detect": lambda s: normalize.detect_percentage_columns(
         s.rows, child_columns.normalize_columns(s.child_columns)
     ).select("contract_id", "key", "value_type"),
     "ag6_band_assignment": lambda s: child_columns.band_assignment(s.child_columns),
     "ag7_cell_audit_stats": lambda s: audit.audit_stats(s.source_cells, s.rows),
-    "ag8_unmapped_notes": lambda s: audit.unmapped_notes(audit.unmapped_cells(s.source_cells, s.rows)),
+    "ag8_unmapped_notes": lambda s: audit.unmapped_notes(audit.unmapped_cells(s.source_cells, s.rows), SAMPLED_CELLS),
     "ag9_rate_dimensions": lambda s: audit.rate_dimensions(s.source_cells),
     "ag10_completeness": lambda s: audit.completeness_notes(
         s.source_cells, s.page_docs, s.rows
@@ -344,7 +345,6 @@ QUERIES |= {
         s.rows.select("contract_id", F.lit("sheets").alias("list"), F.col("sheet").alias("entry"), "ord"),
         ["contract_id", "list"], "entry", "ord",
     ),
-    "ag12_merge_hotels": lambda s: merge.merge_hotels(s.part_hotels, ["city_area", "phone"]),
     "ag13_usage_totals": lambda s: merge.usage_totals(s.usage.select("contract_id", F.create_map(
         F.lit("prompt_tokens"), "prompt_tokens", F.lit("completion_tokens"), "completion_tokens"
     ).alias("usage"))),
@@ -353,6 +353,7 @@ QUERIES |= {
     ),
     "ag15_summary_cards": lambda s: review.summary_cards(s.page_docs, s.rows, s.child_columns, s.source_cells, s.issues),
     "ag16_issues_by_severity": lambda s: review.issues_by_severity(s.issues),
+    "ag16_grouped_issues": lambda s: review.grouped_issues(s.issues).select("contract_id", "group_rank", "severity", "row_id", "hotel", "sheet", "message", "field"),
     "ag17_season_agg": lambda s: review.season_overview(s.rows),
     "ag18_room_agg": lambda s: review.room_overview(s.rows),
     "ag19_distinct_counts": lambda s: review.distinct_counts(s.rows),
@@ -360,12 +361,40 @@ QUERIES |= {
     "ag21_pdf_strategy": lambda s: classify.pdf_strategy(_flagged_pages(s)).select(
         "contract_id", "pages", "empty_pages", "scrambled_pages", "token_hits", "strategy"
     ),
-    "ag22_chunk_failure_notes": lambda s: merge.chunk_failure_notes(s.usage.select(
-        "contract_id", "chunk_idx", F.array_compact(F.array("error")).alias("errors")
-    )),
+    "ag22_chunk_failure_notes": lambda s: merge.chunk_failure_notes(_chunk_errors(s)),
+    "ag22_failed_chunks": lambda s: merge.failed_chunks(_chunk_errors(s)),
 }
 
 
+def _chunk_errors(s: StarData) -> DataFrame:
+    return s.usage.select("contract_id", "chunk_idx", F.array_compact(F.array("error")).alias("errors"))
+
+
+@query("ag3_aggregate_contract")
+def _(s: StarData) -> DataFrame:
+    """The hotels of all parts once each, and the rates and child bands of all parts with all of their rows."""
+    tables = merge.aggregate_contract(s.part_hotels, {"rates": s.rates, "child_bands": s.child_bands})
+    return merge.unite_parts(*[
+        df.select(F.lit(n).alias("part"), "contract_id", "hotel", F.col("ord").cast("bigint").alias("ord"),
+                  *[F.col(c) for c in ("is_multi_hotel", "room", "season", "meal", "position") if c in df.columns])
+        for n, df in tables.items()
+    ])
+
+
+@query("ag12_merge_hotels")
+def _(s: StarData) -> DataFrame:
+    """The hotels with each field from the first part that fills it, and the rates, rooms and policies they hold."""
+    lists = merge.hotel_lists({
+        "rate_blocks": s.rates.select("contract_id", "hotel", F.concat_ws("/", "room", "season", "meal").alias("entry"), "ord"),
+        "rooms": s.rooms.select("contract_id", "hotel", F.col("room").alias("entry"), "ord"),
+        "child_policies": s.child_bands.select("contract_id", "hotel", F.col("position").alias("entry"), "ord"),
+    })
+    return merge.unite_parts(
+        merge.merge_hotels(s.part_hotels, ["city_area", "phone"]).withColumn("part", F.lit("hotels")),
+        *[df.select("contract_id", "hotel", "entry", F.col("ord").cast("bigint").alias("ord"), F.lit(n).alias("part")) for n, df in lists.items()],
+    )
+
+
 def _flagged_pages(s: StarData) -> DataFrame:
     return classify.page_vision_flags(s.pdf_pages)
 
@@ -397,26 +426,23 @@ QUERIES |= {
     "w9_meal_upgrade_delta": lambda s: mapping.meal_upgrade_deltas(s.rates),
     "w10_chunk_assignment": lambda s: merge.chunk_documents(s.text_docs, 3).select("contract_id", "chunk_idx", "doc_id"),
     "w12_date_pairs": lambda s: text_rows.period_pairs(s.text_docs),
-    "w13_first_three_periods": lambda s: text_rows.rate_periods(s.text_docs),
+    "w13_first_three_periods": lambda s: text_rows.rate_periods(s.text_docs, limit=3),
     "w15_first_seen_order": lambda s: review.first_seen_hotels(s.rows),
     "w16_detected_hotel_name": lambda s: classify.detected_hotel_names(s.cells),
     "w17_note_first_match": lambda s: text_rows.trigger_notes(s.text_docs).select("contract_id", "doc_id", "category", "note", "hotel"),
     "st1_sort_child_columns": lambda s: child_columns.sort_child_columns(s.child_columns).select(
         "contract_id", "key", "label", "age_from", "ord"
     ),
-    "st2_missing_preview": lambda s: grid.retry_triples(grid.missing_rates(*axes(s), s.rates)),
-    "st3_sample_8": lambda s: audit.sample_cells(s.source_cells).select("contract_id", "doc_id", "col_name", "table_idx", "row_idx", "raw"),
-    "st4_doc_priority": lambda s: classify.priority_documents(s.text_docs).select("contract_id", "doc_id", "priority"),
+    "st2_missing_preview": lambda s: grid.retry_directives(grid.missing_rates(*axes(s), s.rates), PREVIEWED_CELLS),
+    "st2_retry_triples": lambda s: grid.retry_triples(grid.missing_rates(*axes(s), s.rates)),
+    "st3_sample_8": lambda s: audit.sample_cells(s.source_cells, SAMPLED_CELLS).select("contract_id", "doc_id", "col_name", "table_idx", "row_idx", "raw"),
+    "st4_doc_priority": lambda s: classify.priority_documents(s.text_docs, FEW_DOCUMENTS).select("contract_id", "doc_id", "priority"),
 }
 
 # ---- set operations --------------------------------------------------------------------------------------------------
 
 
-@query("so1_merge_chunks")
-def _(s: StarData) -> DataFrame:
-    merged = merge.merge_chunks(s.rows, s.notes, s.child_columns, s.issues)
-    parts = [df.select("contract_id", F.lit(n).alias("part")) for n, df in merged.items()]
-    return mapping.supplement_union(*parts).groupBy("contract_id", "part").agg(F.count(F.lit(1)).alias("n"))
+QUERIES["so1_merge_chunks"] = lambda s: merge.merged_contract(s.rows, s.notes, s.child_columns, s.issues, s.parts, s.part_hotels)
 
 
 def _edited_rows(s: StarData) -> DataFrame:
@@ -437,7 +463,7 @@ QUERIES |= {
         _edited_rows(s).select("contract_id", "hotel", "room", "start_date", "city_area", "status", "confidence"),
     ),
     "so7_issue_diff": lambda s: merge.issue_diff(
-        validate.row_issues(s.rows), validate.row_issues(s.rows.where("max_rollaways = 1"))
+        validate.row_issues(s.rows), validate.row_issues(review.quick_fixes(s.rows, s.issues))
     ),
 }
 
@@ -585,7 +611,9 @@ QUERIES |= {
     "n12_quick_fixes": lambda s: review.quick_fixes(s.rows, s.issues).select(
         "row_id", "currency", "customer_currency", "supplier", "days"
     ),
-    "n13_active_result": lambda s: review.active_rows(s.rows, s.rows.where("nation % 2 = 0 and max_rollaways = 1")).select("row_id"),
+    "n13_active_result": lambda s: review.active_rows(
+        s.rows, _edited_rows(s).join(s.edits.select("contract_id").distinct(), "contract_id", "left_semi")
+    ).select("row_id", "city_area", "status"),
 }
 
 # ---- validation ------------------------------------------------------------------------------------------------------

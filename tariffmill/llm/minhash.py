@@ -37,6 +37,8 @@ BANDS = 32
 BLOCK = 4096
 BLOCK_ROWS = 256
 PERCENT = 80
+#: Bits of the map of wanted texts: 8 MB, of which a bitmap function of Spark fills 4,096 bytes at a time.
+WANTED_BITS, BUCKET_BYTES = 2**26, 4096
 WORD_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -107,15 +109,38 @@ def _signatures(size: int, bands: int, values: int, least: int, names: list[str]
     return run
 
 
-def _sets(size: int):
+def _sets(size: int, wanted: dict[int, bytes]):
+    """Shingle sets of the rows whose text hash has its bit set; a bit may be set by another text, never missing."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled = np.zeros(WANTED_BITS // 8, np.uint8)
+        for bucket, bits in wanted.items():
+            filled[bucket * BUCKET_BYTES:(bucket + 1) * BUCKET_BYTES] = np.frombuffer(bits, np.uint8)
         for batch in batches:
-            sets = [shingle_set(word_hashes(t.as_py(), True), size).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+            at = batch.column("bit").to_numpy()
+            picked = batch.take(pa.array(np.flatnonzero(filled[at >> 3] >> (at & 7).astype(np.uint8) & 1)))
+            sets = [shingle_set(word_hashes(t.as_py(), True), size).tobytes() for t in picked.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [picked.column("doc_id"), picked.column("text_hash"), pa.array(sets, pa.binary())], ["doc_id", "text_hash", "shingles"])
 
     return run
 
 
+def _wanted_sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of the wanted rows. Texts that surely are not wanted stay where they are.
+
+    A bitmap of ``WANTED_BITS`` bits, whatever the corpus, has the bit of each wanted text hash set; it reaches the tasks, and
+    only sets of texts whose bit is set are made and moved. Where it fills up, more sets move and are dropped by the join.
+    """
+    bit = F.pmod(F.xxhash64("text_hash"), F.lit(WANTED_BITS))
+    maps = wanted.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    held = {r["bucket"] - 1: bytes(r["bits"]) for r in maps.collect()}
+    rows = texts.select("doc_id", "text_hash", bit.alias("bit"), "text")
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    made = rows.mapInArrow(_sets(shingle, held), f"doc_id {kind}, text_hash long, shingles binary")
+    return wanted.join(made, same_row(wanted, made)).select("node", "shingles").groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,6 +215,13 @@ def _confirm_blocks(percent: int):
     return run
 
 
+def _once_each(rest: DataFrame) -> DataFrame:
+    """One bucket of all that hold the same nodes: near copies share most of their bands, and their comparisons are the same."""
+    held = rest.groupBy("band").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("one"), F.bit_xor(F.xxhash64(F.lit(17), "node")).alias("two"))
+    return rest.join(held.groupBy("n", "one", "two").agg(F.min("band").alias("band")).select("band"), "band")
+
+
 def _links(members: DataFrame, sets: DataFrame, work: Workspace, percent: int) -> DataFrame:
     """Confirmed links among nodes that share a bucket, as far as components need them."""
     fits = F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent
@@ -206,7 +238,7 @@ def _links(members: DataFrame, sets: DataFrame, work: Workspace, percent: int) -
         "band", "node", F.coalesce("label", "node").alias("label")
     )
     spread = rest.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
-    rest = work.save(rest.join(spread, "band"), "rest")
+    rest = work.save(_once_each(rest.join(spread, "band")), "rest")
     by_label = rest.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
     main = by_label.groupBy("band").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n")).select(
         "band", F.col("main.label").alias("main"), F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("row_blocks"),
@@ -245,7 +277,8 @@ def _labelled(
         "digest", "first.*", F.monotonically_increasing_id().alias("node")
     ), "nodes")
     work.release()
-    banded = nodes.where("bands IS NOT NULL").select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
+    # Dealt by band once, for the grouping and for the join with its result.
+    banded = nodes.where("bands IS NOT NULL").select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("band")).repartition("band")
     shared = banded.groupBy("band").agg(F.min(F.struct("node", "n")).alias("low"), F.max("node").alias("high")).where("low.node < high").select(
         "band", F.col("low.node").alias("pivot"), F.col("low.n").alias("pivot_n")
     )
@@ -253,9 +286,7 @@ def _labelled(
     work.release()
     wanted = members.select("node").distinct().join(nodes.select("node", "doc_id", "text_hash"), "node")
     wanted = work.save(wanted, "wanted")
-    picked = wanted.join(texts, same_row(wanted, texts)).select("node", "text")
-    sets = work.save(picked.mapInArrow(_sets(shingle), "node long, shingles binary").groupBy("node").agg(
-        F.first("shingles").alias("shingles")), "sets")
+    sets = work.save(_wanted_sets(texts, wanted, shingle), "sets")
     work.release()
     labels = components(_links(members, sets, work, percent), work, "labels")
     labelled = nodes.join(labels, "node", "left").select("digest", "doc_id", F.coalesce("label", "node").alias("label"))

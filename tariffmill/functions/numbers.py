@@ -32,6 +32,11 @@ def parse_plain(text: Column) -> Column:
     return F.when(text.rlike(_PLAIN), text.try_cast(NUMBER))
 
 
+def _digits(text: Column) -> Column:
+    """The number of text that is digits and points only, read without a pattern; most values are, and patterns are dear."""
+    return F.when(F.translate(text, "0123456789.", "") == "", text.try_cast(NUMBER))
+
+
 def _is_word(text: Column, words: tuple[str, ...]) -> Column:
     return text.rlike("(?i)^(" + "|".join(words) + ")$")
 
@@ -41,7 +46,10 @@ def read_number(text: Column, integer: bool = False, free: Column | None = None)
     percent = F.when(text.endswith("%"), parse_plain(F.btrim(F.regexp_replace(text, r"%+$|^-+(?=.*%$)", ""))))
     plain = parse_plain(F.translate(text, ", ", ""))
     gratis = F.when(_is_word(text, FREE_WORDS), (F.lit(0) if free is None else free).cast(NUMBER))
-    return F.coalesce(percent, _truncated(plain) if integer else plain, gratis)
+    digits = _digits(text)
+    if integer:
+        digits, plain = _truncated(digits), _truncated(plain)
+    return F.coalesce(digits, percent, plain, gratis)
 
 
 def unread_text(text: Column, number: Column) -> Column:
@@ -70,7 +78,7 @@ def to_float(value: Column | str) -> Column:
     """FN8: sheet cell text as a number. A comma is a decimal mark; one trailing % is dropped."""
     s = squeezed(value)
     cleaned = F.btrim(F.regexp_replace(F.btrim(F.translate(s, ",€$", ".")), "%$", ""))
-    return F.when(~_is_word(s, SHEET_WORDS), parse_plain(cleaned))
+    return F.coalesce(_digits(s), F.when(~_is_word(s, SHEET_WORDS), parse_plain(cleaned)))
 
 
 def to_int(value: Column | str) -> Column:
@@ -89,7 +97,9 @@ def parse_price_cell(text: Column | str, number: Column | str | None = None) ->
         & cleaned.rlike(r"^-?\d{1,5}(\.\d{1,2})?$")
         & ~s.rlike(DATE_OR_PERIOD_PATTERN)
     )
-    price = F.when(looks_like_price, cleaned.try_cast(MONEY))
+    # A bare number holds no currency, date or period, so one short pattern settles it.
+    bare = F.when(s.rlike(r"^\d{1,5}(\.\d{1,2})?$"), s.try_cast(MONEY))
+    price = F.coalesce(bare, F.when(looks_like_price, cleaned.try_cast(MONEY)))
     if number is not None:
         price = F.coalesce(col(number).try_cast(MONEY), price)
     return F.when(F.abs(price).between(LOWEST_PRICE, HIGHEST_PRICE), price)

@@ -34,11 +34,25 @@ def sha256(column: Column) -> Column:
     return F.unhex(F.sha2(column.cast("binary"), 256))
 
 
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether the rows are those of files one to one: a scan under filters and selections only."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias", "View"):
+        plan = plan.children().apply(0)
+    return plan.nodeName() == "LogicalRelation"
+
+
 def located(docs: DataFrame, work: Workspace) -> DataFrame:
-    """``docs`` with ``__row_at``: file and row number of each row. Rows that come from no file are written first."""
+    """The rows as ``content`` (all their columns, whatever they are called), doc_id, text and ``__row_at``: file and row number.
+
+    Rows that are not those of files one to one, as after a join or an unnesting, are written first.
+    """
     try:
-        return docs.withColumn("__row_at", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
-    except AnalysisException:
+        scanned = docs if _is_scan(docs) else work.save(docs, "content")
+        at = scanned.metadataColumn("_metadata")
+        return scanned.select(F.struct("*").alias("content"), "doc_id", "text", F.struct(
+            at["file_path"].alias("file"), at["row_index"].alias("row")).alias("__row_at"))
+    except AnalysisException:  # files whose format numbers no rows
         return located(work.save(docs, "content"), work)
 
 
@@ -76,8 +90,7 @@ def dedup(docs: DataFrame, digest=sha256, files_per_batch: int | None = None) ->
     text; a digest shared by a third of all rows is joined to its one kept row, a join that adaptive execution splits.
     """
     work = Workspace(docs.sparkSession, "exact")
-    plain = docs.drop(*RESULTS, "__row_at")
-    rows = located(plain, work)
+    rows = located(docs.select("doc_id", "text"), work)
     text = text_or_empty()
     log = work.save(rows.select(
         digest(text).alias("digest"), F.octet_length(text).alias("n_bytes"), sha256(text).alias("sha"), "doc_id", "__row_at"
@@ -112,8 +125,8 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     """One row of each group of equal texts, in the columns of ``docs``."""
     work = Workspace(docs.sparkSession, "exact-rows")
     rows = located(docs, work)
-    gone = work.save(dedup(rows.drop("__row_at")).where("NOT kept").select("__row_at"), "gone")
-    return rows.join(gone, "__row_at", "left_anti").select(*docs.columns)
+    gone = work.save(dedup(rows).where("NOT kept").select("__row_at"), "gone")
+    return rows.join(gone, "__row_at", "left_anti").select("content.*")
 
 
 ORACLE = """

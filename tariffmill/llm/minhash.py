@@ -326,7 +326,7 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     first = placed.groupBy("label").agg(F.min(entry)["__row_at"].alias("first_at"))
     gone = work.save(placed.join(first, "label").where(F.col("__row_at") != F.col("first_at")).select("__row_at"), "gone")
     work.drop("members", "sets", "wanted", "rows", "nodes", "placed")
-    return rows.join(gone, "__row_at", "left_anti").select(*docs.columns)
+    return rows.join(gone, "__row_at", "left_anti").select("content.*")
 
 
 ORACLE = r"""

@@ -177,7 +177,8 @@ def pack(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, bin_cost: int
     blocks = spark.createDataFrame(
         [(k, -(-v // BLOCK_ROWS)) for k, v in histogram.items()], "length long, blocks long"
     )
-    dealt = pieces.join(blocks, "length").withColumn("block", F.expr("draw % blocks"))
+    # As many rows as there are lengths, so at most the largest capacity; pieces so stay where they are until their blocks are known.
+    dealt = pieces.join(F.broadcast(blocks), "length").withColumn("block", F.expr("draw % blocks"))
     from pyspark.sql import Window
     counts = dealt.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

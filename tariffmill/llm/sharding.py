@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tariffmill.llm.common import Workspace, text_or_empty
+from tariffmill.llm.common import Workspace, free_name, text_or_empty
 
 LAW = "bytes"
 PROBE_BITS = 8
@@ -118,10 +118,11 @@ def shard(docs: DataFrame, shards: int = 24, tolerance: float = 0.0005, range_by
         rows[r["range"]] = r["n"]
     before = (np.cumsum(rows) - rows).reshape(shards, per_shard)
     offset = lookup((before - before[:, :1]).ravel(), "long", False)
-    keyed = plain.withColumns({"__key": row_key(), "size": row_size(), "text_crc32": row_crc().cast("long")}).withColumn("__range", place("__key"))
-    order = Window.partitionBy("__range").orderBy("__key", "doc_id")
-    numbered = keyed.repartition(ranges, "__range").withColumn("__at", F.row_number().over(order))
+    key, of, at = free_name(plain, "row_key", "key_range", "place_in_range").values()
+    keyed = plain.withColumns({key: row_key(), "size": row_size(), "text_crc32": row_crc().cast("long")}).withColumn(of, place(key))
+    order = Window.partitionBy(of).orderBy(key, "doc_id")
+    numbered = keyed.repartition(ranges, of).withColumn(at, F.row_number().over(order))
     return numbered.withColumns({
-        "law": F.lit(LAW), "shard": F.expr(f"__range div {per_shard}").cast("int"), "slot": (offset("__range") + F.col("__at") - 1).cast("long"),
+        "law": F.lit(LAW), "shard": F.floor(F.col(of) / per_shard).cast("int"), "slot": (offset(of) + F.col(at) - 1).cast("long"),
         "grown_shard": F.lit(None).cast("int"),
-    }).drop("__key", "__range", "__at")
+    }).drop(key, of, at)

@@ -223,3 +223,21 @@ def test_near_filter_keeps_one_row_of_a_component(documents):
     ]
     left = [(r.doc_id, r.text or "") for r in minhash.filter_documents(documents(rows)).collect()]
     assert sorted((i is None, i or 0, t[:1]) for i, t in left) == [(False, 3, "u"), (False, 5, ""), (False, 7, "v"), (True, 0, ""), (True, 0, ""), (True, 0, "w")]
+
+
+def test_filters_on_derived_rows_and_clashing_helpers(spark, documents, tmp_path):
+    """One file row as several rows after an unnesting or a join, and columns named like helpers."""
+    texts = ["one two three four five six seven", "eight nine ten eleven twelve", "a b c d e f g h i j"]
+    documents([(i, t) for i, t in enumerate(texts)]).write.parquet(str(tmp_path / "d"))
+    files = spark.read.parquet(str(tmp_path / "d"))
+    odd = {n: F.lit(k) for k, n in enumerate(("__row_at", "_metadata", "__key", "__range", "__at", "__text_hash", "content", "own_hash"))}
+    unnested = files.withColumn("again", F.explode(F.array(F.lit(1), F.lit(2)))).drop("again").withColumns(odd)
+    met = files.join(spark.range(2).withColumnRenamed("id", "twin"), F.col("twin") >= 0).drop("twin").withColumns(odd)
+    for docs in (unnested, met, files.withColumns(odd), unnested.union(met)):
+        for keep in (exact_dedup.filter_documents, minhash.filter_documents):
+            out = keep(docs)
+            assert out.columns == docs.columns
+            assert sorted(r.text for r in out.collect()) == sorted(texts), keep
+            assert {r["__row_at"] for r in out.collect()} == {0} and {r["_metadata"] for r in out.collect()} == {1}
+        cut = substring.filter_documents(docs, min_words=50)
+        assert cut.columns == docs.columns and cut.count() == docs.count() and {r["__text_hash"] for r in cut.collect()} == {5}

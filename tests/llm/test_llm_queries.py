@@ -43,3 +43,22 @@ def test_native_plans_hold_no_python(spark):
     for name in ("op7_exact_dedup", "op10_quality"):
         plan = queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
         assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_stages_on_awkward_rows(spark, documents, awkward, tmp_path, empty):
+    """Nulls, blanks, repeated rows and ids, a long text and columns of clashing names; and a table without rows."""
+    rows = [] if empty else awkward + [(20 + i, awkward[4][1][i:] + " end.") for i in range(3)] + [(None, awkward[4][1]), (4, awkward[4][1])]
+    docs = documents(rows)
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, FOLDER)
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.schema(out.schema).parquet(str(tmp_path / name))
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert docs.columns == columns, name
+            texts = [r.text for r in docs.select("text").collect()]
+        if name == "exact_dedup":
+            assert len(texts) == len(set(texts))
+    assert bool(texts) is not empty
+    assert docs.count() >= len(texts)

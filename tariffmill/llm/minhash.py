@@ -37,8 +37,8 @@ BANDS = 32
 BLOCK = 4096
 BLOCK_ROWS = 256
 PERCENT = 80
-#: Bits of the map of wanted texts: 8 MB, of which a bitmap function of Spark fills 4,096 bytes at a time.
-WANTED_BITS, BUCKET_BYTES = 2**26, 4096
+#: Bits of the map of wanted texts: 2 MB, of which a bitmap function of Spark fills 4,096 bytes at a time.
+WANTED_BITS, BUCKET_BYTES = 2**24, 4096
 WORD_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -109,12 +109,10 @@ def _signatures(size: int, bands: int, values: int, least: int, names: list[str]
     return run
 
 
-def _sets(size: int, wanted: dict[int, bytes]):
+def _sets(size: int, wanted: bytes):
     """Shingle sets of the rows whose text hash has its bit set; a bit may be set by another text, never missing."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled = np.zeros(WANTED_BITS // 8, np.uint8)
-        for bucket, bits in wanted.items():
-            filled[bucket * BUCKET_BYTES:(bucket + 1) * BUCKET_BYTES] = np.frombuffer(bits, np.uint8)
+        filled = np.frombuffer(wanted, np.uint8)
         for batch in batches:
             at = batch.column("bit").to_numpy()
             picked = batch.take(pa.array(np.flatnonzero(filled[at >> 3] >> (at & 7).astype(np.uint8) & 1)))
@@ -134,10 +132,12 @@ def _wanted_sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame
     bit = F.pmod(F.xxhash64("text_hash"), F.lit(WANTED_BITS))
     maps = wanted.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    held = {r["bucket"] - 1: bytes(r["bits"]) for r in maps.collect()}
+    held = bytearray(WANTED_BITS // 8)
+    for r in maps.collect():
+        held[(r["bucket"] - 1) * BUCKET_BYTES:r["bucket"] * BUCKET_BYTES] = r["bits"]
     rows = texts.select("doc_id", "text_hash", bit.alias("bit"), "text")
     kind = texts.schema["doc_id"].dataType.simpleString()
-    made = rows.mapInArrow(_sets(shingle, held), f"doc_id {kind}, text_hash long, shingles binary")
+    made = rows.mapInArrow(_sets(shingle, bytes(held)), f"doc_id {kind}, text_hash long, shingles binary")
     return wanted.join(made, same_row(wanted, made)).select("node", "shingles").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 

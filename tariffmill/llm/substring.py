@@ -196,11 +196,12 @@ def repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
 def filter_documents(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """All documents, without their repeated passages, in the columns of ``docs``; untouched texts keep their blanks."""
     cut = repeats(docs, min_words).where("n_removed > 0").select("doc_id", "text_hash", "kept_text").distinct()
-    keyed = docs.select(F.struct("*").alias("content"), "doc_id", "text", text_hash().alias("own_hash"))
-    met = keyed.join(cut, keyed["doc_id"].eqNullSafe(cut["doc_id"]) & (keyed["own_hash"] == cut["text_hash"]), "left")
-    text = F.coalesce(cut["kept_text"], keyed["text"])
+    inner = {c: f"c{k}" for k, c in enumerate(docs.columns)}  # names that meet none of the other side
+    keyed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inner.items()], text_hash().alias("own_hash"))
+    met = keyed.join(cut, keyed[inner["doc_id"]].eqNullSafe(cut["doc_id"]) & (keyed["own_hash"] == cut["text_hash"]), "left")
+    text = F.coalesce(cut["kept_text"], keyed[inner["text"]])
     new = {"text": text, "n_chars": F.length(text).cast("long")}
-    return met.select(*[new.get(c, F.col("content").getField(c)).alias(c) for c in docs.columns])
+    return met.select(*[new.get(c, keyed[n]).alias(c) for c, n in inner.items()])
 
 
 ORACLE = r"""

@@ -13,7 +13,8 @@ whose number follows the corpus' bytes, so one file stays near ``FILE_BYTES``.
 
 Defined cases: a null html is an empty payload; a null address becomes ``unknown:``, and blanks inside one ``%20``; rows
 with a null page id have no id in the archive and are responses unless their payload has a row with an id; repeated ids
-with equal payloads are all responses. Other columns are not written.
+with equal payloads are all responses; a payload longer than a file's share is one record in one file, whole, and its batch
+exceeds ``BATCH_BYTES`` by it alone; an empty table gives one file without pages. Other columns are not written.
 """
 
 from __future__ import annotations
@@ -27,12 +28,13 @@ from collections.abc import Iterator
 from datetime import datetime
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tariffmill.llm.common import CLEAN_SHUFFLES, Workspace, settings
 
-FILE_BYTES = 8 * 2**20
+FILE_BYTES = 32 * 2**20
+BATCH_BYTES = 8 * 2**20
 CRAWL_DATE = "20260101000000"
 # Field names of the two ARC versions, as the format fixes them.
 ARC_FIELDS = {
@@ -71,13 +73,15 @@ def write_arc(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> int:
     line = F.concat_ws(" ", start, F.when(F.col("part") % 2 == 0, F.col("length").cast("string")).otherwise(second))
     records = sized.select("part", F.lit(1).alias("seq"), F.concat(line, F.lit("\n"), block).alias("value"))
 
-    def opening(number: int, version: int) -> str:
+    def opening(version: int) -> Column:
         body = f"{version} 0 converter\n{ARC_FIELDS[version]}\n"
-        tail = f"text/plain {len(body)}" if version == 1 else f"text/plain 200 - - 0 part-{number:05d}.arc {len(body)}"
-        return f"filedesc://part-{number:05d}.arc 0.0.0.0 {CRAWL_DATE} {tail}\n{body}"
+        name = F.format_string("part-%05d.arc", "part")
+        tail = F.lit(f"text/plain {len(body)}") if version == 1 else F.concat(F.lit("text/plain 200 - - 0 "), name, F.lit(f" {len(body)}"))
+        return F.concat(F.lit("filedesc://"), name, F.lit(f" 0.0.0.0 {CRAWL_DATE} "), tail, F.lit(f"\n{body}"))
 
-    spark = pages.sparkSession
-    heads = spark.createDataFrame([(n, 0, opening(n, 1 + n % 2)) for n in range(files)], "part int, seq int, value string")
+    heads = pages.sparkSession.range(files).select(F.col("id").cast("int").alias("part")).select(
+        "part", F.lit(0).alias("seq"), F.when(F.col("part") % 2 == 0, opening(1)).otherwise(opening(2)).alias("value")
+    )
     _write(records.union(heads), files, path, "\n")
     return files
 
@@ -161,7 +165,7 @@ def _converted(payloads: bool, to_id):
                         "payload_digest": digest, "block_digest": base32_sha1(block), "payload_key": hashlib.sha256(payload).digest(),
                     })
                     size += len(block)
-                    if size > FILE_BYTES:
+                    if size > BATCH_BYTES:
                         yield pa.RecordBatch.from_pylist(rows, SCHEMAS[to_id])
                         rows, size = [], 0
                 if rows:
@@ -187,15 +191,20 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, work: Workspace,
     partial step. The second reading meets that table in a join on the digest, broadcast if its written size is small.
     """
     to_id, schema = (str if id_type == "string" else int), RECORD_SCHEMA.format(id=id_type)
-    small = files_of(spark, arc_path).mapInArrow(_converted(False, to_id), schema).select("payload_key", "payload_bytes", "page_id", "record_id")
+    small = files_of(spark, arc_path).mapInArrow(_converted(False, to_id), schema).select(
+        "payload_key", "payload_bytes", "page_id", "record_id", "url", "date"
+    )
     firsts = work.save(small.where(F.col("payload_bytes") >= min_revisit).groupBy("payload_key").agg(
-        F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "record_id"))).alias("first"), F.count(F.lit(1)).alias("n")
-    ).where("n > 1 AND first IS NOT NULL").select("payload_key", F.col("first.page_id").alias("first_page"), F.col("first.record_id").alias("first_record")), "firsts")
+        F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "record_id", "url", "date"))).alias("first"), F.count(F.lit(1)).alias("n")
+    ).where("n > 1 AND first IS NOT NULL").select(
+        "payload_key", F.col("first.page_id").alias("first_page"), F.col("first.record_id").alias("first_record"),
+        F.col("first.url").alias("first_url"), F.col("first.date").alias("first_date"),
+    ), "firsts")
     records = files_of(spark, arc_path).mapInArrow(_converted(True, to_id), schema).join(firsts, "payload_key", "left")
     revisit = F.col("first_page").isNotNull() & ~F.col("first_page").eqNullSafe(F.col("page_id"))
     kind = F.when(revisit, "revisit").when(F.octet_length("http") > 0, "response").otherwise("resource")
     http, payload = F.col("http").cast("string"), F.col("payload").cast("string")
-    def line(name: str, value) -> F.Column:
+    def line(name: str, value) -> Column:
         return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     length = F.octet_length("http") + F.when(revisit, 0).otherwise(F.octet_length("payload"))
     head = F.concat(
@@ -204,6 +213,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, work: Workspace,
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_digest")),
         F.when(revisit, F.concat(
             line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", F.concat(F.lit("<"), "first_record", F.lit(">"))),
+            line("WARC-Refers-To-Target-URI", F.col("first_url")), line("WARC-Refers-To-Date", F.col("first_date")),
             line("X-Refers-To-Page-Id", F.col("first_page").cast("string")),
         )).otherwise(line("WARC-Block-Digest", F.concat(F.lit("sha1:"), "block_digest"))),
         line("Content-Type", F.col("mime")), line("Content-Length", length.cast("string")), F.lit("\r\n"),
@@ -248,7 +258,7 @@ def _read_back(to_id, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column("content"):
-                rows = []
+                rows, size = [], 0
                 for head, block in warc_records(_content(raw.as_py())):
                     record_type = header_value(head, "WARC-Type")
                     if record_type == "warcinfo":
@@ -264,6 +274,10 @@ def _read_back(to_id, kind: pa.DataType):
                         "payload_digest": digest, "refers_to": to_id(target) if target is not None else None,
                         "payload": None if record_type == "revisit" else payload,
                     })
+                    size += len(block)
+                    if size > BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        rows, size = [], 0
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -55,6 +56,21 @@ def test_archives(spark, least, size):
     assert warc.archive(pages(spark, [])).collect() == []
 
 
+def test_a_payload_above_one_file_and_what_revisits_name(spark):
+    rows = [(2, "http://b", "y" * 100_000), (1, "http://a", "y" * 100_000), (3, "http://c", "z")]
+    found = warc.archive(pages(spark, rows), 0, 1000).collect()
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found) == expected(rows, 0)
+    work = warc.Workspace(spark, "revisits")
+    warc.write_arc(pages(spark, rows), work.path("arc"))
+    warc.convert(spark, work.path("arc"), work.path("warc"), work)
+    heads = [h for r in warc.files_of(spark, work.path("warc")).collect() for h, _ in warc.warc_records(warc._content(bytes(r.content)))]
+    revisit = next(h for h in heads if warc.header_value(h, "WARC-Type") == "revisit")
+    first = next(h for h in heads if warc.header_value(h, "WARC-Target-URI") == "http://a")
+    assert warc.header_value(revisit, "WARC-Refers-To") == warc.header_value(first, "WARC-Record-ID")
+    assert warc.header_value(revisit, "WARC-Refers-To-Target-URI") == "http://a"
+    assert warc.header_value(revisit, "WARC-Refers-To-Date") == warc.header_value(first, "WARC-Date")
+
+
 def test_arc_versions():
     body = b"1 0 me\nURL IP-address Archive-date Content-type Archive-length\n"
     one = b"filedesc://x 0.0.0.0 20010101000000 text/plain %d\n%s\nhttp://a 1.2.3.4 20010203040506 text/html 5\nhello\n" % (len(body), body)
@@ -84,9 +100,47 @@ def test_shards(documents, count, hot, span):
         slots[r.shard].append(r.slot)
         sizes[r.shard] += r["size"]
     assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and set(slots) <= set(range(24))
+    assert all(r.text_crc32 == zlib.crc32((r.text or "").encode()) and r.grown_shard is None for r in found)
     if count == 3000:
-        share = sum(sizes.values()) / 24
-        assert max(abs(sizes[k] - share) for k in range(24)) <= 2 * max(r["size"] for r in found)
+        # A boundary lies within the tolerance of its share, or within the one row, or small group, that straddles it.
+        total, below, groups = sum(sizes.values()), 0, Counter()
+        for r in found:
+            groups[r.text_crc32] += r["size"]
+        widest = max([r["size"] for r in found] + [n for n in groups.values() if n <= 2 * 0.0005 * total / 24])
+        for k in range(23):
+            below += sizes[k]
+            assert abs(below - total * (k + 1) / 24) <= max(0.0005 * total / 24, widest)
+        homes = defaultdict(set)
+        for r in found:
+            homes[r.text_crc32].add(r.shard)
+        assert all(len(homes[c]) == 1 for c, n in groups.items() if n <= 0.0005 * total / 24)
+
+
+def test_shards_follow_the_keys_as_a_plain_sort_does(spark, documents):
+    rng = random.Random(21)
+    rows = [(k, "hot text " * 5 if k % 3 == 0 else f"t{rng.randrange(900)} " * rng.randrange(20)) for k in range(2500)]
+    keyed = documents(rows).select("doc_id", sharding.row_key().alias("key"), sharding.row_size().alias("size")).collect()
+    found = {r.doc_id: (r.shard, r.slot) for r in sharding.shard(documents(rows), 6).collect()}
+    ordered = sorted(keyed, key=lambda r: (r.key, r.doc_id))
+    got = [found[r.doc_id] for r in ordered]
+    assert got == sorted(got) and len(set(got)) == len(rows)
+    cut_fine = {r.doc_id: r.shard for r in sharding.shard(documents(rows), 6, range_bytes=3000).collect()}
+    assert cut_fine == {i: s for i, (s, _) in found.items()}
+
+
+def test_shard_helpers_leave_columns_alone(spark, documents):
+    from pyspark.sql import functions as F
+    taken = ["key", "home", "part", "crc", "cut", "cut_bits", "at", "offset", "n", "in", "c0", "__key", "__range", "__at", "_metadata"]
+    out = sharding.shard(documents([(1, "a"), (2, None)]).withColumns({c: F.lit(f"own {c}") for c in taken}), 2).collect()
+    assert len(out) == 2 and all(r[c] == f"own {c}" for r in out for c in taken)
+
+
+def test_splitters_bring_few_counts_to_the_driver(spark, documents, monkeypatch):
+    seen = []
+    plain = sharding.split_points
+    monkeypatch.setattr(sharding, "split_points", lambda keys, parts, tolerance: seen.append(parts) or plain(keys, parts, tolerance))
+    sharding.shard(documents([(k, f"text {k}") for k in range(500)]), 5, range_bytes=50).collect()
+    assert seen == [5]
 
 
 def test_shards_keep_equal_texts_together(documents):

@@ -158,9 +158,11 @@ def repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
         _seeds(min_words), f"row long, doc_id {id_type}, text_hash long, seeds array<struct<anchor:long,reach:long,place:long>>"
     ), "seeds")
     all_seeds = listed.select("row", F.inline("seeds"))
-    shared = all_seeds.groupBy("anchor").agg(
+    # Counts are written before they are met, so that the joins have plain exchanges on both sides and a hot anchor is split.
+    shared = work.save(all_seeds.groupBy("anchor").agg(
         F.count(F.lit(1)).alias("n"), F.min("reach").alias("low"), F.max("reach").alias("high")
-    ).where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed"))
+    ).where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "anchors")
+    work.release()
     seeds = work.save(all_seeds.join(shared, "anchor"), "shared")
     work.release()
 
@@ -175,7 +177,9 @@ def repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     ).distinct(), "windows")
     work.release()
     again = windows.groupBy("anchor", "offset", "window").agg(F.sum("copies").alias("n")).where("n > 1")
-    partly = windows.join(again, ["anchor", "offset", "window"]).groupBy("anchor", "reach").agg(F.collect_list("offset").alias("offsets"))
+    partly = work.save(
+        windows.join(again, ["anchor", "offset", "window"]).groupBy("anchor", "reach").agg(F.collect_list("offset").alias("offsets")), "partly"
+    )
     first = F.shiftright("place", 2 * LOW)
     at, size = F.shiftright("place", LOW).bitwiseAND(F.lit(2 ** LOW - 1)), F.col("place").bitwiseAND(F.lit(2 ** LOW - 1))
     whole = seeds.where("NOT mixed").select("row", first.cast("int").alias("start"), (first + size + min_words).cast("int").alias("stop"))
@@ -186,7 +190,7 @@ def repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     spans = whole.union(parts).groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     by_text = work.save(spans.join(listed.select("row", "doc_id", "text_hash"), "row").groupBy("doc_id", "text_hash").agg(
         F.first("spans").alias("spans")), "spans")
-    work.drop("shared", "ends", "windows", "seeds")
+    work.drop("anchors", "shared", "ends", "windows", "partly", "seeds")
     met = texts.join(by_text, same_row(texts, by_text), "left").select(texts["doc_id"], texts["text_hash"], "text", "spans")
     return met.mapInArrow(
         _cut, f"doc_id {id_type}, text_hash long, n_words long, n_removed long, repeats array<struct<start:int,stop:int>>, kept_text string"

@@ -6,8 +6,8 @@ whole, and so is each of its lines, for notices that stand in a longer text. The
 package, which bounds their broadcast.
 
 Defined cases: a null text is an empty one; the canonical text of a text without words is empty and matches nothing;
-repeated rows are rows of their own; other columns are not read. The SQL knows only copyright lines with a four-digit year,
-prose included, so it differs from this where a text has other ones.
+repeated and equal rows are rows of their own; a very long text is read whole in one task; other columns are not read.
+The SQL applies the same patterns line by line.
 """
 
 from __future__ import annotations
@@ -23,37 +23,75 @@ from pyspark.sql import functions as F
 from tariffmill.llm.licence_texts import KNOWN, SPELLINGS
 
 # A copyright line is "copyright" with (c), a year or a holder after it, or a sign with a year or holder. A holder is names
-# to the end of the line, so that prose such as "Copyright law of 1976 ..." stays.
+# to the end of the line, so that prose such as "Copyright law of 1976 ..." stays. Each form is a head and what follows it;
+# for a holder, a head after which a common noun stands is none. The patterns use only what both Python and SQL know.
 _YEAR = r"(?:[0-9]{4}|[\[<{(]?(?i:yyyy|year)[\]>})])"
 _NO_HOLDER = (
     "Act|Acts|And|Are|As|At|Basics|Claim|Claims|Directive|For|Holder|Holders|In|Information|Infringement|Is|Issues|Law|Laws|License|Licence|"
     "Licenses|Material|Materials|Notice|Notices|Of|Office|On|Or|Owner|Owners|Ownership|Policy|Protection|Reform|Registration|Rights|Statement|"
     "Status|Term|Terms|To|Treaty|Under|Was|With|Work|Works"
 )
+_OTHER = "À-ÖØ-öø-\u1fff\u2c00-\u2dff\u3005-\ud7ff\uf900-\ufdff"  # letters beyond ASCII
+_CAPITAL = f"[A-Z{_OTHER}]"
+_GAP = f"[^A-Za-z0-9_{_OTHER}]{{0,8}}"
 _NAME = (
-    r"(?:[^\W\d_a-z]\S*+|[0-9]\S*+|&|<[^>\n]*+>|\([^)\n]*+\)|(?:a|affiliates|all|and|authors?|by|contributors?|de|developers|individual|its|of|others?|"
-    r"present|reserved|rights|subsidiaries|team|the|their|to|van|von)(?![^\W_])[.,;:]?)"
+    rf"(?:{_CAPITAL}[^ \t\r\n]*|[0-9][^ \t\r\n]*|&|<[^>]*>|\([^)]*\)|(?:a|affiliates|all|and|authors?|by|contributors?|de|developers|individual|its|of|"
+    r"others?|present|reserved|rights|subsidiaries|team|the|their|to|van|von)[.,;:]?)"
 )
-_HOLDER = rf"(?:by[ \t]+)?(?:[Tt]he[ \t]+)?(?!(?:{_NO_HOLDER})\b)[^\W\d_a-z]\S*+(?:[ \t]+{_NAME})*+[ \t\r]*$"
-_BLANK = r"(?:[^\w\n]|_)*+"
-COPYRIGHT_LINE = re.compile(
-    r"^[^A-Za-z0-9\n]*(?:"
-    r"(?i:copyrights?)[^\w\n]{0,8}(?:(?i:\(c\)|&copy;)|©)[^\n]*$"
-    rf"|(?i:copyrights?)[^\w\n]{{0,8}}?{_YEAR}[^\n]*$"
-    rf"|[Cc]opyrights?:?[ \t]+{_HOLDER}"
-    rf"|(?:(?i:\(c\))|©)[^\w\n]{{0,8}}?(?:(?i:copyright)\b|{_YEAR})[^\n]*$"
-    rf"|©[ \t]*{_HOLDER}"
-    rf"|(?i:\(c\))[ \t]*(?=[^\n]*[0-9]{{4}}){_HOLDER}"
-    rf")(?:\n(?:{_BLANK}\n)*+{_BLANK}(?i:all[ \t]+rights[ \t]+reserved){_BLANK}$)?", re.MULTILINE)
+_HOLDER = rf"{_CAPITAL}[^ \t\r\n]*(?:[ \t]+{_NAME})*[ \t\r]*$"
+_START = "^[^A-Za-z0-9]*"
+PLAIN_FORMS = (
+    rf"{_START}(?i:copyrights?){_GAP}(?:(?i:\(c\)|&copy;)|©)",
+    rf"{_START}(?i:copyrights?){_GAP}{_YEAR}",
+    rf"{_START}(?:(?i:\(c\))|©){_GAP}(?:(?i:copyright)(?:[^A-Za-z0-9_{_OTHER}]|$)|{_YEAR})",
+)
+HOLDER_HEADS = tuple(
+    (head + before, needs) for head, needs in (
+        (rf"{_START}[Cc]opyrights?:?[ \t]+", None), (rf"{_START}©[ \t]*", None), (rf"{_START}(?i:\(c\))[ \t]*", rf"{_START}(?i:\(c\)).*[0-9]{{4}}"),
+    ) for before in ("", r"by[ \t]+", r"[Tt]he[ \t]+", r"by[ \t]+[Tt]he[ \t]+")
+)
+_NOUN = rf"(?:{_NO_HOLDER})(?:[^A-Za-z0-9_{_OTHER}]|$)"
+RESERVED = rf"^[^A-Za-z0-9{_OTHER}]*(?i:all[ \t]+rights[ \t]+reserved)[^A-Za-z0-9{_OTHER}]*$"
+SOLID = f"[A-Za-z0-9{_OTHER}]"
+_PLAIN = re.compile("|".join(PLAIN_FORMS))
+_HOLDERS = [(re.compile(head + _HOLDER), re.compile(head + _NOUN), re.compile(needs or "")) for head, needs in HOLDER_HEADS]
+_RESERVED, _SOLID, _SIGN = re.compile(RESERVED), re.compile(SOLID), re.compile(r"(?i:copyright|\(c\))|©")
 NOT_WORD = re.compile("[^a-z0-9\x80-\U0010ffff]+|[‘’“”–—©]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def is_copyright(line: str) -> bool:
+    if not _SIGN.search(line):
+        return False
+    return bool(_PLAIN.search(line)) or any(
+        holder.search(line) and not noun.search(line) and needs.search(line) for holder, noun, needs in _HOLDERS
+    )
+
+
+def without_copyright(text: str) -> str:
+    """The text's lines but copyright lines and an "All rights reserved" that follows one, with signs only between them."""
+    kept: list[str] = []
+    after, between = False, 0  # whether the last line with letters was a copyright line; lines kept since
+    for line in text.split("\n"):
+        if is_copyright(line):
+            after, between = True, 0
+        elif not _SOLID.search(line):
+            kept.append(line)
+            between += 1
+        elif after and _RESERVED.search(line):
+            del kept[len(kept) - between:]
+            after, between = False, 0
+        else:
+            kept.append(line)
+            after, between = False, 0
+    return "\n".join(kept)
+
+
 def canonical(text: str | None, spellings: dict[str, str]) -> str:
-    plain = (text or "").translate(UPPER)
-    if "copyright" in plain or "(c)" in plain or "©" in plain:
-        plain = COPYRIGHT_LINE.sub(" ", text).translate(UPPER)
-    return " ".join(spellings.get(w, w) for w in NOT_WORD.sub(" ", plain).split(" ") if w)
+    plain = text or ""
+    if _SIGN.search(plain):
+        plain = without_copyright(plain)
+    return " ".join(spellings.get(w, w) for w in NOT_WORD.sub(" ", plain.translate(UPPER)).split(" ") if w)
 
 
 def digest(canonical_text: str) -> bytes:
@@ -106,19 +144,34 @@ def scan(docs: DataFrame, known: Sequence[tuple[str, str]] = KNOWN, spellings: S
 def _sql() -> str:
     known = ", ".join(f"('{d.hex()}', '{name}')" for d, name in known_digests())
     pairs = ", ".join(f"'{a}': '{b}'" for a, b in SPELLINGS)
+
+    def has(pattern: str) -> str:
+        return f"regexp_matches(line, '{pattern}')"
+
     def canon(column: str) -> str:
         lowered = f"translate({column}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-        bare = f"regexp_replace({lowered}, '(?m)^[^a-z0-9\\n]*(?:copyright|\\(c\\)|©)[^\\n]*[0-9]{{4}}[^\\n]*$', ' ', 'g')"
-        spaced = f"regexp_replace({bare}, '[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+|[‘’“”–—©]+', ' ', 'g')"
+        spaced = f"regexp_replace({lowered}, '[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+|[‘’“”–—©]+', ' ', 'g')"
         return f"array_to_string(list_transform(list_filter(string_split({spaced}, ' '), lambda w: w <> ''), lambda w: coalesce(spell[w], w)), ' ')"
+
+    forms = [has(p) for p in PLAIN_FORMS] + [
+        f"({has(head + _HOLDER)} AND NOT {has(head + _NOUN)}" + (f" AND {has(needs)})" if needs else ")") for head, needs in HOLDER_HEADS
+    ]
     return f"""
 WITH known AS (SELECT * FROM (VALUES {known}) AS t(digest, licence)),
-d AS (SELECT doc_id, coalesce(text, '') AS text, MAP {{{pairs}}} AS spell FROM documents),
-w AS (SELECT doc_id, {canon('text')} AS own FROM d),
-l AS (SELECT doc_id, {canon('line')} AS own FROM (SELECT doc_id, spell, unnest(string_split(text, chr(10))) AS line FROM d)),
-n AS (SELECT doc_id, count(*) AS n_notices, array_to_string(list_sort(list(DISTINCT licence)), ' ') AS notices FROM l JOIN known ON digest = sha256(own) WHERE own <> '' GROUP BY ALL)
+d AS (SELECT row_number() OVER () AS n_row, doc_id, coalesce(text, '') AS text FROM documents),
+e AS (SELECT n_row, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
+f AS (SELECT *, {has("(?i:copyright|\\(c\\))|©")} AND ({" OR ".join(forms)}) AS own, {has(SOLID)} AS solid, {has(RESERVED)} AS reserved FROM e),
+s AS (SELECT *, coalesce(lag(own) OVER (PARTITION BY n_row ORDER BY pos), false) AND reserved AND NOT own AS follows FROM f WHERE solid OR own),
+t AS (SELECT f.*, coalesce(s.follows, false) AS follows FROM f LEFT JOIN s USING (n_row, pos)),
+g AS (SELECT n_row, pos, line, own, follows, NOT (solid OR own) AND coalesce(
+    first_value(CASE WHEN solid OR own THEN follows END IGNORE NULLS) OVER (PARTITION BY n_row ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), false) AS between_them FROM t),
+h AS (SELECT n_row, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT own AND NOT follows AND NOT between_them), '') AS text FROM g GROUP BY n_row),
+spelt AS (SELECT MAP {{{pairs}}} AS spell),
+w AS (SELECT n_row, {canon('text')} AS own FROM h, spelt),
+l AS (SELECT n_row, {canon('line')} AS own FROM g, spelt WHERE NOT g.own),
+n AS (SELECT n_row, count(*) AS n_notices, array_to_string(list_sort(list(DISTINCT licence)), ' ') AS notices FROM l JOIN known ON digest = sha256(own) WHERE own <> '' GROUP BY n_row)
 SELECT doc_id, CASE WHEN own <> '' THEN sha256(own) END AS text_digest, licence, coalesce(n_notices, 0)::BIGINT AS n_notices, coalesce(notices, '') AS notices
-FROM w LEFT JOIN known ON digest = sha256(own) AND own <> '' LEFT JOIN n USING (doc_id)
+FROM d JOIN w USING (n_row) LEFT JOIN known ON digest = sha256(own) AND own <> '' LEFT JOIN n USING (n_row)
 """
 
 

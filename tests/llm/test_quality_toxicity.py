@@ -125,6 +125,18 @@ def test_folding():
     assert fold(None).split() == []
 
 
+def as_sql(docs, module):
+    """The operator's rows over ``docs`` are those of its SQL."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    found = module.scan(docs)
+    want = con.sql(module.ORACLE)
+    assert found.columns == want.columns
+    assert Counter(map(tuple, found.collect())) == Counter((None if r[0] != r[0] else r[0], *r[1:]) for r in want.fetchall())
+
+
 def test_licences(documents, awkward):
     british = MIT.replace("sublicense", "sublicence").upper()
     rows = awkward + [
@@ -177,3 +189,10 @@ def test_copyright_lines_with_and_without_year(documents):
     spelt = {i: licences.digest(licences.canonical(p, {})).hex() for i, p in enumerate(prose)}
     assert spelt == same and all(found[100 + i].text_digest for i in same)
     assert found[200].text_digest is None and found[200].notices == "all-rights-reserved"
+    more = [
+        "Copyright (c) A\n--\n•\nAll rights reserved\n•\nx", "Copyright (c) A\n•\nx\nAll rights reserved", "© Ärzte & Söhne, the authors", "Copyright by The Works of Ann",
+        "Copyright The Holder", "(c) Ann Lee", "(c) the Ann Lee 2001", "All rights reserved\nCopyright 2020 A\nCopyright 2021 B\n\n* All Rights Reserved *\nAll rights reserved",
+        "Copyright Ann <a b> (c d) and x", "Copyright Ann <a b> (c d) and X", "copyright owners of 1990", "É © 2020 x", "COPYRIGHT\u00a0©", "Copyrights: Ann\r", "_ © 1999", "x © 1999",
+    ]
+    rows += [(300 + i, m) for i, m in enumerate(more)] + [(None, None), (None, MIT), (400, ""), (400, MIT), (400, MIT)]
+    as_sql(documents(rows, clashes=False), licences)

@@ -191,6 +191,34 @@ def test_plan_beats_one_size_and_counts_everything():
     assert at == histogram
 
 
+def test_plan_equals_plain_best_fit():
+    """One piece after the other into the fullest open bin that holds it."""
+    rng = random.Random(22)
+    for capacities in ([64], [16, 64], [16, 32, 64]):
+        for _ in range(40):
+            histogram = Counter(min(capacities[-1], max(1, int(rng.lognormvariate(2, 1)))) for _ in range(rng.randrange(300)))
+            rooms, sums = [], []
+            pieces = sorted(histogram.elements(), reverse=True)
+            for length in sorted(histogram, reverse=True):
+                rest = [p for p in pieces if p <= length]
+                for _ in range(histogram[length]):
+                    fits = [(room, k) for k, room in enumerate(rooms) if room >= length]
+                    if not fits:
+                        rooms.append(packing._open_size(length, capacities, sum(rest) / len(rest), 16))
+                        sums.append(0)
+                        fits = [(rooms[-1], len(rooms) - 1)]
+                    k = min(fits)[1]
+                    rooms[k] -= length
+                    sums[k] += length
+            found = packing.best_fit(histogram, capacities, capacities, 16)
+            assert sum(bins for bins, _ in found) == len(rooms)
+            if len(capacities) == 1:  # with several sizes, bins of equal room may hold different sums
+                own = Counter()
+                for bins, holds in found:
+                    own[sum(n * c for n, c in holds.items())] += bins
+                assert own == Counter(sums)
+
+
 # ---- tokens ---------------------------------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")

@@ -119,6 +119,19 @@ def test_labels_of_held_out_rows_change_nothing(spark, documents):
     assert a == b
 
 
+def test_matcher_equals_plain_search():
+    rng = random.Random(21)
+    for _ in range(200):
+        words = ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(30))]
+        weights = {t: rng.random() + 0.1 for w in words[:6] for t in rng.sample(sorted(toxicity.word_terms(w)), 1)}
+        phrases = [" ".join(words[k:k + 2]) for k in range(0, len(words) - 1, 7)]
+        text = f" {' '.join(words)} "
+        spans = [(k, k + len(p) + 2) for p in phrases for k in range(len(text)) if text.startswith(f" {p} ", k)]
+        want = [(k, k + len(t), w) for t, w in weights.items() for k in range(len(text)) if text.startswith(t, k)]
+        want = [h for h in want if not any(a <= h[0] and h[1] <= b for a, b in spans)]
+        assert sorted(toxicity.Matcher(weights, phrases).hits(text)) == sorted(want)
+
+
 def test_folding():
     fold = toxicity.folder()
     assert fold("ІDІ0T, 1d1ot! café 2024 $cum").split() == ["idiot", "idiot", "cafe", "scum"]
